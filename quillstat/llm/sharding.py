@@ -116,11 +116,13 @@ def grow(rows: DataFrame, shards: int, weight: Column) -> Node:
             sums = here.filter(inside).withColumn("v", value).groupBy("node", "v").agg(F.sum("w").alias("w"))
             upto = Window.partitionBy("node").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             sums = sums.withColumn("upto", F.sum("w").over(upto)).withColumn("want", want)
-            cut = sums.filter("upto > want AND upto - w <= want").select("node", "v", (F.col("upto") - F.col("w")).alias("below"))
+            cut = sums.filter("upto > want AND upto - w <= want").select("node", "v", "w", (F.col("upto") - F.col("w")).alias("below"))
             cuts = {r["node"]: r for r in cut.collect()}
             for x in todo.values():
                 r = cuts.get(x.first)
-                x.cut += (int(r["v"]) if r else STEPS * STEPS,)
+                # The last rows that nothing tells apart go to the side that they bring nearer to its goal.
+                over = r and depth == len(TIES) and goal[x.first] - r["below"] > r["w"] / 2
+                x.cut += (int(r["v"]) + bool(over) if r else STEPS * STEPS,)
                 if r:
                     goal[x.first] -= r["below"]
         for x in todo.values():
