@@ -16,6 +16,11 @@ PERCENT = 75
 #: A shingle that more documents of one block have is sent as a count; the block keeps who has it.
 HOT = 24
 KEY_BYTES = 5
+#: Cells of a set's histogram: what two sets share in a cell is at most the smaller count (suffix filter).
+CELLS = 64
+#: Members of a list that are paired in one go, and pairs looked at together.
+BLOCK = 1024
+PAIRS = 1 << 18
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -205,14 +210,16 @@ def _collect(key: tuple, rows: pa.Table, buckets: int, percent: int) -> pa.Table
     repeated = np.diff(cuts)
     prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
     inside = np.clip(prefix - (n - repeated), 0, None)
-    prefixes, sets = [None] * len(n), [None] * len(n)
+    prefixes, sets, cells = [None] * len(n), [None] * len(n), [None] * len(n)
     for k in np.flatnonzero(inside > 0):
         mine = token[cuts[k] : cuts[k + 1]]
         prefixes[k] = mine[: inside[k]].view(np.int64)
         sets[k] = np.sort(mine).tobytes()
+        cells[k] = np.minimum(np.bincount((textscan.mix(mine, 64) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 32767).astype("<i2").tobytes()
     return pa.table({
         "doc_id": table.column("id"), "n": table.column("n"), "d0": table.column("d0"), "d1": table.column("d1"),
         "skip": pa.array(n - repeated, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "tokens": pa.array(sets, pa.binary()),
+        "cells": pa.array(cells, pa.binary()),
     })
 
 
@@ -225,6 +232,52 @@ def _needed(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
+def _cross(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of members of one list in different components that could still link, from pairs of blocks of lists."""
+    get = lambda c: rows.column(c).to_numpy()
+    block, other = get("block"), get("other")
+    keys = (np.maximum(block, other), np.minimum(block, other), get("token"))
+    order = np.lexsort(keys)
+    col = {c: get(c)[order] for c in ("doc_id", "n", "rep", "pos", "label", "low", "high")}
+    cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<i2").reshape(-1, CELLS)[order]
+    mine, apart = block[order], (block != other)[order]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    stop = np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1] if len(order) else order
+    after = stop - np.arange(len(order)) - 1
+    most, out, at, upto = 1 - percent / 100 + 1e-9, [], 0, np.cumsum(after)
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(at, end), after[at:end])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:end]) - after[at:end], after[at:end])
+        at = end
+        # Two blocks meet here for pairs across them only; a block's own pairs have their own meeting.
+        keep = (col["label"][i] != col["label"][j]) & (col["doc_id"][i] != col["doc_id"][j]) & ((mine[i] != mine[j]) | ~apart[i])
+        i, j = i[keep], j[keep]
+        a, b = col["n"][i], col["n"][j]
+        need = _needed(a, b, percent)
+        keep = (100 * a >= percent * b) & (100 * b >= percent * a) & (np.minimum(col["rep"][i], col["rep"][j]) >= need)
+        keep &= (col["low"][i] - col["high"][j] <= most) & (col["low"][j] - col["high"][i] <= most)
+        i, j, need = i[keep], j[keep], need[keep]
+        keep = np.concatenate([np.minimum(cells[i[k : k + 65536]], cells[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, max(1, len(i)), 65536)]) >= need if len(i) else keep[:0]
+        i, j = i[keep], j[keep]
+        swap = col["doc_id"][i] > col["doc_id"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append(np.stack([col["doc_id"][i], col["doc_id"][j], col["n"][i], col["n"][j], col["pos"][i], col["pos"][j]]))
+    got = np.concatenate(out, axis=1) if out else np.zeros((6, 0), np.int64)
+    if got.shape[1]:  # a pair that met in several lists goes on once, with its least positions
+        rank = np.lexsort((got[4], got[1], got[0]))
+        got = got[:, rank]
+        first = np.flatnonzero(np.concatenate(([True], np.any(got[:2, 1:] != got[:2, :-1], axis=0))))
+        got = np.concatenate([got[:4, first], [np.minimum.reduceat(got[4], first), np.minimum.reduceat(got[5], first)]])
+    return pa.table({c: pa.array(got[k].astype(np.int64)) for k, c in enumerate(("a", "b", "a_n", "b_n", "a_pos", "b_pos"))})
+
+
+def _need_sql(a: str, b: str, percent: int) -> str:
+    return f"({percent} * ({a} + {b}) + 99 + {percent}) div {100 + percent}"
+
+
 def _verify(batches, percent: int):
     for batch in batches:
         a_n, b_n = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
@@ -241,7 +294,7 @@ def _verify(batches, percent: int):
                 p, q = np.searchsorted(held, pivots), np.searchsorted(other, pivots)
                 least = np.minimum(np.diff(p, prepend=0, append=len(held)), np.diff(q, prepend=0, append=len(other))).sum()
                 if least < _needed(int(a_n[k]), int(b_n[k]), percent):
-                    common_[k] = -1 - least
+                    common_[k] = -1 - int(least)
                     continue
             small, large = (held, other) if len(held) <= len(other) else (other, held)
             at = np.searchsorted(large, small)
@@ -262,12 +315,12 @@ def _distance_bounds():
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, d0, d1, skip, prefix, tokens) of each row; the last two only where a prefix may meet another."""
+    """(doc_id, n, d0, d1, skip, prefix, tokens, cells) of each row; the last three only where a prefix may meet another."""
     buckets = max(256, 2 * common.shuffle_width(docs.sparkSession))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(lambda it: _send(it, width, buckets), "block bigint, kind int, bucket int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "block bigint, kind int, blob binary")
-    schema = "doc_id bigint, n bigint, d0 bigint, d1 bigint, skip bigint, prefix array<bigint>, tokens binary"
+    schema = "doc_id bigint, n bigint, d0 bigint, d1 bigint, skip bigint, prefix array<bigint>, tokens binary, cells binary"
     return answers.groupBy("block").applyInArrow(lambda k, t: _collect(k, t, buckets, percent), schema)
 
 
@@ -282,11 +335,13 @@ def similarity_components(
     1. Blocks of texts send packed shingle hashes to buckets, which count the documents of each and send back the
        repeated ones; in rare-first order only prefixes made of repeated shingles can meet others.
     2. Equal sets become one class; classes are indexed by their prefix shingles, with positions.
-    3. In each shingle's list all members are checked against its first member (a star); links give components.
+    3. In each shingle's list all members are checked against one, that with the largest repeated part (a star);
+       links give components.
     4. Pairs of one list that lie in different components are checked as well, each pair once. Two members whose
        distances to the list's first member differ by more than the allowed distance cannot link (triangle
-       inequality), nor can pairs that fail the length and positional filters. So every link between components is
-       found, and no group is written out pair by pair.
+       inequality), nor can pairs whose repeated parts, counted in cells of hash space, are smaller than what they
+       would have to share (suffix filter), or that fail the length and positional filters. So every link between components is found, and no group is written out
+       pair by pair.
 
     Set members are compared by 48 bits of their hashes, whole sets by 128. A null text, or one without
     words, has an empty set and links with nothing. A row without an id links with nothing and has a null
@@ -298,18 +353,20 @@ def similarity_components(
     classes = nodes.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep"))
     member = nodes.select("doc_id", "d0", "d1", "n").join(classes, ["d0", "d1", "n"]).select("doc_id", "rep")
     member, member_path = common.materialize(member, "members")
-    first = nodes.groupBy("d0", "d1", "n").agg(F.min_by(F.struct("doc_id", "skip", "prefix", "tokens"), "doc_id").alias("x"))
+    first = nodes.groupBy("d0", "d1", "n").agg(F.min_by(F.struct("doc_id", "skip", "prefix", "tokens", "cells"), "doc_id").alias("x"))
     reps, reps_path = common.materialize(first.select("x.*", "n"), "classes")
     tokens = reps.select("doc_id", "n", "tokens")
 
     index = reps.select("doc_id", "n", "skip", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "doc_id", "n", (F.col("skip") + F.col("pos")).alias("pos"))
-    heads = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "n", "pos")).alias("head")).filter("df > 1")
+    index = index.select("token", "doc_id", "n", (F.col("n") - F.col("skip")).alias("rep"), (F.col("skip") + F.col("pos")).alias("pos"))
+    # The first member is the one with the largest repeated part: of a text and its edited copies, the text.
+    heads = index.withColumn("alone", 1 - F.col("rep") / F.col("n"))
+    heads = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("alone", "doc_id", "n", "rep", "pos")).alias("head")).filter("df > 1")
     lists, lists_path = common.materialize(index.join(heads, "token").select(index["*"], "head"), "lists")
 
     star = lists.filter("doc_id <> head.doc_id").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    star = star.agg(F.min("head.n").alias("a_n"), F.min("n").alias("b_n"), F.min("head.pos").alias("a_pos"), F.min("pos").alias("b_pos"))
-    stars, stars_path = common.materialize(_checked(star, tokens, percent), "stars")
+    star = star.agg(F.min("head.n").alias("a_n"), F.min("n").alias("b_n"))
+    stars, stars_path = common.materialize(_compared(star, tokens, percent), "stars")
     # An id whose rows have different sets ties their classes together.
     split = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("doc_id")
     tied = member.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -323,18 +380,15 @@ def similarity_components(
     open_ = with_label.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y AND m > 2").select("token")
     rest = with_label.filter("doc_id <> head.doc_id").join(open_, "token", "left_semi")
     rest = rest.join(near, (rest["head.doc_id"] == near["a"]) & (rest["doc_id"] == near["b"]), "left")
-    rest = rest.select("token", "doc_id", "n", "pos", "label", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    rest = rest.select("token", "doc_id", "n", "rep", "pos", "label", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    size = with_label.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(reps.select("doc_id", "cells"), "doc_id").join(size, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rest, rest_path = common.materialize(rest, "open-lists")
-    x, y, most = rest.alias("x"), rest.alias("y"), 1 - percent / 100 + 1e-9
-    pairs = x.join(
-        y,
-        F.expr(
-            f"x.token = y.token AND x.doc_id < y.doc_id AND x.label <> y.label AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n "
-            f"AND x.low - y.high <= {most!r} AND y.low - x.high <= {most!r}"
-        ),
-    )
-    pairs = pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    pairs = pairs.agg(F.min("x.n").alias("a_n"), F.min("y.n").alias("b_n"), F.min("x.pos").alias("a_pos"), F.min("y.pos").alias("b_pos"))
+    groups = int(max(2 * common.shuffle_width(spark), rest.count() // 8192))
+    met = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("group", F.pmod(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")), F.lit(groups)))
+    pairs = met.drop("blocks").groupBy("group").applyInArrow(lambda t: _cross(t, percent), "a bigint, b bigint, a_n bigint, b_n bigint, a_pos bigint, b_pos bigint")
+    pairs = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("a_n", "b_n", "a_pos", "b_pos")])
     across, across_path = common.materialize(_checked(pairs, tokens, percent).filter(_linked(percent)).select("a", "b"), "links")
     if not across.isEmpty():
         common.discard(spark, labels_path)
@@ -352,9 +406,13 @@ def _checked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     The least positions at which a pair met are those of its first shared shingle; what follows there bounds the
     intersection.
     """
-    need = F.expr(f"({percent} * (a_n + b_n) + 99 + {percent}) div {100 + percent}")
+    need = F.expr(_need_sql("a_n", "b_n", percent))
     bound = 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
-    pairs = pairs.filter((bound >= need) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent))
+    return _compared(pairs.filter((bound >= need) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)), tokens, percent)
+
+
+def _compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs with the size of their intersection, each pair compared once."""
     left = tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("b_tokens"))
     both = pairs.select("a", "b", "a_n", "b_n").join(right, "b").join(left, "a")
