@@ -257,9 +257,9 @@ def permutation_importance(df: DataFrame, id_col: str, features: list[str], pred
     for c in features:
         drops = []
         for r in range(repeats):
-            a = _ranked(df, F.col(f"`{id_col}`"), id_col, name="__a")
-            b = _ranked(df.select(id_col, c), hashed(id_col, seed + r), id_col, name="__b").select(F.col("__b").alias("__a"), F.col(c).alias("__c"))
-            shuffled = a.join(b, "__a").withColumn(c, F.col("__c")).select(*df.columns)
+            a = _ranked(df, F.col(f"`{id_col}`"), id_col, name="__left")
+            b = _ranked(df.select(id_col, c), hashed(id_col, seed + r), id_col, name="__right").select(F.col("__right").alias("__left"), F.col(c).alias("__new"))
+            shuffled = a.join(b, "__left").select(*[F.col("__new").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns])
             drops.append(base - score(predict(shuffled)))
         out.append((c, float(np.mean(drops)), float(np.std(drops))))
     return out
