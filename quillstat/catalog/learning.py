@@ -85,8 +85,8 @@ def _fit(make):
 
 _add("linear_ols", _fit(linear.OlsRegressor), _one + _pred.format(a="a", b="b"), 3)
 _add("linear_ridge", _fit(lambda: linear.RidgeRegressor(1000.0)), _one + _pred.format(a="my - mx * (xy / (xx + 1000))", b="(xy / (xx + 1000))"), 3)
-_add("linear_lasso", _fit(lambda: linear.LassoRegressor(1e6)), _one + _pred.format(a="my - mx * ((xy - 5e5) / xx)", b="((xy - 5e5) / xx)"), 3)
-_add("linear_elastic_net", _fit(lambda: linear.ElasticNetRegressor(1e5, 0.5)), _one + _pred.format(a="my - mx * ((xy - 2.5e4) / (xx + 5e4))", b="((xy - 2.5e4) / (xx + 5e4))"), 3)
+_add("linear_lasso", _fit(lambda: linear.LassoRegressor(1e6)), _one + _pred.format(a="my - mx * (sign(xy) * greatest(abs(xy) - 5e5, 0) / xx)", b="(sign(xy) * greatest(abs(xy) - 5e5, 0) / xx)"), 3)
+_add("linear_elastic_net", _fit(lambda: linear.ElasticNetRegressor(1e5, 0.5)), _one + _pred.format(a="my - mx * (sign(xy) * greatest(abs(xy) - 2.5e4, 0) / (xx + 5e4))", b="(sign(xy) * greatest(abs(xy) - 2.5e4, 0) / (xx + 5e4))"), 3)
 
 
 def _wls(spark, d):
