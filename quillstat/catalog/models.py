@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, discriminant, glm, iterative, kernels, linear, meta, metrics, model_selection, preprocessing, trees
+from ..operators import cluster, discriminant, glm, iterative, kernels, linear, meta, metrics, model_selection, preprocessing, selection, trees
 from ..plans import pipeline as plans
 from .base import lineitem, rounded, table
 
@@ -12,6 +12,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 X = ["a", "b", "c"]
 SMALL = ["a", "b"]
+_GRID = [{"lam": 0.1}, {"lam": 10.0}, {"lam": 1000.0}]
 
 
 def _data(spark, d):
@@ -130,3 +131,24 @@ _add("search_grid", _search)
 _add("search_permutation_importance", lambda x: _frame(x, model_selection.permutation_importance(x, "id", X, (m := linear.OlsRegressor().fit(x, X, "y")).transform, _r2, 1), "feature string, drop double, std double"))
 _add("pipeline_scale_ridge", lambda x: plans.Pipeline().push_transformer("scale", preprocessing.StandardScaler()).set_estimator(linear.RidgeRegressor()).fit(x, X, "y").predict(x).select("id", "prediction"))
 _add("column_transformer", lambda x: plans.ColumnTransformer([("std", preprocessing.StandardScaler(), ["a", "b"]), ("mm", preprocessing.MinMaxScaler(), ["b"])], "passthrough").fit(x, X).transform(x, ["id"]))
+
+
+def _weights(df, features):
+    return linear.RidgeRegressor(1.0).fit(df, features, "y").coef.tolist()
+
+
+def _fit_score(df, features):
+    return metrics.r2_score(linear.RidgeRegressor(1.0).fit(df, features, "y").transform(df), "y", "prediction").first()[0]
+
+
+def _kept(x, s):
+    return _frame(x, [(c, float(v), c in s.features) for c, v in zip(s.candidates, s.scores, strict=True)], "feature string, score double, kept boolean")
+
+
+_add("select_rfe", lambda x: _kept(x, selection.RFE(1).fit(x, X, _weights)))
+_add("select_rfecv", lambda x: _kept(x, selection.RFECV().fit(model_selection.k_fold(x, "id", 3), X, _weights, _fit_score, "fold")))
+_add("select_sequential", lambda x: _kept(x, selection.SequentialFeatureSelector(2).fit(x, X, _fit_score)))
+_add("select_from_model", lambda x: _kept(x, selection.SelectFromModel(0.1, 2).fit(X, trees.DecisionTreeRegressor(max_depth=3, max_bins=32).fit(x, X, "y").importances())))
+_add("search_halving", lambda x: _frame(x, [(float(c["lam"]), s) for c, s in zip(_GRID, model_selection.halving_grid_search_cv(x, "id", _GRID, lambda c: _run(c["lam"]), _r2, 3, 2000)[1], strict=True)], "lam double, score double"))
+_add("search_learning_curve", lambda x: _frame(x, model_selection.learning_curve(x, "id", [0.3, 1.0], _run(1.0), _r2, 2), "share double, train double, test double"))
+_add("search_validation_curve", lambda x: _frame(x, model_selection.validation_curve(x, "id", [0.1, 100.0], _run, _r2, 2), "lam double, train double, test double"))
