@@ -42,8 +42,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_passes: int = MOST_PA
         F.sum("weight").over(everyone) - (F.sum("weight").over(upto) - F.col("weight"))
     )
     ranked = ranked.withColumn("level", level)
-    # The first source whose cap the level doesn't reach sets the level of it and all after it.
-    fits = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everyone)
+    # The first source whose cap the level doesn't exceed sets the level of it and all after it; from there on
+    # levels only fall, so it is the highest of those that fit.
+    fits = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everyone)
     return ranked.select(
         "source",
         "place",
@@ -157,7 +158,7 @@ levels AS (
   WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 targets AS (
   SELECT source, place, source_size,
-         least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), 0.0) * weight) AS target FROM levels),
+         least(CAST(cap AS DOUBLE), coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 0.0) * weight) AS target FROM levels),
 setup AS (
   SELECT CAST(sum(source_size) AS BIGINT) AS total, greatest(1, least(1024, CAST(sum(source_size) AS BIGINT) // 65536), CAST(sum(source_size) AS BIGINT) >> 30) AS block FROM targets),
 shares AS (
