@@ -19,6 +19,8 @@ LEAST_DOCS = 4
 SMOOTHING = 1.0
 PENALTY = 1e-3
 ROUNDS = 300
+#: Rows that a step of the fit works on at once.
+BLOCK = 512
 THRESHOLD = 0.3
 
 
@@ -44,6 +46,24 @@ def _counts(batches):
     yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "docs": pa.array(docs, pa.int64()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
 
 
+def _choose(parts: pa.Table) -> pa.Table:
+    """The buckets that tell the classes apart best, with their naive Bayes log-count ratios, in bucket order."""
+    total, seen = np.zeros((2, BUCKETS)), np.zeros(2, np.int64)
+    for k, n, blob in zip(parts.column("label").to_pylist(), parts.column("docs").to_pylist(), parts.column("counts"), strict=True):
+        total[k] += np.frombuffer(blob.as_buffer(), np.int32)
+        seen[k] += n
+    q, p = total
+    best = np.zeros(0, np.int64)
+    ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
+    if seen.all():
+        a, b = p / seen[1], q / seen[0]
+        apart = np.abs(a - b) / np.sqrt((a * (1 - a) + 0.5 / seen[1]) / seen[1] + (b * (1 - b) + 0.5 / seen[0]) / seen[0])
+        apart[p + q < LEAST_DOCS] = 0
+        best = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
+        best = best[apart[best] > 0]
+    return pa.table({"bucket": pa.array(best, pa.int32()), "ratio": pa.array(ratio[best], pa.float64()), "seen0": pa.array([int(seen[0])] * len(best), pa.int64()), "seen1": pa.array([int(seen[1])] * len(best), pa.int64())})
+
+
 class ToxicityModel:
     """Weights by bucket (0 for buckets that are no features) and an intercept."""
 
@@ -59,13 +79,30 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, label: np.ndarray, weight: np.ndarray):
-    """Weighted logistic regression on sparse rows of ``scale[col]`` by accelerated gradient steps."""
+def _logistic(first: np.ndarray, cols: np.ndarray, scale: np.ndarray, label: np.ndarray, weight: np.ndarray):
+    """Weighted logistic regression on sparse rows of ``scale[col]`` by accelerated gradient steps.
+
+    Row k has the columns ``cols[first[k]:first[k + 1]]``; rows are walked in blocks, so that what a step needs
+    beside the lists is a few MB.
+    """
     n, d = len(label), len(scale)
     start = float(np.log(max(1e-9, weight[label == 1].sum()) / max(1e-9, weight[label == 0].sum())))
-    share, value = weight / weight.sum(), scale[cols]
-    times = lambda v, b: np.bincount(rows, value * v[cols], minlength=n) + b
-    back = lambda e: (np.bincount(cols, e[rows] * value, minlength=d), e.sum())
+    share, sizes = weight / weight.sum(), np.diff(first)
+
+    def times(v, b):
+        each, out = scale * v, np.full(n, b)
+        for a in range(0, n, BLOCK):
+            z = min(n, a + BLOCK)
+            out[a:z] += np.bincount(np.repeat(np.arange(z - a), sizes[a:z]), each[cols[first[a] : first[z]]], minlength=z - a)
+        return out
+
+    def back(e):
+        out = np.zeros(d)
+        for a in range(0, n, BLOCK):
+            z = min(n, a + BLOCK)
+            out += np.bincount(cols[first[a] : first[z]], np.repeat(e[a:z], sizes[a:z]), minlength=d)
+        return out * scale, e.sum()
+
     v, vb, curve = np.ones(d), 1.0, 1.0
     for _ in range(30):  # the largest curvature, by power iteration
         v, vb = back(share * times(v, vb))
@@ -90,8 +127,8 @@ def train_toxicity_model(
     """Fits on a bounded sample: about ``per_class`` labelled ids of each class, weighted back to the classes' shares.
 
     First n-gram buckets are counted by class, and those that tell the classes apart best become features scaled by
-    their naive Bayes log-count ratio; then the sample's feature lists (a few KB a document) are fitted on the
-    driver, in id order. Rows without a label or id are left out; labels other than 0 count as 1; an id labelled
+    their naive Bayes log-count ratio; then the sample's feature lists (a few KB a document, some 30 MB together)
+    are fitted in one task, in id order. The driver gets the features' weights only. Rows without a label or id are left out; labels other than 0 count as 1; an id labelled
     twice is two examples. Without both classes among the labels the model scores 0.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) != 0).cast("int").alias("label"))
@@ -105,45 +142,42 @@ def train_toxicity_model(
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample, path = common.materialize(texts.join(chosen, "doc_id").repartition(8, "doc_id"), "toxic-sample")
-    counts, seen = np.zeros((2, BUCKETS)), np.zeros(2)
-    for r in sample.select("label", "text").mapInArrow(_counts, "label int, docs bigint, counts binary").collect():
-        counts[r["label"]] += np.frombuffer(r["counts"], np.int32)
-        seen[r["label"]] += r["docs"]
-    if not seen.all():
+    counts = sample.select("label", "text").mapInArrow(_counts, "label int, docs bigint, counts binary").withColumn("all", F.lit(0))
+    chosen = counts.groupBy("all").applyInArrow(_choose, "bucket int, ratio double, seen0 bigint, seen1 bigint").collect()
+    if not chosen:
         common.discard(docs.sparkSession, path)
         return ToxicityModel()
-    p, q = counts[1], counts[0]
-    share = (p + SMOOTHING) / (p + SMOOTHING).sum() / ((q + SMOOTHING) / (q + SMOOTHING).sum())
-    ratio = np.log(share)
-    a, b = p / seen[1], q / seen[0]
-    apart = np.where(p + q >= LEAST_DOCS, np.abs(a - b) / np.sqrt((a * (1 - a) + 0.5 / seen[1]) / seen[1] + (b * (1 - b) + 0.5 / seen[0]) / seen[0]), 0)
-    best = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
-    best = best[apart[best] > 0]
+    best = np.array([r["bucket"] for r in chosen])
+    ratio = np.array([r["ratio"] for r in chosen])
+    seen = (chosen[0]["seen0"], chosen[0]["seen1"])
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
-    wanted = place >= 0
 
     def features(batches):
         for batch in batches:
             lists = [np.zeros(0, np.uint16)] * batch.num_rows
-            for i, j, owner, grams in _presence(batch.column("text"), wanted=wanted):
+            for i, j, owner, grams in _presence(batch.column("text"), wanted=place >= 0):
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 for k in range(j - i):
                     lists[i + k] = place[grams[cuts[k] : cuts[k + 1]]].astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "label", "features"])
 
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("features", "ascending")])
+        lists = [np.frombuffer(x, np.uint16) for x in rows.column("features").to_pylist()]
+        label = rows.column("label").to_numpy()
+        first = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        weight = np.where(label == 1, have[1] / seen[1], have[0] / seen[0])
+        w, intercept = _logistic(first, np.concatenate(lists), ratio, label, weight)
+        return pa.table({"w": pa.array([[float(intercept), *map(float, w)]], pa.list_(pa.float64()))})
+
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted(sample.mapInArrow(features, f"doc_id {kind}, label int, features binary").collect(), key=lambda r: (r["doc_id"], r["label"], r["features"]))
+    found = sample.mapInArrow(features, f"doc_id {kind}, label int, features binary").withColumn("all", F.lit(0))
+    fitted = np.array(found.groupBy("all").applyInArrow(fit, "w array<double>").first()["w"])
     common.discard(docs.sparkSession, path)
-    lists = [np.frombuffer(r["features"], np.uint16) for r in got]
-    label = np.array([r["label"] for r in got])
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-    weight = np.where(label == 1, have[1] / seen[1], have[0] / seen[0])
-    w, intercept = _logistic(rows, cols, ratio[best], label, weight)
     weights = np.zeros(BUCKETS)
-    weights[best] = w * ratio[best]
-    return ToxicityModel(weights, intercept)
+    weights[best] = fitted[1:] * ratio
+    return ToxicityModel(weights, float(fitted[0]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
