@@ -48,16 +48,19 @@ def merkle_tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int =
 
     A leaf is the hash of the ordered (offset, length, digest) of records that begin in one ``leaf_bytes`` stretch;
     a node above is the hash of its children, at most ``fanout`` of them. The last level has one root a file. A leaf
-    gathers no more than ``leaf_bytes`` over the shortest record's length, as offsets are distinct.
+    gathers no more than ``leaf_bytes`` over the shortest record's length, as offsets are distinct. Every level is
+    written once and the next one reads it, so that neither is made again when trees are compared.
     """
     entry = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), F.col("length").cast("string"), "digest")
     level = records.groupBy("file_no", F.expr(f"offset div {leaf_bytes}L").alias("node"))
     level = level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n").cast("binary"), 256).alias("hash"))
+    level, _ = common.materialize(level, "merkle-0")
     levels, width = [level], -(-file_bytes // leaf_bytes)
     while width > 1:
         child = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "hash")
         level = level.groupBy("file_no", F.expr(f"node div {fanout}L").alias("node"))
         level = level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(child)), "\n").cast("binary"), 256).alias("hash"))
+        level, _ = common.materialize(level, f"merkle-{len(levels)}")
         levels.append(level)
         width = -(-width // fanout)
     return levels
@@ -67,6 +70,7 @@ def audit(primary: DataFrame, replica: DataFrame, leaf_bytes: int = LEAF_BYTES,
     """Compares two replicas given as (file_no, offset, length, digest) rows: (bad records, nodes visited by level).
 
     Roots are compared first; below, only children of nodes that differ, down to the records of differing leaves.
+    Each level's comparison is written, so the next one starts from its few differing nodes.
     Bad records are (file_no, offset, status): ``corrupt`` where digest or length differ, ``missing`` where only
     the primary has one, ``extra`` where only the replica has. A file that one side lacks altogether differs at its
     root. Empty inputs give no rows.
@@ -79,7 +83,7 @@ def audit(primary: DataFrame, replica: DataFrame, leaf_bytes: int = LEAF_BYTES,
         if suspects is not None:
             parent = F.expr(f"node div {fanout}L")
             a, b = (x.withColumn("parent", parent).join(suspects, ["file_no", "parent"], "left_semi").drop("parent") for x in (a, b))
-        both = a.join(b, ["file_no", "node"], "full")
+        both, _ = common.materialize(a.join(b, ["file_no", "node"], "full"), f"merkle-compared-{depth}")
         count = both.agg(F.lit(depth).alias("level"), F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
         visited = count if visited is None else visited.unionByName(count)
         suspects = both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("file_no", F.col("node").alias("parent"))
