@@ -48,6 +48,7 @@ class Tree:
     value: list[list[float]] = field(default_factory=lambda: [[0.0]])
     depth: list[int] = field(default_factory=lambda: [0])
     gain: dict[int, float] = field(default_factory=dict)
+    bounds: dict[int, tuple] = field(default_factory=dict)
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row: ``<=`` goes left, a missing value right."""
@@ -102,6 +103,12 @@ class Growth:
     l2: float = 0.0
     seed: int = 0
     stop_at_zero: bool = False
+    monotone: list[int] | None = None
+
+
+def _newton(z: np.ndarray, l1: float, l2: float, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+    """Leaf values of (weight, gradient, hessian) sums, held between the node's bounds."""
+    return np.clip(np.sign(z[..., 1]) * np.maximum(np.abs(z[..., 1]) - l1, 0) / np.maximum(z[..., 2] + l2, 1e-300), low, high)
 
 
 def _columns(mode, d: int, rng) -> np.ndarray:
@@ -144,7 +151,7 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
     trees, rng = [Tree() for _ in range(n_trees)], np.random.default_rng(g.seed + 977 * first_tree)
     columns = [_columns(g.features, d, rng) for _ in range(n_trees)]
     open_: list[set[int]] = [{0} for _ in range(n_trees)]
-    waiting: list[list] = [[] for _ in range(n_trees)]  # best-first: (gain, node, feature, cut)
+    waiting: list[list] = [[] for _ in range(n_trees)]  # best-first: (gain, node, feature, cut, middle)
     need = {"x", "y", "id"}
     while any(open_):
         live = [t for t in range(n_trees) if open_[t]]
@@ -189,6 +196,14 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
                 if g.criterion != "gradient" and _impurity(total, g.criterion) < 1e-12 * max(1.0, n):
                     continue
                 gain = _gain(h, g)
+                if g.monotone:  # cuts whose sides would break a feature's direction are no candidates
+                    sign = np.array([g.monotone[j] for j in columns[t]])[:, None]
+                    low, high = tree.bounds.get(node, (-np.inf, np.inf))
+                    a = np.cumsum(h, axis=1)[:, :-1]
+                    b = _newton(total - a, g.l1, g.l2, low, high)
+                    a = _newton(a, g.l1, g.l2, low, high)
+                    gain = np.where(sign * (b - a) < 0, -np.inf, gain)
+                    middle = (a + b) / 2
                 if g.random_cut:  # one cut a feature, uniform between the node's ends
                     for r in range(len(h)):
                         e = edges[columns[t][r]]
@@ -202,13 +217,18 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
                     continue
                 best = int(gain.argmax())
                 row, cut = divmod(best, width - 1)
-                waiting[t].append((float(gain.ravel()[best]), node, int(columns[t][row]), float(edges[columns[t][row]][cut])))
+                waiting[t].append((float(gain.ravel()[best]), node, int(columns[t][row]), float(edges[columns[t][row]][cut]), float(middle[row, cut]) if g.monotone else 0.0))
             del now
             leaves = sum(f < 0 for f in tree.feature)
             room = len(waiting[t]) if g.max_leaves is None else min(1, g.max_leaves - leaves)
             waiting[t].sort(key=lambda w: (-w[0], w[1]))
-            for gain_, node, feature, cut in waiting[t][: max(0, room)]:
-                open_[t] |= set(tree.split(node, feature, cut, gain_))
+            for gain_, node, feature, cut, middle in waiting[t][: max(0, room)]:
+                pair = tree.split(node, feature, cut, gain_)
+                open_[t] |= set(pair)
+                if g.monotone:  # both sides of a constrained cut stay on their side of its middle, all the way down
+                    low, high = tree.bounds.get(node, (-np.inf, np.inf))
+                    sides = {1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle))}
+                    tree.bounds |= dict(zip(pair, sides.get(g.monotone[feature], ((low, high), (low, high))), strict=True))
             waiting[t] = waiting[t][max(0, room) :] if g.max_leaves is not None else []
     del need
     return trees
@@ -420,9 +440,20 @@ class BoostedModel(ArrayModel):
         return out
 
 
+def _steepness(gradient: np.ndarray) -> np.ndarray:
+    """A gradient's size as an ordered whole number: sign-free exponent and seven bits of a 32-bit float."""
+    return (np.abs(gradient).astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.int64)
+
+
 @dataclass
 class _Boosting:
-    """Gradient boosting; ``leaf`` says what a leaf adds: the mean residual or a (regularised) Newton step."""
+    """Gradient boosting; ``leaf`` says what a leaf adds: the mean residual or a (regularised) Newton step.
+
+    ``monotone`` has 1, 0 or -1 for each feature: the raw score never falls, is free, or never rises with it.
+    ``goss`` is (top, other): each tree sees the rows whose gradients are among the largest ``top`` share, and a
+    hashed ``other`` share of all rows from the rest, weighted up to stand for it. Gradients are told apart to one
+    part in 128. Both need Newton leaves.
+    """
 
     n_rounds: int = 100
     rate: float = 0.1
@@ -440,8 +471,16 @@ class _Boosting:
     early_stopping: int | None = None
     delta: float = 1.0
     balanced: bool = False
+    monotone: list[int] | None = None
+    goss: tuple[float, float] | None = None
 
     def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None) -> BoostedModel:
+        if (self.monotone or self.goss) and self.leaf == "mean":
+            raise InvalidParameter("monotone and goss need Newton leaves")
+        if self.monotone and (len(self.monotone) != len(features) or set(self.monotone) - {-1, 0, 1}):
+            raise InvalidParameter("monotone needs 1, 0 or -1 for each feature")
+        if self.goss and not (0 < self.goss[0] < 1 and 0 < self.goss[1] <= 1 - self.goss[0]):
+            raise InvalidParameter("goss needs two shares of at most 1 together")
         rows = _rows(df, features, label, id_col).cache()
         try:
             edges = bin_edges(df, features, self.max_bins)
@@ -457,13 +496,13 @@ class _Boosting:
                 codes = labels[1:] if len(labels) == 2 else labels
                 init = [float(np.log(share[y] / (1 - share[y]))) for y in codes]
             model = BoostedModel(features, init, self.rate, [], labels)
-            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, l1=self.l1, l2=self.l2, seed=self.seed)
+            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None)
             best, since = np.inf, 0
             for r in range(self.n_rounds):
                 trees = []
                 for k in range(len(init)):
 
-                    def target(b, t, k=k, model=model):
+                    def slopes(b, k=k, model=model):
                         x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
                         z = model.raw(x)[:, k]
                         if codes is None:
@@ -476,6 +515,12 @@ class _Boosting:
                             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                             hit = (y == codes[k]).astype(float)
                             res, hess = hit - p, np.maximum(p * (1 - p), 1e-16)
+                        return y, res, hess
+
+                    top, rest = self._steep(rows, slopes) if self.goss else (0, 1.0)
+
+                    def target(b, t, slopes=slopes, top=top, rest=rest):
+                        y, res, hess = slopes(b)
                         w = np.ones(len(y))
                         if self.balanced and codes is not None:
                             w = np.array([1 / (len(labels) * share[v]) for v in y])
@@ -483,11 +528,16 @@ class _Boosting:
                             u = ((b["id"].to_numpy().astype(np.uint64) * np.uint64(0xD1342543DE82EF95 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
                             w = w * (u < self.subsample)
                         one = np.ones(len(y))
+                        if self.goss and rest < 1:
+                            u = ((b["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
+                            flat = _steepness(res) < top
+                            w = np.where(flat, w * (u < rest) / rest, w)
+                            one = np.where(flat, rest, 1.0)  # rows are counted as they are
                         return w, np.column_stack([one, res, res * res] if self.leaf == "mean" else [one, res, hess])
 
                     tree = grow_forest(rows, features, target, 3, 1, grow, edges, "id", first_tree=r)[0]
-                    soft = lambda s: float(np.sign(s) * max(abs(s) - self.l1, 0.0))
-                    tree.value = [[(v[1] / v[0] if v[0] else 0.0) if self.leaf == "mean" else soft(v[1]) / max(v[2] + self.l2, 1e-300)] if len(v) == 3 else [0.0] for v in tree.value]
+                    tree.value = [[(v[1] / v[0] if v[0] else 0.0) if self.leaf == "mean" else float(_newton(np.array(v), self.l1, self.l2, *tree.bounds.get(i, ())))] if len(v) == 3 else [0.0] for i, v in enumerate(tree.value)]
+                    tree.bounds = {}
                     trees.append(tree)
                 model.rounds.append(trees)
                 if self.early_stopping and valid is not None:
@@ -500,6 +550,23 @@ class _Boosting:
         finally:
             rows.unpersist()
 
+    def _steep(self, rows: DataFrame, slopes) -> tuple[int, float]:
+        """The steepness from which on rows are always taken, and the share to take of those below it."""
+
+        def steps(batches):
+            for b in batches:
+                if len(b):
+                    key, n = np.unique(_steepness(slopes(b)[1]), return_counts=True)
+                    yield pd.DataFrame({"key": key, "n": n})
+
+        found = rows.mapInPandas(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # 32,768 keys at most
+        total, above, cut = sum(r["n"] for r in found), 0, 0
+        for r in sorted(found, key=lambda r: -r["key"]):
+            cut, above = r["key"], above + r["n"]
+            if above >= self.goss[0] * total:
+                break
+        return cut, min(1.0, self.goss[1] * total / max(1, total - above))
+
     @staticmethod
     def _error(model: BoostedModel, rows: DataFrame) -> float:
         def loss(batches):

@@ -51,6 +51,32 @@ def test_tree_classifiers_fit(line, make):
     assert metrics.accuracy_score(m.transform(line), "k", "prediction").first()[0] > 0.85
 
 
+def test_boosting_keeps_directions(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-2, 2, size=(300, 2))
+    y = x[:, 0] + 3 * np.sin(3 * x[:, 0]) - x[:, 1] ** 2 / 4
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double")
+    grid = np.linspace(-2, 2, 101)
+    steps = {}
+    for way in (0, 1, -1):
+        m = trees.HistGradientBoostingRegressor(2, rate=0.5, max_depth=3, min_leaf=5, monotone=[way, 0]).fit(df, ["a", "b"], "y", "id")
+        steps[way] = np.concatenate([np.diff(m.raw(np.column_stack([grid, np.full(101, b)]))[:, 0]) for b in (-1.5, 0.0, 1.2)])
+    assert steps[1].min() >= -1e-12 and steps[-1].max() <= 1e-12 and steps[0].min() < 0 < steps[0].max()
+    with pytest.raises(core.InvalidParameter):
+        trees.LgbmRegressor(monotone=[1]).fit(df, ["a", "b"], "y", "id")
+
+
+def test_one_sided_sampling(line):
+    make = lambda goss: trees.HistGradientBoostingRegressor(3, rate=0.7, max_depth=3, min_leaf=5, goss=goss)
+    assert score(make((0.3, 0.3)).fit(line, X, "y", "id"), line) > 0.7
+    a, b = (make((0.3, 0.3)).fit(d, X, "y", "id").raw(np.zeros((1, 3))) for d in (line.repartition(1), line.repartition(5)))
+    assert np.allclose(a, b)
+    whole, plain = (make(g).fit(line, X, "y", "id").raw(np.ones((1, 3))) for g in ((0.5, 0.5), None))
+    assert np.allclose(whole, plain, rtol=0.2)  # the hash takes all of the rest where the shares add up to 1
+    with pytest.raises(core.InvalidParameter):
+        make((0.9, 0.3)).fit(line, X, "y", "id")
+
+
 @pytest.mark.parametrize("make", [discriminant.LinearDiscriminantAnalysis, discriminant.QuadraticDiscriminantAnalysis, lambda: glm.LogisticRegressor(lam=0.1), iterative.LinearSvc, lambda: kernels.Svc(10.0, kernels.Kernel("linear")), lambda: kernels.GaussianProcessClassifier(kernels.Kernel("rbf", 0.5)), lambda: iterative.MlpClassifier([16], rate=1e-2, epochs=60), bayes.GaussianNB])
 def test_classifiers_separate_a_plane(line, make):
     assert metrics.accuracy_score(make().fit(line, X, "k").transform(line), "k", "prediction").first()[0] > 0.9
