@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from . import common, textscan
 
 #: Words of a seed; a shorter item is one seed as a whole.
 SEED_WORDS = 3
-#: The rarest part of an item's seeds that is searched for, and how many seeds it has at least.
-RARE_SHARE, RARE_LEAST = 0.6, 8
 #: Alignment: a pair of equal words, of unequal words, a word left out on one side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's greatest possible score from which a document counts as contaminated by it.
@@ -67,19 +65,6 @@ class Items:
         right = mine[at] == hashes[maybe]
         return maybe[right], at[right]
 
-    def rarest(self, df: dict[tuple[int, int], int]) -> Items:
-        """Only the rarest seeds of each item; ``df`` has the documents of each seed (0 if missing)."""
-        out = Items(self.ids, self.words)
-        for width, (h, k, at) in self.seeds.items():
-            often = np.array([df.get((width, x), 0) for x in h.astype(np.int64).tolist()])
-            order = np.lexsort((at, h, often, k))
-            begin = np.searchsorted(k[order], k[order])
-            place = np.arange(len(order)) - begin
-            size = np.searchsorted(k[order], k[order], "right") - begin
-            keep = np.sort(order[place < np.maximum(RARE_LEAST, np.ceil(size * RARE_SHARE))])
-            out.seeds[width] = (h[keep], k[keep], at[keep])
-        return out
-
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
     """(score, begin, end in the second sequence) of the best local alignment of each pair, all pairs at once.
@@ -127,23 +112,6 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int
     return out
 
 
-def _seed_counts(batches, items: Items):
-    count = {w: np.zeros(len(s[0]), np.int64) for w, s in items.seeds.items()}
-    for batch in batches:
-        for _, _, data, offsets in textscan.slices(batch.column("text")):
-            words = textscan.Words(data, offsets)
-            hashes = words.hashes(lower=True)
-            owner = textscan.owners(words.first)
-            for width in items.seeds:
-                at, h = textscan.windows(hashes, words.first, width)
-                window, seed = items.hits(width, h)
-                key = np.unique(owner[at[window]] * len(items.seeds[width][0]) + seed)
-                count[width] += np.bincount(key % max(1, len(items.seeds[width][0])), minlength=len(count[width]))
-    for width, n in count.items():
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"width": pa.array([width] * len(used), pa.int32()), "seed": pa.array(items.seeds[width][0][used].astype(np.int64), pa.int64()), "n": pa.array(n[used], pa.int64())})
-
-
 def _regions(items: Items, words: textscan.Words, hashes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, seeds, from word, to word): stretches of a text around seeds of one item that lie together."""
     owner, found = textscan.owners(words.first), []
@@ -202,8 +170,8 @@ def _matches(column, items: Items, threshold: float):
     return [(row, item, *rest) for (row, item), rest in sorted(out.items())]
 
 
-def _rounds(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, round_bytes: int):
-    """Broadcast items of each round, with seeds chosen by how many documents have them."""
+def _rounds(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, round_bytes: int):
+    """Broadcast items of each round, with all their seeds."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
     rounds = 1 + int(bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // round_bytes
@@ -212,10 +180,7 @@ def _rounds(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         items = Items.read(sorted(((x["i"], x["t"]) for x in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
         if not items.seeds:
             continue
-        every = spark.sparkContext.broadcast(items)
-        counts = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _seed_counts(it, every.value), "width int, seed bigint, n bigint")  # noqa: B023
-        df = {(x["width"], x["seed"]): x["n"] for x in counts.groupBy("width", "seed").agg(F.sum("n").alias("n")).collect()}
-        yield spark.sparkContext.broadcast(items.rarest(df))
+        yield spark.sparkContext.broadcast(items)
 
 
 def find_contamination(
@@ -224,16 +189,15 @@ def find_contamination(
 ) -> DataFrame:
     """(id, item, seeds, score, first and last word) of each document that holds a benchmark item or an edited copy.
 
-    Seeds are the n-grams of items that are rarest among all documents; where one stands in a document, item and
-    surroundings are aligned word by word (ASCII case folded), and the alignment's score over the item's greatest
-    possible one is ``score``. Items are broadcast in rounds of at most ``round_bytes``; each round reads the
-    documents twice and shuffles only seed counts. A null or empty text matches nothing, nor does a null item. Rows
+    Seeds are all n-grams of items; where one stands in a document, item and surroundings are aligned word by word
+    (ASCII case folded), and the alignment's score over the item's greatest possible one is ``score``. Items are
+    broadcast in rounds of at most ``round_bytes``; each round reads the documents once and shuffles nothing. A null or empty text matches nothing, nor does a null item. Rows
     repeating an id are searched one by one; repeated items give rows of their own.
     """
     out, spark = None, docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, item_id bigint, seeds int, score double, begin_word bigint, end_word bigint"
-    for shared in _rounds(docs, benchmark, text_col, item_col, item_text, round_bytes):
+    for shared in _rounds(docs, benchmark, item_col, item_text, round_bytes):
 
         def search(batches, shared=shared):
             for batch in batches:
@@ -251,7 +215,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The documents that hold no benchmark item, with all their columns; the rows never leave their task."""
     item_col, item_text = options.get("item_col", "item_id"), options.get("item_text", "text")
     round_bytes = options.get("round_bytes", ROUND_BYTES)
-    for shared in _rounds(docs, benchmark, text_col, item_col, item_text, round_bytes):
+    for shared in _rounds(docs, benchmark, item_col, item_text, round_bytes):
         at = docs.columns.index(text_col)
 
         def keep(batches, shared=shared, at=at):

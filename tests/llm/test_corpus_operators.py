@@ -125,6 +125,38 @@ def test_contaminated_documents_are_found_and_no_others(spark, data):
     assert {(r["doc_id"], r["item_id"]) for r in rounds} == {(r["doc_id"], r["item_id"]) for r in found}
 
 
+def altered(rng, text, how, every):
+    """The text with each ``every``-th word replaced or left out, or with a word put in after it."""
+    new = lambda: "edit" + str(rng.randrange(10**6))
+    out = []
+    for k, w in enumerate(text.split(), 1):
+        hit = k % every == 0
+        out += {"put in": [w, new()], "replaced": [new()], "left out": []}[how] if hit else [w]
+    return " ".join(out)
+
+
+def found_and_expected(spark, rng, items, copies, **options):
+    """(document, item) pairs that are found, and those whose alignment over the whole document reaches the threshold."""
+    texts = [prose(rng, 40) + " " + c + " " + prose(rng, 40) for c in copies] + [prose(rng, 150) for _ in range(20)]
+    found = decontamination.find_contamination(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), **options
+    ).collect()
+    words = [decontamination.Items.read([(0, t)]).words[0] for t in texts + items]
+    pairs = [(d, k) for d in range(len(texts)) for k in range(len(items))]
+    scores = decontamination.smith_waterman([(words[len(texts) + k], words[d]) for d, k in pairs])
+    threshold = options.get("threshold", decontamination.THRESHOLD)
+    want = {p: s[0] / (2 * len(words[len(texts) + p[1]])) for p, s in zip(pairs, scores, strict=True)}
+    return {(r["doc_id"], r["item_id"]): r["score"] for r in found}, {p: s for p, s in want.items() if s >= threshold}
+
+
+def test_edited_copies_are_found_beside_verbatim_ones(spark):
+    rng = random.Random(11)
+    items = [prose(rng, 30 + k) for k in range(6)]
+    copies = [x for t in items for x in (t, altered(rng, t, "replaced", 4), altered(rng, t, "put in", 3), altered(rng, t, "left out", 4))]
+    found, want = found_and_expected(spark, rng, items, copies)
+    assert found == want and len(want) == len(copies)
+
+
 def test_smith_waterman_by_brute_force():
     rng = random.Random(1)
     import numpy as np
