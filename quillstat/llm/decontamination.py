@@ -1,7 +1,8 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare words of items as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,59 +12,103 @@ from pyspark.sql import functions as F
 
 from . import common, textscan
 
-#: Words of a seed; a shorter item is one seed as a whole.
-SEED_WORDS = 3
+#: An item of fewer words must stand whole.
+WHOLE_WORDS = 3
 #: Alignment: a pair of equal words, of unequal words, a word left out on one side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's greatest possible score from which a document counts as contaminated by it.
 THRESHOLD = 0.5
 #: Bytes of item texts that are searched for, and broadcast, at once; more items make more rounds.
 ROUND_BYTES = 16 << 20
+#: Seeds that a stretch of text is asked for at most, and what looking at a stretch costs beside looking at a seed.
+MOST_SEEDS, STRETCH_COST = 8, 50
+#: Seeds, and words of stretches, that are looked at together.
+TOGETHER = 1 << 21
 
 
 @dataclass
 class Items:
-    """Benchmark items of a round: word hashes, and seeds as (length, hash) with the places where they stand."""
+    """Benchmark items of a round: word hashes, and after choose() the seeds that are searched for.
+
+    An alignment of an item of L words that scores ``least`` pairs at least half of that many equal words, and spans
+    at most ``reach`` words of the text, as every other word in it costs 1. So if of an item's words all but
+    ``least / 2 - t`` are seeds, then t seeds at least stand within ``reach`` of each other wherever it is found.
+    """
 
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     @classmethod
     def read(cls, rows: list) -> Items:
-        out, found = cls(), {}
+        out = cls()
         for _, _, data, offsets in textscan.slices(pa.array([t or "" for _, t in rows], pa.string())):
             words = textscan.Words(data, offsets)
             hashes = words.hashes(lower=True)
             out.words += [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         out.ids = [i for i, _ in rows]
-        for k, w in enumerate(out.words):
-            if len(w):
-                width = min(SEED_WORDS, len(w))
-                at, h = textscan.windows(w, np.array([0, len(w)]), width)
-                found.setdefault(width, []).append((h, np.full(len(h), k), at))
-        out.seeds = {width: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for width, parts in found.items()}
-        for width, (h, k, at) in out.seeds.items():
-            order = np.argsort(h, kind="stable")
-            out.seeds[width] = (h[order], k[order], at[order])
+        if out.words:
+            out.vocabulary = np.unique(np.concatenate(out.words))
+        return out
+
+    def choose(self, count: np.ndarray, threshold: float) -> Items:
+        """Takes the rarest words of each item as seeds, as many as make sure that no alignment is overlooked.
+
+        ``count`` has how often each word of the vocabulary stands in the documents, and last the number of all
+        words. It decides only how much is looked at, never what is found.
+        """
+        size = np.array([len(w) for w in self.words], np.int64)
+        least = np.array([max(1, math.ceil(MATCH * n * (threshold if n >= WHOLE_WORDS else max(1, threshold)) - 1e-9)) for n in size.tolist()], np.int64)
+        self.least, self.reach, self.times = least, np.maximum(1, 3 * size - least), np.ones(len(size), np.int64)
+        place, item = [], []
+        for k, w in enumerate(self.words):
+            pairs = -(-int(least[k]) // MATCH)
+            if pairs > len(w) or not len(w):
+                continue
+            mine = np.searchsorted(self.vocabulary, w)
+            mine = mine[np.lexsort((mine, count[mine]))]
+            best = None
+            for t in range(1, min(MOST_SEEDS, pairs) + 1):
+                seeds = np.unique(mine[: len(w) - pairs + t])
+                hits = float(count[seeds].sum())
+                near, term, fewer = hits * float(self.reach[k]) / max(1.0, float(count[-1])), 1.0, 0.0
+                for x in range(t - 1):
+                    fewer, term = fewer + term, term * near / (x + 1)
+                cost = hits * (1 + STRETCH_COST * max(0.0, 1 - fewer * math.exp(-near)))
+                if best is None or cost < best[0]:
+                    best = cost, t, seeds
+            self.times[k] = best[1]
+            place.append(best[2])
+            item.append(np.full(len(best[2]), k))
+        place, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (place, item))
+        order = np.lexsort((item, place))
+        self.seeds, at = np.unique(self.vocabulary[place[order]], return_index=True)
+        self.items, self.begin = item[order], np.append(at, len(item))
+        self.pairs = np.unique(np.concatenate([self._pair(w, np.full(len(w), k)) for k, w in enumerate(self.words)] or [np.zeros(0, np.uint64)]))
+        return self
+
+    @staticmethod
+    def _pair(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return textscan.mix(words + textscan.mix(item.astype(np.uint64), 5))
+
+    def within(self, words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which of the words stand in the item named beside them."""
+        found, _ = lookup(self.pairs, self._pair(words, item))
+        out = np.zeros(len(words), bool)
+        out[found] = True
         return out
 
-    def hits(self, width: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For windows of a text: (window, first place among the sorted seeds) of those that are a seed."""
-        mine = self.seeds[width][0]
-        if not len(mine):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if "filter" not in self.__dict__:
-            self.filter = {}
-        if width not in self.filter:
-            bits = np.zeros(1 << 22, bool)
-            bits[(mine >> np.uint64(42)).astype(np.int64)] = True
-            self.filter[width] = bits
-        maybe = np.flatnonzero(self.filter[width][(hashes >> np.uint64(42)).astype(np.int64)])
-        at = np.searchsorted(mine, hashes[maybe])
-        at = np.minimum(at, len(mine) - 1)
-        right = mine[at] == hashes[maybe]
-        return maybe[right], at[right]
+
+def lookup(names: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, place among the sorted names) of those hashes that are among the names."""
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.zeros(1 << 22, bool)
+    bits[(names >> np.uint64(42)).astype(np.int64)] = True
+    maybe = np.flatnonzero(bits[(hashes >> np.uint64(42)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(names, hashes[maybe]), len(names) - 1)
+    right = names[at] == hashes[maybe]
+    return maybe[right], at[right]
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
@@ -112,39 +157,73 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int
     return out
 
 
-def _regions(items: Items, words: textscan.Words, hashes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, seeds, from word, to word): stretches of a text around seeds of one item that lie together."""
-    owner, found = textscan.owners(words.first), []
-    for width in items.seeds:
-        at, h = textscan.windows(hashes, words.first, width)
-        window, seed = items.hits(width, h)
-        mine = items.seeds[width][0]
-        times = np.searchsorted(mine, mine[seed], "right") - seed if len(seed) else seed
-        window, seed = np.repeat(at[window], times), np.repeat(seed, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) if len(seed) else 0)
-        found.append((owner[window], items.seeds[width][1][seed], window, items.seeds[width][2][seed]))
-    text, item, word, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 4
-    if not len(text):
-        return []
-    sizes = np.array([len(w) for w in items.words])
-    slack = sizes[item] // 2 + 2
-    low, high = word - place - slack, word - place + sizes[item] + slack
-    order = np.lexsort((low, item, text))
-    text, item, low, high = text[order], item[order], low[order], high[order]
-    new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1])))
-    same = np.flatnonzero(~new)
-    if len(same):  # the running maximum must not reach over from another text or item
-        reach = high.copy()
-        new = np.ones(len(text), bool)
-        for k in range(1, len(text)):
-            if text[k] == text[k - 1] and item[k] == item[k - 1] and low[k] <= reach[k - 1]:
-                new[k], reach[k] = False, max(reach[k], reach[k - 1])
-        high = reach
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(text)])) - 1
-    return [
-        (int(text[a]), int(item[a]), int(b - a + 1), int(max(low[a], words.first[text[a]])), int(min(high[b], words.first[text[a] + 1])))
-        for a, b in zip(first, last, strict=True)
-    ]
+def _word_counts(batches, items: Items):
+    count = np.zeros(len(items.vocabulary) + 1, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in textscan.slices(batch.column("text")):
+            hashes = textscan.Words(data, offsets).hashes(lower=True)
+            count[:-1] += np.bincount(lookup(items.vocabulary, hashes)[1], minlength=len(items.vocabulary))
+            count[-1] += len(hashes)
+    used = np.flatnonzero(count)
+    yield pa.RecordBatch.from_pydict({"place": pa.array(used, pa.int64()), "n": pa.array(count[used], pa.int64())})
+
+
+def _stretches(items: Items, words: textscan.Words, hashes: np.ndarray):
+    """(text, item, seeds, from word, to word), as arrays: all stretches of a text where an item could be found."""
+    owner = textscan.owners(words.first)
+    every, seed = lookup(items.seeds, hashes)
+    many = items.begin[seed + 1] - items.begin[seed]
+    ends, done = np.cumsum(many), 0
+    while done < len(every):
+        # As many whole texts as have TOGETHER seeds of items, and one at least.
+        stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, "right"))
+        text = owner[every[min(stop, len(every) - 1)]]
+        cut = int(np.searchsorted(every, words.first[text])) if stop < len(every) else len(every)
+        cut = cut if cut > done else int(np.searchsorted(every, words.first[owner[every[done]] + 1]))
+        times, first = many[done:cut], items.begin[seed[done:cut]]
+        at = np.repeat(every[done:cut], times)
+        item = items.items[np.repeat(first, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
+        done = cut
+        key = owner[at] * len(items.words) + item
+        order = np.argsort(key, kind="stable")
+        at, item, key = at[order], item[order], key[order]
+        end = np.arange(len(at)) + items.times[item] - 1
+        last = np.minimum(end, len(at) - 1)
+        begin = np.flatnonzero((end < len(at)) & (key[last] == key) & (at[last] - at < items.reach[item]))
+        if not len(begin):
+            continue
+        end, item, key = end[begin], item[begin], key[begin]
+        low, high = at[end] - items.reach[item] + 1, at[begin] + items.reach[item]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] > high[:-1]))))
+        last = np.append(new[1:], len(begin)) - 1
+        text, item, seeds = key[new] // len(items.words), item[new], end[last] - begin[new] + 1
+        low, high = np.maximum(low[new], words.first[text]), np.minimum(high[last], words.first[text + 1])
+        # A long one is cut into stretches of which neighbours share all that an alignment can span.
+        step = items.reach[item] + 8
+        pieces = np.maximum(1, -(-(high - low - 2 * step) // step) + 1)
+        of = np.repeat(np.arange(len(new)), pieces)
+        low = low[of] + step[of] * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        yield text[of], item[of], seeds[of], low, np.minimum(high[of], low + 2 * step[of])
+
+
+def _likely(items: Items, hashes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which stretches can reach the item's least score: if each of its words there found a partner and all others cost 1."""
+    out, size = np.zeros(len(item), bool), high - low
+    ends, done = np.cumsum(size), 0
+    while done < len(item):
+        cut = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + TOGETHER, "right")))
+        n = size[done:cut]
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(cut - done), n)
+        word = hashes[low[done:cut][of] + np.arange(len(of)) - first[of]]
+        gain = np.where(items.within(word, item[done:cut][of]), MATCH, -1)
+        # Sums from a stretch's begin; each stretch lies below the one before, so that the running least starts anew.
+        total = np.cumsum(gain)
+        total += (total[first] - gain[first])[of] * -1 - of * (4 * int(n.max()) + 8)
+        rise = total - np.minimum.accumulate(total - gain)
+        out[done:cut] = np.maximum.reduceat(rise, first) >= items.least[item[done:cut]]
+        done = cut
+    return out
 
 
 def _matches(column, items: Items, threshold: float):
@@ -153,34 +232,35 @@ def _matches(column, items: Items, threshold: float):
     for i, _, data, offsets in textscan.slices(column):
         words = textscan.Words(data, offsets)
         hashes = words.hashes(lower=True)
-        regions = _regions(items, words, hashes)
-        # A region no longer than a few items is aligned at once; a longer one in overlapping stretches.
-        todo = []
-        for text, item, seeds, a, b in regions:
-            reach = 4 * len(items.words[item]) + 16
-            for x in range(a, max(a + 1, b - reach // 2), reach // 2):
-                todo.append((text, item, seeds, x, min(b, x + reach)))
-        scores = smith_waterman([(items.words[item], hashes[a:b]) for _, item, _, a, b in todo])
-        for (text, item, seeds, a, _), (score, begin, end) in zip(todo, scores, strict=True):
-            share = score / (MATCH * len(items.words[item]))
-            row = (i + text, item)
-            if share >= threshold and (row not in out or share > out[row][1]):
-                at = a - int(words.first[text])
-                out[row] = (seeds, share, at + begin, at + end)
+        for text, item, seeds, low, high in _stretches(items, words, hashes):
+            keep = _likely(items, hashes, item, low, high)
+            todo = list(zip(*(x[keep].tolist() for x in (text, item, seeds, low, high)), strict=True))
+            scores = smith_waterman([(items.words[k], hashes[a:b]) for _, k, _, a, b in todo])
+            for (row, k, n, a, _), (score, begin, end) in zip(todo, scores, strict=True):
+                share = score / (MATCH * len(items.words[k]))
+                row += i
+                if score >= items.least[k] and share >= threshold and ((row, k) not in out or share > out[row, k][1]):
+                    at = a - int(words.first[row - i])
+                    out[row, k] = (n, share, at + begin, at + end)
     return [(row, item, *rest) for (row, item), rest in sorted(out.items())]
 
 
-def _rounds(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, round_bytes: int):
-    """Broadcast items of each round, with all their seeds."""
+def _rounds(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, threshold: float, round_bytes: int):
+    """Broadcast items of each round, with seeds chosen by how often their words stand in the documents."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
     rounds = 1 + int(bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // round_bytes
     for r in range(rounds):
         mine = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == r) if rounds > 1 else bench
         items = Items.read(sorted(((x["i"], x["t"]) for x in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        if not items.seeds:
+        if not len(items.vocabulary):
             continue
-        yield spark.sparkContext.broadcast(items)
+        every = spark.sparkContext.broadcast(items)
+        counts = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _word_counts(it, every.value), "place bigint, n bigint")  # noqa: B023
+        counts = counts.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        count = np.zeros(len(items.vocabulary) + 1, np.int64)
+        count[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+        yield spark.sparkContext.broadcast(items.choose(count, threshold))
 
 
 def find_contamination(
@@ -189,15 +269,18 @@ def find_contamination(
 ) -> DataFrame:
     """(id, item, seeds, score, first and last word) of each document that holds a benchmark item or an edited copy.
 
-    Seeds are all n-grams of items; where one stands in a document, item and surroundings are aligned word by word
-    (ASCII case folded), and the alignment's score over the item's greatest possible one is ``score``. Items are
-    broadcast in rounds of at most ``round_bytes``; each round reads the documents once and shuffles nothing. A null or empty text matches nothing, nor does a null item. Rows
+    An item is found where its best local alignment with a document, word by word (ASCII case folded), scores
+    ``threshold`` of the item's greatest possible score, or all of it if it has fewer than WHOLE_WORDS words; the share
+    reached is ``score``. The words of an item that are rarest among all documents are its seeds, enough of them that
+    each such alignment holds some; only where so many stand together, words are aligned. ``seeds`` counts those about
+    the match. Items are broadcast in rounds of at most ``round_bytes``; each round reads the documents twice and
+    shuffles only word counts. A null or empty text matches nothing, nor does a null item. Rows
     repeating an id are searched one by one; repeated items give rows of their own.
     """
     out, spark = None, docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, item_id bigint, seeds int, score double, begin_word bigint, end_word bigint"
-    for shared in _rounds(docs, benchmark, item_col, item_text, round_bytes):
+    for shared in _rounds(docs, benchmark, text_col, item_col, item_text, threshold, round_bytes):
 
         def search(batches, shared=shared):
             for batch in batches:
@@ -215,7 +298,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The documents that hold no benchmark item, with all their columns; the rows never leave their task."""
     item_col, item_text = options.get("item_col", "item_id"), options.get("item_text", "text")
     round_bytes = options.get("round_bytes", ROUND_BYTES)
-    for shared in _rounds(docs, benchmark, item_col, item_text, round_bytes):
+    for shared in _rounds(docs, benchmark, text_col, item_col, item_text, threshold, round_bytes):
         at = docs.columns.index(text_col)
 
         def keep(batches, shared=shared, at=at):

@@ -157,6 +157,17 @@ def test_edited_copies_are_found_beside_verbatim_ones(spark):
     assert found == want and len(want) == len(copies)
 
 
+def test_every_alignment_over_the_threshold_is_found(spark):
+    rng = random.Random(12)
+    items = [prose(rng, n) for n in (3, 5, 12, 31, 44)] + [" ".join(rng.choice(WORDS[:6]) for _ in range(20)), "two words"]
+    edits = [("put in", 1), ("put in", 2), ("replaced", 3), ("replaced", 4), ("left out", 3), ("replaced", 2), ("left out", 2)]
+    copies = [altered(rng, t, *e) for t in items for e in edits] + ["two other words", "one of two words"]
+    copies += [" ".join(rng.choice(WORDS[:6]) for _ in range(300)), " ".join(prose(rng, 9) + " " + altered(rng, items[4], "put in", 2) for _ in range(6))]
+    for options in ({}, {"threshold": 0.4}, {"round_bytes": 300}):
+        found, want = found_and_expected(spark, rng, items, copies, **options)
+        assert found == {p: s for p, s in want.items() if p[1] != 6 or s == 1} and len(want) > 4 * len(items)
+
+
 def test_smith_waterman_by_brute_force():
     rng = random.Random(1)
     import numpy as np
