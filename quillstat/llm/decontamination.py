@@ -43,8 +43,8 @@ class Items:
     def read(cls, rows: list) -> Items:
         out = cls()
         for _, _, data, offsets in textscan.slices(pa.array([t or "" for _, t in rows], pa.string())):
-            words = textscan.Words(data, offsets)
-            hashes = words.hashes(lower=True)
+            words = textscan.Words(*textscan.folded(data, offsets))
+            hashes = words.hashes()
             out.words += [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         out.ids = [i for i, _ in rows]
         if out.words:
@@ -161,7 +161,7 @@ def _word_counts(batches, items: Items):
     count = np.zeros(len(items.vocabulary) + 1, np.int64)
     for batch in batches:
         for _, _, data, offsets in textscan.slices(batch.column("text")):
-            hashes = textscan.Words(data, offsets).hashes(lower=True)
+            hashes = textscan.Words(*textscan.folded(data, offsets)).hashes()
             count[:-1] += np.bincount(lookup(items.vocabulary, hashes)[1], minlength=len(items.vocabulary))
             count[-1] += len(hashes)
     used = np.flatnonzero(count)
@@ -230,8 +230,8 @@ def _matches(column, items: Items, threshold: float):
     """(row, item, seeds, score share, begin, end word) of each alignment that reaches the threshold."""
     out: dict[tuple[int, int], tuple] = {}
     for i, _, data, offsets in textscan.slices(column):
-        words = textscan.Words(data, offsets)
-        hashes = words.hashes(lower=True)
+        words = textscan.Words(*textscan.folded(data, offsets))
+        hashes = words.hashes()
         for text, item, seeds, low, high in _stretches(items, words, hashes):
             keep = _likely(items, hashes, item, low, high)
             todo = list(zip(*(x[keep].tolist() for x in (text, item, seeds, low, high)), strict=True))
@@ -269,7 +269,7 @@ def find_contamination(
 ) -> DataFrame:
     """(id, item, seeds, score, first and last word) of each document that holds a benchmark item or an edited copy.
 
-    An item is found where its best local alignment with a document, word by word (ASCII case folded), scores
+    An item is found where its best local alignment with a document, word by word (case folded by Unicode), scores
     ``threshold`` of the item's greatest possible score, or all of it if it has fewer than WHOLE_WORDS words; the share
     reached is ``score``. The words of an item that are rarest among all documents are its seeds, enough of them that
     each such alignment holds some; only where so many stand together, words are aligned. ``seeds`` counts those about

@@ -72,6 +72,16 @@ def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         i = j
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slice with its case folded by Unicode (bytes that are no UTF-8 stay); its words stay the same in number."""
+    if not len(data) or data.max() < 0x80:
+        return _LOWER[data], offsets
+    # Folding may change a letter's length, so texts are folded one by one.
+    whole, at = data.tobytes(), offsets.tolist()
+    texts = [whole[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+
+
 class Words:
     """Words of a slice: byte bounds ``starts``/``ends``, and ``first``[k]..``first``[k+1] are those of text k."""
 

@@ -168,6 +168,16 @@ def test_every_alignment_over_the_threshold_is_found(spark):
         assert found == {p: s for p, s in want.items() if p[1] != 6 or s == 1} and len(want) > 4 * len(items)
 
 
+def test_upper_cased_copies_are_found(spark):
+    rng = random.Random(13)
+    items = [" ".join(rng.choice("áñóöüßçøд") + w + rng.choice("éíúäßσ") for w in prose(rng, 20).split()) for _ in range(2)]
+    texts = [items[0].upper(), prose(rng, 30) + " " + items[1].upper() + " " + prose(rng, 30), items[1].title(), prose(rng, 50)]
+    found = decontamination.find_contamination(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["begin_word"]) for r in found) == [(0, 0, 1.0, 0), (1, 1, 1.0, 30), (2, 1, 1.0, 0)]
+
+
 def test_smith_waterman_by_brute_force():
     rng = random.Random(1)
     import numpy as np
