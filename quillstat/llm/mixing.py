@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,8 @@ MOST_PASSES = 3
 #: Words of a block, unless the corpus is so small that fewer make at least MIN_SLOTS slots.
 BLOCK_WORDS = 1024
 MIN_SLOTS = 65536
+#: With blocks of its own, a source has this many at least (one a word, if it has fewer words).
+OWN_BLOCKS = 1024
 #: 2^32 divided by the golden ratio, made odd: k * GOLDEN mod 2^32 walks the unit interval evenly.
 GOLDEN = 2654435769
 #: Cells of the unit interval in which slots meet the sources' shares.
@@ -55,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_passes: int = MOST_PA
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, most_passes: int = MOST_PASSES, block_words: int = BLOCK_WORDS, min_slots: int = MIN_SLOTS,
+    weights=WEIGHTS, most_passes: int = MOST_PASSES, block_words: int = BLOCK_WORDS, min_slots: int = MIN_SLOTS, own_blocks: bool = False,
 ) -> DataFrame:
     """How many words a weighted mix takes from each document.
 
@@ -64,6 +66,10 @@ def mix_sources(
     their proportions. The r-th slot of a source takes block r of the source's documents laid end to end in hash
     order and cut into equal blocks of words, beginning anew after the last block, at most ``most_passes`` times.
 
+    Blocks have one size for all sources, as in OP2_SQL; a source of few blocks then misses its target by up to a
+    block or more. With ``own_blocks`` such a source is cut into at least OWN_BLOCKS smaller ones, and slots are dealt
+    by targets over block sizes, so that it ends within a few thousandths of its size from its target.
+
     Result: the id, ``size`` (words), ``source_size``, ``target``, ``taken``. Documents without words take nothing
     and still get a row. Null sources are one source, ordered last. Rows repeating an id are documents of their
     own. Everything but word counting moves only (id, source, size).
@@ -77,17 +83,22 @@ def mix_sources(
     total = int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     block = max(1, min(block_words, total // min_slots), total >> 30)
     slots = max(1, round(total / block)) if total else 0
-
-    taken_of = schedule(spark, targets, slots, block, most_passes)
-    known = sizes.join(F.broadcast(targets.select("source", "place")) if _few(targets) else targets.select("source", "place"),
-                       sizes["source"].eqNullSafe(targets["source"])).select("doc_id", "place", "size")
+    own = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {OWN_BLOCKS}"))).cast("bigint") if own_blocks else F.lit(block).cast("bigint")
+    targets = targets.withColumn("width", own)
+    if own_blocks:
+        slots = round(targets.agg(F.coalesce(F.sum(F.col("target") / F.col("width")), F.lit(0.0))).first()[0])
+
+    taken_of = schedule(spark, targets, slots, F.col("target") / F.col("width") if own_blocks else F.col("target"), most_passes)
+    places = targets.select("source", "place", "width")
+    known = sizes.join(F.broadcast(places) if _few(targets) else places,
+                       sizes["source"].eqNullSafe(targets["source"])).select("doc_id", "place", "size", "width")
     stream = common.bucketed_running(
         known.filter("size > 0").withColumn("h", common.hash60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/mix")))).withColumn("piece", F.shiftright("h", 48)),
         ["place"], "piece", ["h", "doc_id", "size"], {"start": "size"},
     )
     spans = stream.withColumn("stop", F.col("start") + F.col("size"))
-    spans = spans.withColumn("block", F.explode(F.expr(f"sequence(start div {block}L, (stop - 1) div {block}L)")))
-    overlap = F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    spans = spans.withColumn("block", F.explode(F.expr("sequence(start div width, (stop - 1) div width)")))
+    overlap = F.least("stop", (F.col("block") + 1) * F.col("width")) - F.greatest("start", F.col("block") * F.col("width"))
     pieces = spans.join(taken_of, ["place", "block"], "left")
     taken = pieces.groupBy("place", "start", "doc_id", "size").agg(F.sum(overlap * F.coalesce("passes", F.lit(0))).alias("taken"))
     empty = known.filter("size = 0").select("place", F.lit(0).cast("bigint").alias("start"), "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
@@ -101,16 +112,16 @@ def _few(targets: DataFrame, most: int = 100_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def schedule(spark, targets: DataFrame, slots: int, block: int, most_passes: int) -> DataFrame:
-    """(place, block, passes): how often the schedule takes each block of each source."""
+def schedule(spark, targets: DataFrame, slots: int, share: Column, most_passes: int) -> DataFrame:
+    """(place, block, passes): how often the schedule takes each block of each source, slots being dealt by ``share``."""
     everyone = Window.partitionBy(F.lit(0))
     upto = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = targets.filter("source_size > 0").select(
+    shares = targets.filter("source_size > 0").withColumn("share", share).select(
         "place",
-        F.ceil(F.col("source_size") / block).alias("blocks"),
-        (F.sum("target").over(upto) - F.col("target")).alias("a"),
-        F.sum("target").over(upto).alias("b"),
-        F.sum("target").over(everyone).alias("all"),
+        F.ceil(F.col("source_size") / F.col("width")).alias("blocks"),
+        (F.sum("share").over(upto) - F.col("share")).alias("a"),
+        F.sum("share").over(upto).alias("b"),
+        F.sum("share").over(everyone).alias("all"),
     )
     point = lambda c: F.floor(F.col(c) / F.col("all") * float(1 << 32)).cast("bigint")
     last = F.max("place").over(everyone)
@@ -127,11 +138,11 @@ def schedule(spark, targets: DataFrame, slots: int, block: int, most_passes: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken (words taken over its size, to the nearest whole).
 
-    Since blocks follow each other in a source's stream, at most one document of a source is taken in part, so
+    Each source has blocks of its own, so that small ones meet their targets too. Since blocks follow each other in a source's stream, at most one document of a source is taken in part, so
     rounding changes a source by less than half a document. Documents without words are kept once. Columns and
     texts stay as they are; rows of one id count together.
     """
-    take = mix_sources(docs, **options)
+    take = mix_sources(docs, **{"own_blocks": True} | options)
     id_col = options.get("id_col", "doc_id")
     copies = take.groupBy(F.col("doc_id").alias("__id")).agg(
         F.when(F.sum("size") == 0, F.lit(1)).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int").alias("__copies")

@@ -104,6 +104,15 @@ def test_mix_meets_its_targets(spark, data):
     assert [(k, sum(v)) for k, v in by.items() if abs(sum(v) - k[1]) > 0.01 * total] == []
 
 
+def test_mixed_documents_hold_small_sources_in_full(spark):
+    sizes = {"a": [500] * 100, "b": [15] * 10, "c": [70] * 10, "d": [500] * 100}
+    rows = [(100 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # Blocks of 1,024 words, as a corpus of 67 million words has them.
+    got = {r["source"]: r["count"] for r in mixing.mixed_documents(docs, min_slots=64).groupBy("source").count().collect()}
+    assert got["b"] == got["c"] == 30 and abs(500 * (got["a"] + got["d"]) - (100850 - 3 * 850)) <= 1000
+
+
 def test_shards_are_even_and_gapless(spark, data):
     docs = spark.read.parquet(f"{data[0]}/documents.parquet")
     many = docs.filter("length(text) < 3000").withColumn("doc_id", F.explode(F.array(*[F.col("doc_id") + 1000 * k for k in range(20)])))
