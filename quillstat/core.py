@@ -204,6 +204,15 @@ class ArrayModel(Model):
         return df.withColumn(output, apply(vector(self.features)))
 
 
+def summed(parts: DataFrame, name: str = "m") -> np.ndarray:
+    """Element-wise sum of the arrays in a column of equal lengths, added up on executors."""
+    got = parts.select(F.posexplode(name).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(1 + max((r["k"] for r in got), default=-1))
+    for r in got:
+        out[r["k"]] = r["v"]
+    return out
+
+
 def score_of(frame: DataFrame, name: str = "score") -> float:
     """The one number of a one-row metric frame."""
     return float(frame.select(name).first()[0])

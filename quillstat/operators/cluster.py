@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, vector
+from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, summed, vector
 from ..functions.numeric import digamma, lgamma
 
 
@@ -55,7 +55,7 @@ class CentroidModel(ArrayModel):
 
 @dataclass
 class KMeans:
-    """Lloyd's iteration: assignment and partial sums in every task, k rows a task to the driver.
+    """Lloyd's iteration: assignment and partial sums in every task, added up on executors.
 
     Starts from k-means++ on a hashed sample; stops when no centroid moves more than ``tol`` squared; an empty
     cluster keeps its centroid; ties go to the lowest index. ``weight`` names a column of row weights.
@@ -88,7 +88,7 @@ class KMeans:
                                 total[:, j] += np.bincount(at, z[:, j], minlength=self.k)
                     yield pd.DataFrame({"m": [total.ravel()]})
 
-                m = sum(np.array(r["m"]).reshape(self.k, d + 2) for r in rows.mapInPandas(sums, "m array<double>").collect())
+                m = summed(rows.mapInPandas(sums, "m array<double>")).reshape(self.k, d + 2)
                 new = np.where(m[:, :1] > 0, m[:, 1:-1] / np.maximum(m[:, :1], 1e-300), c)
                 inertia, moved = float(m[:, -1].sum()), ((new - c) ** 2).sum(1).max()
                 c = new
@@ -149,7 +149,7 @@ class MixtureModel(ArrayModel):
 
 @dataclass
 class GaussianMixture:
-    """EM: responsibilities and weighted moments in every task, one row a task to the driver."""
+    """EM: responsibilities and weighted moments in every task, added up on executors."""
 
     k: int = 2
     covariance: str = "full"
@@ -196,11 +196,10 @@ class GaussianMixture:
                         n += len(x)
                         r = e / e.sum(1, keepdims=True)
                         s += r.T @ np.column_stack([np.ones(len(x)), x, np.einsum("ij,ik->ijk", x, x).reshape(len(x), -1)])
-                yield pd.DataFrame({"m": [s.ravel()], "ll": [ll], "n": [float(n)]})
+                yield pd.DataFrame({"m": [np.append(s.ravel(), [ll, n])]})
 
-            got = rows.mapInPandas(sums, "m array<double>, ll double, n double").collect()
-            s = sum(np.array(r["m"]).reshape(k, -1) for r in got)
-            n, ll = sum(r["n"] for r in got), sum(r["ll"] for r in got)
+            *s, ll, n = summed(rows.mapInPandas(sums, "m array<double>"))
+            s = np.array(s).reshape(k, -1)
             nk = np.maximum(s[:, 0], 1e-10)
             mean = s[:, 1 : 1 + d] / nk[:, None]
             cov = s[:, 1 + d :].reshape(k, d, d) / nk[:, None, None] - np.einsum("ij,ik->ijk", mean, mean)

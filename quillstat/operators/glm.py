@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, vector
+from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, summed, vector
 from ..functions import numeric
 from .linear import LinearModel, solve
 
@@ -17,7 +17,7 @@ from .linear import LinearModel, solve
 def reweighted(df: DataFrame, features: list[str], label: str, step, max_iter: int, tol: float, penalty: float = 0.0, start: np.ndarray | None = None) -> np.ndarray:
     """Coefficients (intercept first) by iteration: ``step(z, y, eta)`` gives weights and working targets of a batch.
 
-    Each round is one pass that sums X'WX and X'Wz in every task and adds one row a task on the driver.
+    Each round is one pass that sums X'WX and X'Wz in every task and adds them up on executors.
     """
     require(df, [*features, label])
     rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y")).filter("y IS NOT NULL").cache()
@@ -39,7 +39,7 @@ def reweighted(df: DataFrame, features: list[str], label: str, step, max_iter: i
                     total += (x * w[:, None]).T @ np.column_stack([x, z])
                 yield pd.DataFrame({"m": [total.ravel()]})
 
-            m = sum(np.array(r["m"]).reshape(d, d + 1) for r in rows.mapInPandas(sums, "m array<double>").collect())
+            m = summed(rows.mapInPandas(sums, "m array<double>")).reshape(d, d + 1)
             a = m[:, :d] + penalty * np.diag([0.0] + [1.0] * (d - 1))
             new = solve(a + 1e-12 * np.eye(d), m[:, d])
             if not np.isfinite(new).all():

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,56 +16,116 @@ from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, ve
 
 @dataclass
 class Gram:
-    """Sums over rows (weighted): count, first and second moments of the features and the target."""
+    """Centred sums over rows (weighted): count, means and comoments of the features and, last, the target.
+
+    Comoments are taken around means from the start and merged pairwise, so that large values lose no digits.
+    """
 
     n: float
-    sx: np.ndarray
-    sxx: np.ndarray
-    sy: float = 0.0
-    sxy: np.ndarray | None = None
-    syy: float = 0.0
+    means: np.ndarray
+    moments: np.ndarray
+
+    def __add__(self, o: Gram) -> Gram:
+        n, gap = self.n + o.n, o.means - self.means
+        if not n:
+            return self
+        return Gram(n, self.means + gap * (o.n / n), self.moments + o.moments + np.outer(gap, gap) * (self.n * o.n / n))
 
     def __sub__(self, o: Gram) -> Gram:
-        return Gram(self.n - o.n, self.sx - o.sx, self.sxx - o.sxx, self.sy - o.sy, self.sxy - o.sxy, self.syy - o.syy)
+        n = self.n - o.n
+        if n <= 0:
+            return Gram(0.0, np.zeros_like(self.means), np.zeros_like(self.moments))
+        means = self.means + (self.means - o.means) * (o.n / n)
+        gap = o.means - means
+        return Gram(n, means, self.moments - o.moments - np.outer(gap, gap) * (n * o.n / self.n))
 
     @property
     def mean(self):
-        return self.sx / self.n
+        return self.means[:-1]
+
+    @property
+    def label_mean(self) -> float:
+        return float(self.means[-1])
+
+    @property
+    def sx(self):
+        return self.n * self.mean
+
+    @property
+    def sxx(self):
+        return self.moments[:-1, :-1] + self.n * np.outer(self.mean, self.mean)
 
     def covariance(self, ddof: int = 1):
-        return (self.sxx - self.n * np.outer(self.mean, self.mean)) / max(self.n - ddof, 1e-300)
+        return self.moments[:-1, :-1] / max(self.n - ddof, 1e-300)
 
     def centred(self, intercept: bool = True):
         """(X'X, X'y, y'y) around the means, or around 0 without an intercept."""
-        if not intercept:
-            return self.sxx, self.sxy, self.syy
-        return self.sxx - np.outer(self.sx, self.sx) / self.n, self.sxy - self.sx * self.sy / self.n, self.syy - self.sy**2 / self.n
+        m = self.moments if intercept else self.moments + self.n * np.outer(self.means, self.means)
+        return m[:-1, :-1], m[:-1, -1], m[-1, -1]
+
+    def squared_error(self, coef: np.ndarray, intercept: float) -> float:
+        """The (weighted) sum of squared residuals of a linear form on these rows."""
+        a, c, yy = self.centred()
+        off = self.label_mean - float(self.mean @ coef) - intercept
+        return float(yy - 2 * coef @ c + coef @ a @ coef + self.n * off * off)
+
+    @staticmethod
+    def of(z: np.ndarray, w: np.ndarray) -> Gram:
+        n = float(w.sum())
+        means = (w @ z) / n if n else np.zeros(z.shape[1])
+        gap = z - means
+        return Gram(n, means, (gap * w[:, None]).T @ gap)
+
+
+#: Tasks' sums are merged in so many parts on executors before the driver merges the rest.
+MERGE_PARTS = 32
 
 
 def grams(df: DataFrame, features: list[str], label: str | None = None, weight: str | None = None, by: str | None = None) -> dict:
-    """Gram of each group (``by``; else one under None): partial sums in Arrow batches, one row a task and group."""
-    require(df, [*features, *([label] if label else [])])
-    d = len(features)
+    """Gram of each group (``by``; else one under None), from one pass.
+
+    Tasks sum their Arrow batches, executors merge the tasks' sums, the driver gets MERGE_PARTS rows a group at most.
+    Rows with a null or NaN value are left out; a null, NaN or negative weight is an error.
+    """
+    require(df, [*features, *([label] if label else []), *([weight] if weight else [])])
+    d = len(features) + 1
     cols = [vector(features).alias("x"), (F.col(f"`{label}`").cast("double") if label else F.lit(0.0)).alias("y"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(f"`{by}`").cast("string") if by else F.lit("")).alias("g")]
 
+    def frame(got: dict, part: int) -> pd.DataFrame:
+        rows = [(g, part, bad, m.n, m.means.tolist(), m.moments.ravel().tolist()) for g, (bad, m) in got.items()]
+        return pd.DataFrame(rows, columns=["g", "part", "bad", "n", "means", "moments"])
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
             for g, part in b.groupby("g", dropna=False):
-                z = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy()), part["y"].to_numpy()])
-                z = z[~np.isnan(z).any(axis=1)] if np.isnan(z).any() else z
-                w = part["w"].to_numpy()[: len(z)]
-                m = (z * w[:, None]).T @ z
-                total[g] = total.get(g, 0) + m
-        yield pd.DataFrame({"g": list(total), "m": [m.ravel() for m in total.values()]})
-
+                z = np.column_stack([np.stack(part["x"].to_numpy()).astype(float), part["y"].to_numpy(float)])
+                w = part["w"].to_numpy(float)
+                bad, whole = ~(w >= 0), ~np.isnan(z).any(axis=1)
+                g = None if pd.isna(g) else g
+                old = total.get(g, (0, Gram(0.0, np.zeros(d), np.zeros((d, d)))))
+                total[g] = (old[0] + int(bad.sum()), old[1] + Gram.of(z[whole & ~bad], w[whole & ~bad]))
+        if total:
+            yield frame(total, TaskContext.get().partitionId() % MERGE_PARTS)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = Gram(0.0, np.zeros(d), np.zeros((d, d)))
+        for n, means, moments in zip(rows["n"], rows["means"], rows["moments"], strict=True):
+            total = total + Gram(n, np.array(means), np.array(moments).reshape(d, d))
+        return frame({rows["g"].iloc[0]: (int(rows["bad"].sum()), total)}, int(rows["part"].iloc[0]))
+
+    schema = "g string, part int, bad bigint, n double, means array<double>, moments array<double>"
+    found = df.select(*cols).mapInPandas(sums, schema).groupBy("g", "part").applyInPandas(merge, schema).collect()
     got: dict = {}
-    for r in df.select(*cols).mapInPandas(sums, "g string, m array<double>").collect():
-        got[r["g"]] = got.get(r["g"], 0) + np.array(r["m"]).reshape(d + 2, d + 2)
+    for r in sorted(found, key=lambda r: (r["g"] or "", r["part"])):
+        if r["bad"]:
+            raise InvalidParameter(f"weights in {weight} must be numbers of at least 0")
+        one = Gram(r["n"], np.array(r["means"]), np.array(r["moments"]).reshape(d, d))
+        got[r["g"]] = got[r["g"]] + one if r["g"] in got else one
+    got = {g: m for g, m in got.items() if m.n > 0}
     if not got:
         raise EmptyInput("no rows")
-    make = lambda m: Gram(m[0, 0], m[0, 1:-1], m[1:-1, 1:-1], m[0, -1], m[1:-1, -1], m[-1, -1])
-    return {g if by else None: make(m) for g, m in got.items()}
+    return got if by else {None: got[""]}
 
 
 def gram(df: DataFrame, features: list[str], label: str | None = None, weight: str | None = None) -> Gram:
@@ -95,7 +156,7 @@ class LinearModel(Model):
 
 def _model(features, g: Gram, coef, intercept: bool, **extra) -> LinearModel:
     coef = np.asarray(coef, float)
-    b = float((g.sy - g.sx @ coef) / g.n) if intercept else 0.0
+    b = float(g.label_mean - g.mean @ coef) if intercept else 0.0
     a, c, yy = g.centred(intercept)
     rss = float(yy - 2 * coef @ c + coef @ a @ coef)
     _, _, total = g.centred(True)
@@ -187,18 +248,14 @@ class LassoRegressor(ElasticNetRegressor):
 def _cross_validated(df, features, label, fold: str, makers: list) -> tuple[LinearModel, int, list[float]]:
     """Best of several penalties by mean R^2 over folds; all folds' sums come from one pass, folds by subtraction."""
     parts = grams(df, features, label, by=fold)
-    zero = None
-    for p in parts.values():
-        zero = p if zero is None else Gram(zero.n + p.n, zero.sx + p.sx, zero.sxx + p.sxx, zero.sy + p.sy, zero.sxy + p.sxy, zero.syy + p.syy)
+    zero = sum(list(parts.values())[1:], next(iter(parts.values())))
     means = []
     for m in makers:
         scores = []
         for p in parts.values():
             fit = m.from_gram(zero - p, features)
-            w, b = fit.coef, fit.intercept
-            rss = p.syy - 2 * (w @ p.sxy + b * p.sy) + w @ p.sxx @ w + 2 * b * (w @ p.sx) + b * b * p.n
-            total = p.syy - p.sy**2 / p.n
-            scores.append(1 - rss / total if total > 0 else 0.0)
+            total = p.centred()[2]
+            scores.append(1 - p.squared_error(fit.coef, fit.intercept) / total if total > 0 else 0.0)
         means.append(float(np.mean(scores)))
     best = int(np.argmax(means))
     return makers[best].from_gram(zero, features), best, means

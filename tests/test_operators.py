@@ -192,3 +192,25 @@ def test_gaussian_process_interpolates(spark):
     m = kernels.GaussianProcessRegressor(kernels.Kernel("rbf", 0.5), 1e-8).fit(df, ["x"], "y")
     assert abs(m.predict_array(np.array([[1.5]]))[0] - math.sin(1.5)) < 1e-3
     assert kernels.optimize_rbf_length(m.x, np.sin(m.x[:, 0]), alpha=1e-6) > 0.1
+
+
+def test_sums_of_products_on_awkward_rows(spark, line):
+    few = spark.createDataFrame([(float(i), 0.5 * i + 1, 1.0) for i in range(3)], "a double, y double, w double")
+    m = linear.OlsRegressor().fit(few.repartition(50), ["a"], "y")
+    assert np.allclose([m.coef[0], m.intercept], [0.5, 1.0])
+    with pytest.raises(core.EmptyInput):
+        linear.OlsRegressor().fit(few.filter("a > 9"), ["a"], "y")
+    gaps = spark.createDataFrame([(float("nan"), 7.0, 50.0), (1.0, 1.5, 1.0), (2.0, 2.0, 2.0), (None, 3.0, 9.0), (4.0, 3.0, 3.0), (5.0, None, 80.0)], "a double, y double, w double")
+    m = linear.WlsRegressor("w").fit(gaps.repartition(1), ["a"], "y")
+    assert np.allclose([m.coef[0], m.intercept], [0.5, 1.0])
+    with pytest.raises(core.InvalidParameter):
+        linear.WlsRegressor("w").fit(few.withColumn("w", F.lit(float("nan"))), ["a"], "y")
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    far = spark.createDataFrame([(1e9 + float(a), 1e9 + float(b), float(2 * a - b)) for a, b in x], "a double, b double, y double").repartition(5)
+    m = linear.OlsRegressor().fit(far, ["a", "b"], "y")
+    assert np.allclose(m.coef, [2, -1], atol=1e-4) and np.allclose(linear.PCA(2).fit(far, ["a", "b"]).values, sorted(np.linalg.eigvalsh(np.cov(x.T)))[::-1], rtol=1e-4)
+    g = linear.grams(line.withColumn("f", F.col("id") % 3), ["a", "b"], "y", by="f")
+    whole, rest = linear.gram(line, ["a", "b"], "y"), linear.gram(line.filter("id % 3 <> 1"), ["a", "b"], "y")
+    left = whole - g["1"]
+    assert np.allclose(left.means, rest.means) and np.allclose(left.moments, rest.moments) and left.n == rest.n
