@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: What separates words, in regular-expression form; the same six bytes are used by the byte scanners.
@@ -14,10 +15,39 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text whose n-grams or windows make one bucket, about, and the fewest buckets.
+BUCKET_BYTES = 2 << 20
+LEAST_BUCKETS = 256
+
+
+def buckets_for(text_bytes: int) -> int:
+    """Buckets that hashes of all n-grams are dealt to: as many as keep a bucket's share bounded at any input size."""
+    return max(LEAST_BUCKETS, -(-text_bytes // BUCKET_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0])
+
+
+def need_integers(docs: DataFrame, *columns: str) -> None:
+    """Refuses id columns that are no integers, before any job starts."""
+    for c in columns:
+        if not isinstance(docs.schema[c].dataType, T.IntegralType):
+            raise TypeError(f"column {c} must be an integer, not {docs.schema[c].dataType.simpleString()}")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"__{base}{k or ''}") not in taken)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or (local runs only) a folder made for this session."""
+    """The folder all executors see: spark.checkpoint.dir, or (local masters only) a folder made for this session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_quillstat_dir", None)
         if not path:
             path = spark._quillstat_dir = tempfile.mkdtemp(prefix="quillstat-")
