@@ -20,6 +20,10 @@ BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
 
 
+#: Tables written by materialize() and not deleted yet.
+_TABLES: list[str] = []
+
+
 def buckets_for(text_bytes: int) -> int:
     """Buckets that hashes of all n-grams are dealt to: as many as keep a bucket's share bounded at any input size."""
     return max(LEAST_BUCKETS, -(-text_bytes // BUCKET_BYTES))
@@ -55,19 +59,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """Writes df once as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df once as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The table stays until discard() or cleanup(), as results that are read later may be made from it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstat/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    _TABLES.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() wrote in this process: call it when results have been read or written."""
+    discard(spark, *list(_TABLES))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes tables written by materialize() that nothing reads any more."""
     for p in paths:
+        if p in _TABLES:
+            _TABLES.remove(p)
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -111,7 +126,33 @@ def bucketed_running(df: DataFrame, group: list[str], bucket: str, order: list,
 def ranged(df: DataFrame, order: list[str], tag: str) -> tuple[DataFrame, str]:
     """df dealt by ranges of ``order`` and written, with the range number as ``__piece``: pieces for bucketed_running().
 
-    Ranges cut through any group whose rows differ in ``order``; the written table keeps the cuts fixed.
+    Ranges cut through any group, as rows that are equal in ``order`` are told apart by where they are read; the
+    written table keeps the cuts fixed.
     """
     n = max(2 * shuffle_width(df.sparkSession), 8)
-    return materialize(df.repartitionByRange(n, *order).withColumn("__piece", F.spark_partition_id()), tag)
+    cut = df.withColumn("__read", F.monotonically_increasing_id()).repartitionByRange(n, *order, "__read").drop("__read")
+    return materialize(cut.withColumn("__piece", F.spark_partition_id()), tag)
+
+
+#: Rows that one task may rank or a broadcast may hold (some 50 to 100 bytes each).
+FEW = 100_000
+
+
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str], alone: bool, tag: str) -> DataFrame:
+    """Exclusive running sums over a whole table in order: in one task if it is known to be small, else in pieces."""
+    if alone:
+        upto = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({o: F.sum(c).over(upto) - F.col(c) for o, c in sums.items()})
+    pieces, _ = ranged(df.withColumn("__all", F.lit(0)), order, tag)
+    return bucketed_running(pieces, ["__all"], "__piece", order, sums).drop("__all", "__piece")
+
+
+def beside(df: DataFrame, alone: bool, **totals: Column) -> DataFrame:
+    """Totals over a whole table beside each of its rows."""
+    if alone:
+        return df.withColumns({k: v.over(Window.partitionBy(F.lit(0))) for k, v in totals.items()})
+    return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in totals.items()])))  # one row

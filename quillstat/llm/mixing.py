@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -21,8 +20,8 @@ OWN_BLOCKS = 1024
 GOLDEN = 2654435769
 #: Cells of the unit interval in which slots meet the sources' shares.
 CELLS = 4096
-#: Hash ranges that cut each source's shuffled stream into pieces ranked apart.
-PIECES = 4096
+#: Parts of a source's rows in which they meet its figures, where there are too many sources to broadcast.
+SALTS = 16
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most_passes: int = MOST_PASSES) -> DataFrame:
@@ -31,27 +30,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_passes: int = MOST_PA
     What capped sources leave is reshared among the others by weight until none is above: with the sources in
     order of cap over weight, the water level is found at the first source that the level no longer fills.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everyone = Window.partitionBy(F.lit(0))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"last": F.col("source").isNull(), "one": F.lit(1).cast("bigint")})
+    alone = common.few(total)
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = total.withColumn("place", F.row_number().over(by_name) - 1)
+    ranked = common.running(total, ["last", "source"], {"place": "one"}, alone, "sources")
     ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * most_passes)
-    by_ratio = Window.partitionBy(F.lit(0)).orderBy((F.col("cap") / F.col("weight")), "place")
-    upto = by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = (F.sum("source_size").over(everyone) - (F.sum("cap").over(upto) - F.col("cap"))) / (
-        F.sum("weight").over(everyone) - (F.sum("weight").over(upto) - F.col("weight"))
-    )
-    ranked = ranked.withColumn("level", level)
+    ranked = ranked.withColumn("cap", F.col("source_size") * most_passes).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = common.running(ranked, ["ratio", "place"], {"caps": "cap", "weights": "weight"}, alone, "ratios")
+    ranked = common.beside(ranked, alone, all_size=F.sum("source_size"), all_weight=F.sum("weight"))
+    ranked = ranked.withColumn("level", (F.col("all_size") - F.col("caps")) / (F.col("all_weight") - F.col("weights")))
     # The first source whose cap the level doesn't exceed sets the level of it and all after it; from there on
     # levels only fall, so it is the highest of those that fit.
-    fits = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everyone)
+    ranked = common.beside(ranked, alone, fits=F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))))
     return ranked.select(
         "source",
         "place",
         "source_size",
-        F.least(F.col("cap").cast("double"), F.coalesce(fits, F.lit(0.0)) * F.col("weight")).alias("target"),
+        F.least(F.col("cap").cast("double"), F.coalesce(F.col("fits"), F.lit(0.0)) * F.col("weight")).alias("target"),
     )
 
 
@@ -72,7 +67,9 @@ def mix_sources(
 
     Result: the id, ``size`` (words), ``source_size``, ``target``, ``taken``. Documents without words take nothing
     and still get a row. Null sources are one source, ordered last. Rows repeating an id are documents of their
-    own. Everything but word counting moves only (id, source, size).
+    own; rows equal in id, source and size share what is taken in any order. A text of any length may lie in several
+    blocks. Other columns are ignored, whatever their names; an empty table gives no rows. Everything but word
+    counting moves only (id, source, size).
     """
     spark = docs.sparkSession
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(common.WORD), F.lit(0)))
@@ -90,8 +87,8 @@ def mix_sources(
 
     taken_of = schedule(spark, targets, slots, F.col("target") / F.col("width") if own_blocks else F.col("target"), most_passes)
     places = targets.select("source", "place", "width")
-    known = sizes.join(F.broadcast(places) if _few(targets) else places,
-                       sizes["source"].eqNullSafe(targets["source"])).select("doc_id", "place", "size", "width")
+    alone = common.few(targets)
+    known = _placed(sizes, places, alone).select("doc_id", "place", "size", "width")
     stream = common.bucketed_running(
         known.filter("size > 0").withColumn("h", common.hash60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/mix")))).withColumn("piece", F.shiftright("h", 48)),
         ["place"], "piece", ["h", "doc_id", "size"], {"start": "size"},
@@ -104,28 +101,26 @@ def mix_sources(
     empty = known.filter("size = 0").select("place", F.lit(0).cast("bigint").alias("start"), "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
     out = taken.unionByName(empty)
     about = targets.select("place", "source_size", "target")
-    return out.join(F.broadcast(about) if _few(targets) else about, "place").select("doc_id", "size", "source_size", "target", "taken")
+    return _placed(out, about, alone, "place").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _few(targets: DataFrame, most: int = 100_000) -> bool:
-    """Whether the table of sources is small enough to broadcast (a row has some 50 bytes)."""
-    return targets.limit(most + 1).count() <= most
+def _placed(rows: DataFrame, sources: DataFrame, alone: bool, key: str = "source") -> DataFrame:
+    """Rows with what is known of their source: broadcast if there are few, else joined in SALTS parts of each source."""
+    if alone:
+        return rows.join(F.broadcast(sources), rows[key].eqNullSafe(sources[key])).drop(sources[key])
+    sources = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return rows.join(sources, rows[key].eqNullSafe(sources[key]) & (rows["salt"] == sources["salt"])).drop(sources[key], "salt")
 
 
 def schedule(spark, targets: DataFrame, slots: int, share: Column, most_passes: int) -> DataFrame:
     """(place, block, passes): how often the schedule takes each block of each source, slots being dealt by ``share``."""
-    everyone = Window.partitionBy(F.lit(0))
-    upto = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = targets.filter("source_size > 0").withColumn("share", share).select(
-        "place",
-        F.ceil(F.col("source_size") / F.col("width")).alias("blocks"),
-        (F.sum("share").over(upto) - F.col("share")).alias("a"),
-        F.sum("share").over(upto).alias("b"),
-        F.sum("share").over(everyone).alias("all"),
-    )
+    alone = common.few(targets)
+    shares = targets.filter("source_size > 0").withColumn("share", share).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")))
+    shares = common.running(shares, ["place"], {"a": "share"}, alone, "shares").withColumn("b", F.col("a") + F.col("share"))
+    shares = common.beside(shares, alone, all=F.sum("share"), last=F.max("place"))
     point = lambda c: F.floor(F.col(c) / F.col("all") * float(1 << 32)).cast("bigint")
-    last = F.max("place").over(everyone)
-    shares = shares.select("place", "blocks", point("a").alias("lo"), F.when(F.col("place") == last, F.lit(1 << 32)).otherwise(point("b")).alias("hi"))
+    shares = shares.select("place", "blocks", point("a").alias("lo"), F.when(F.col("place") == F.col("last"), F.lit(1 << 32)).otherwise(point("b")).alias("hi"))
     width = (1 << 32) // CELLS
     cells = shares.filter("hi > lo").withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}L, (hi - 1) div {width}L)")))
     k = spark.range(slots).withColumn("x", (F.col("id") * GOLDEN) % (1 << 32)).withColumn("cell", F.expr(f"x div {width}L"))
@@ -138,21 +133,24 @@ def schedule(spark, targets: DataFrame, slots: int, share: Column, most_passes:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken (words taken over its size, to the nearest whole).
 
-    Each source has blocks of its own, so that small ones meet their targets too. Since blocks follow each other in a source's stream, at most one document of a source is taken in part, so
-    rounding changes a source by less than half a document. Documents without words are kept once. Columns and
-    texts stay as they are; rows of one id count together.
+    Each source has blocks of its own, so that small ones meet their targets too. Since blocks follow each other in a
+    source's stream, at most one document of a source is taken in part, so rounding changes a source by less than
+    half a document. Documents without words (null texts among them) are kept once. Columns, names and texts stay as
+    they are; rows of one id (or none) count together; an empty table gives none.
     """
     take = mix_sources(docs, **{"own_blocks": True} | options)
     id_col = options.get("id_col", "doc_id")
-    copies = take.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.when(F.sum("size") == 0, F.lit(1)).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int").alias("__copies")
+    named, times, copy = (common.free_name(docs, x) for x in ("taken_id", "times", "copy"))
+    copies = take.groupBy(F.col("doc_id").alias(named)).agg(
+        F.when(F.sum("size") == 0, F.lit(1)).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int").alias(times)
     )
-    held = docs.join(copies.filter("__copies > 0"), docs[id_col].eqNullSafe(copies["__id"])).drop("__id")
-    again = held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.join(copies.filter(F.col(times) > 0), docs[id_col].eqNullSafe(copies[named]))
+    again = held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return again.select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each: see mix_sources."""
     return mix_sources(common.table(spark, sf_dir, "documents"))
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -20,8 +19,7 @@ DIMENSIONS = ("by_size", "by_source", "by_lang")
 TIES = ("by_text", "by_rest")
 #: A text with copies that have more than this part of a shard's bytes (or of all rows over all shards) is placed by name.
 LARGE = 1 / 256
-#: Names of sources or languages that are ranked in one task and broadcast; more of them are ranked in pieces and joined.
-FEW_NAMES = 100_000
+#: Parts of a source's or language's rows in which they meet their rank, where there are too many names to broadcast.
 SALTS = 16
 
 
@@ -76,19 +74,15 @@ class Node:
 
 def _places(docs: DataFrame, column: str, name: str, salt: Column) -> DataFrame:
     """``docs`` with the step, by rank among the distinct values in code-point order (null last), of a column."""
-    names = docs.select(F.col(column).alias("__name")).distinct()
-    many = names.limit(FEW_NAMES + 1).count() > FEW_NAMES
-    if many:  # ranks in pieces; rows meet them in SALTS parts of a hot name
-        pieces, _ = common.ranged(names.withColumn("__last", F.col("__name").isNull()), ["__last", "__name"], "names")
-        pieces = pieces.withColumn("__one", F.lit(1).cast("bigint")).withColumn("__all", F.lit(0))
-        ranked = common.bucketed_running(pieces, ["__all"], "__piece", ["__last", "__name"], {"__rank": "__one"})
-        ranked, _ = common.materialize(ranked.select("__name", "__rank"), "ranks")
-    else:
-        ranked = names.withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("__name").asc_nulls_last())) - 1)
-    total = F.broadcast(ranked.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__total")))
+    names = docs.select(F.col(column).alias("__name")).distinct().withColumns({"__last": F.col("__name").isNull(), "__one": F.lit(1).cast("bigint")})
+    alone = common.few(names)
+    ranked = common.running(names, ["__last", "__name"], {"__rank": "__one"}, alone, "names")
+    ranked = common.beside(ranked, alone, __total=F.count(F.lit(1)))
+    if not alone:
+        ranked, _ = common.materialize(ranked, "ranks")
     step = F.floor(F.col("__rank") * STEPS / F.col("__total")).cast("int")
-    ranked = ranked.crossJoin(total).select("__name", step.alias(name))  # one row beside each name
-    if not many:
+    ranked = ranked.select("__name", step.alias(name))
+    if alone:
         return docs.join(F.broadcast(ranked), docs[column].eqNullSafe(ranked["__name"])).drop("__name")
     ranked = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     docs = docs.withColumn("__salt", salt)
