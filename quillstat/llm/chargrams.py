@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -20,6 +21,12 @@ for _c in range(_TABLE):
         _FOLD[_c] = ord(chr(_c).lower()) if len(chr(_c).lower()) == 1 else _c
 
 
+@cache
+def _high_letters() -> np.ndarray:
+    """Which code points from _TABLE up are letters; made once a process, when a text first holds such a point."""
+    return np.fromiter((chr(c).isalpha() for c in range(_TABLE, 0x110000)), bool, 0x110000 - _TABLE)
+
+
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(folded code points, which are letters, offsets in code points); all but letters fold to a space."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -29,9 +36,10 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     small = np.where(low, points, 0)
     letters = np.where(low, _LETTER[small], False)
     folded = np.where(low, _FOLD[small], 32).astype(np.uint32)
-    for k in np.flatnonzero(~low):
-        if chr(points[k]).isalpha():
-            letters[k], folded[k] = True, points[k]
+    high = np.flatnonzero(~low)
+    if len(high):
+        high = high[_high_letters()[points[high] - _TABLE]]
+        letters[high], folded[high] = True, points[high]
     return folded, letters, at
 
 
