@@ -28,21 +28,25 @@ def rotate_perspectives(
     long, has to fit in one row or task: turns are dealt by ranges and offsets are sums over ranges.
 
     Null roles count as ``unknown``, null texts as empty, a null turn comes first and a null conversation is one of
-    its own. Turns with the same number go by role, then text. Rows repeated in all columns are all rendered. Column
-    functions only.
+    its own, apart from one whose id is empty. Turns with the same number go by role, then text; turns equal in all
+    three, and rows repeated in all columns, are all rendered, in any order. A text of any length is one segment.
+    Other columns are ignored, whatever their names; an empty table gives no rows. A conversation with a large share
+    of all turns is spread over the ranges that hold it. Column functions only.
     """
     who = F.coalesce(F.col(role_col), F.lit("unknown"))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), who.alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    rows = rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    pieces, _ = common.ranged(rows, ["conv", "turn", "speaker", "text"], "turns")
-    views = pieces.filter(~F.col("speaker").isin(*context_roles)).select("conv", F.col("speaker").alias("perspective")).distinct()
-    shown = pieces.join(views, "conv")
+    rows = rows.withColumns({"lost": F.col("conv_id").isNull(), "conv": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))})
+    conv = ["lost", "conv"]
+    pieces, _ = common.ranged(rows, [*conv, "turn", "speaker", "text"], "turns")
+    views = pieces.filter(~F.col("speaker").isin(*context_roles)).select(*conv, F.col("speaker").alias("perspective")).distinct()
+    where = pieces.select(*conv, "__piece").distinct()
+    shown = pieces.join(where.join(views, conv), [*conv, "__piece"])
     head = F.when(F.col("speaker").isin(*context_roles), F.concat(F.lit(f"{OPEN}system\n"))).otherwise(_header(F.col("speaker"), F.col("perspective")))
     shown = shown.withColumn("head", head)
     shown = shown.withColumn("segment", F.concat("head", "text", F.lit(CLOSE))).withColumn("size", F.length("segment").cast("bigint"))
-    shown = common.bucketed_running(shown, ["conv", "perspective"], "__piece", ["turn", "speaker", "text"], {"start": "size"})
+    shown = common.bucketed_running(shown, [*conv, "perspective"], "__piece", ["turn", "speaker", "text"], {"start": "size"})
     train = (F.col("speaker") == F.col("perspective")) & ~F.col("speaker").isin(*context_roles)
     return shown.select(
         "conv_id",
@@ -58,6 +62,7 @@ def rotate_perspectives(
 
 
 def op8_chat_perspectives(spark, sf_dir: str) -> DataFrame:
+    """All conversations from every participant's side: see rotate_perspectives."""
     return rotate_perspectives(common.table(spark, sf_dir, "conversations"))
 
 
