@@ -126,10 +126,12 @@ def train_toxicity_model(
 ) -> ToxicityModel:
     """Fits on a bounded sample: about ``per_class`` labelled ids of each class, weighted back to the classes' shares.
 
-    First n-gram buckets are counted by class, and those that tell the classes apart best become features scaled by
-    their naive Bayes log-count ratio; then the sample's feature lists (a few KB a document, some 30 MB together)
-    are fitted in one task, in id order. The driver gets the features' weights only. Rows without a label or id are left out; labels other than 0 count as 1; an id labelled
-    twice is two examples. Without both classes among the labels the model scores 0.
+    First n-gram buckets are counted by class, and those that tell the classes apart best (FEATURES of those that at
+    least LEAST_DOCS documents have) become features scaled by their naive Bayes log-count ratio; then the sample's
+    feature lists (a few KB a document, some 30 MB together) are fitted in one task, in id order. The driver gets the
+    features' weights only. Rows without a label or id are left out, null texts count as empty; labels other than 0
+    count as 1; an id labelled in both ways is two examples, rows equal in id, text and label are one. Other columns
+    are ignored. Without both classes among the labels (so with empty tables) the model scores 0.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) != 0).cast("int").alias("label"))
     known = known.filter("label IS NOT NULL AND doc_id IS NOT NULL")
@@ -137,11 +139,17 @@ def train_toxicity_model(
     if len(have) < 2:
         return ToxicityModel()
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / have[1]))).otherwise(F.lit(min(1.0, per_class / have[0])))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * float(1 << 20))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * float(1 << 20)).distinct()
     if chosen.limit(8 * per_class + 1).count() <= 8 * per_class:  # at most 65536 pairs of 12 bytes
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample, path = common.materialize(texts.join(chosen, "doc_id").repartition(8, "doc_id"), "toxic-sample")
+    # Of an id that very many rows have, a share of the rows is picked, by their texts; equal texts teach once.
+    rows = texts.select("doc_id").join(chosen, "doc_id").count()
+    sample = texts.join(chosen, "doc_id")
+    if rows > 8 * per_class:
+        sample = sample.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 20)) < F.lit(8 * per_class / rows * (1 << 20)))
+    sample = sample.groupBy("doc_id", "label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
+    sample, path = common.materialize(sample.repartition(8, "doc_id", "text"), "toxic-sample")
     counts = sample.select("label", "text").mapInArrow(_counts, "label int, docs bigint, counts binary").withColumn("all", F.lit(0))
     chosen = counts.groupBy("all").applyInArrow(_choose, "bucket int, ratio double, seen0 bigint, seen1 bigint").collect()
     if not chosen:
@@ -183,7 +191,9 @@ def train_toxicity_model(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The id, ``score`` (0 to 1) and ``predicted`` (1 from the threshold on) of each document, from its whole text.
 
-    A null text counts as empty and gets the score of a text without features. The weights (2 MB) are broadcast.
+    A null text counts as empty and gets the score of a text without features. Every row is scored by itself, so ids
+    may be null or repeated, and a text of any length is scored whole. The weights (2 MB) are broadcast. Other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,7 +208,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below the threshold, with all their columns; the rows never leave their task."""
+    """The documents scored below the threshold, with all their columns; the rows never leave their task.
+
+    Nulls and long texts are as score_toxicity() has them; repeated rows share their fate, whatever their ids; an
+    empty table gives none.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches):
@@ -209,6 +223,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels whose crc32 of the id mod 4 is not 2: see score_toxicity."""
     docs = common.table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     labels = common.table(spark, sf_dir, "labels").filter(fold != 2)
