@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, textscan
 
@@ -274,12 +275,16 @@ def find_contamination(
     reached is ``score``. The words of an item that are rarest among all documents are its seeds, enough of them that
     each such alignment holds some; only where so many stand together, words are aligned. ``seeds`` counts those about
     the match. Items are broadcast in rounds of at most ``round_bytes``; each round reads the documents twice and
-    shuffles only word counts. A null or empty text matches nothing, nor does a null item. Rows
-    repeating an id are searched one by one; repeated items give rows of their own.
+    shuffles only word counts. A null or empty text matches nothing, nor does a null or empty item. Rows repeating an
+    id (or without one) are searched one by one; repeated items give rows of their own. Ids of documents and items keep
+    their types. Of equally good alignments with one item the first counts, and a text of any length is searched
+    whole. Other columns are ignored, whatever their names; an empty table on either side gives no rows.
     """
     out, spark = None, docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id bigint, item_id bigint, seeds int, score double, begin_word bigint, end_word bigint"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = benchmark.schema[item_col].dataType
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, seeds int, score double, begin_word bigint, end_word bigint"
+    kind = to_arrow_type(kind)
     for shared in _rounds(docs, benchmark, text_col, item_col, item_text, threshold, round_bytes):
 
         def search(batches, shared=shared):
@@ -287,7 +292,7 @@ def find_contamination(
                 found = _matches(batch.column("text"), shared.value, threshold)
                 ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
                 cols = list(zip(*found, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.ids[k] for k in cols[1]], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], ["doc_id", "item_id", "seeds", "score", "begin_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.ids[k] for k in cols[1]], kind), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], ["doc_id", "item_id", "seeds", "score", "begin_word", "end_word"])
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -295,7 +300,10 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; the rows never leave their task."""
+    """The documents that hold no benchmark item, with all their columns; the rows never leave their task.
+
+    Nulls, long texts and empty tables are as find_contamination() has them; repeated rows share their fate.
+    """
     item_col, item_text = options.get("item_col", "item_id"), options.get("item_text", "text")
     round_bytes = options.get("round_bytes", ROUND_BYTES)
     for shared in _rounds(docs, benchmark, text_col, item_col, item_text, threshold, round_bytes):
@@ -312,4 +320,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All documents searched for all benchmark items: see find_contamination."""
     return find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
