@@ -33,7 +33,9 @@ def layout(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     """(page_id, file_no, offset, length, digest): where each page's record stands, in id order, and its SHA-256.
 
     Records follow each other by id, then digest; a null id comes first. A record belongs to the file in whose
-    ``file_bytes`` stretch of the whole archive it begins, and ``offset`` counts from that stretch's start.
+    ``file_bytes`` stretch of the whole archive it begins, and ``offset`` counts from that stretch's start. Null urls
+    and payloads count as empty, repeated rows are records of their own, a record may be longer than a file. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     record = warc_record(F.col(url_col), F.col(payload_col), F.col(id_col))
     rows = pages.select(F.col(id_col).alias("page_id"), record.alias("r"))
@@ -107,7 +109,10 @@ def rotted(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html")
 
 
 def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:
-    """All pages as records of an archive, audited against a replica with known rot: one row per record."""
+    """All pages as records of an archive, audited against a replica with known rot: one row per record.
+
+    Nulls, repeated rows, long payloads, extra columns and empty tables are as layout() has them.
+    """
     pages = common.table(spark, sf_dir, "pages")
     primary, _ = common.materialize(layout(pages), "manifest")
     replica, _ = common.materialize(layout(rotted(pages)), "replica")
