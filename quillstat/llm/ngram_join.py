@@ -18,8 +18,12 @@ HOT = 24
 KEY_BYTES = 5
 #: Cells of a set's histogram: what two sets share in a cell is at most the smaller count (suffix filter).
 CELLS = 64
+#: A cell counts up to this; where two sets both reach it in one cell, the cells bound nothing.
+FULL_CELL = 65535
 #: Members of a list that are paired in one go, and pairs looked at together.
 BLOCK = 1024
+#: Rows of a shingle's list that join with its head in one part.
+LIST_PART = 1024
 PAIRS = 1 << 18
 
 
@@ -160,7 +164,7 @@ def _count(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out_block, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
 
-def _collect(key: tuple, rows: pa.Table, buckets: int, percent: int) -> pa.Table:
+def _collect(key: tuple, rows: pa.Table, buckets: int, percent: int, full: int = FULL_CELL) -> pa.Table:
     """A block puts its documents' repeated shingles together: the rarest that lie in a document's prefix, and all.
 
     In rare-first order a document's unrepeated shingles come first and meet nobody, so of a prefix only what
@@ -205,20 +209,21 @@ def _collect(key: tuple, rows: pa.Table, buckets: int, percent: int) -> pa.Table
     else:
         token, df, text = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     order = np.lexsort((token, df, text))
-    token, text = token[order], text[order]
+    token, df, text = token[order], df[order], text[order]
     cuts = np.searchsorted(text, np.arange(len(n) + 1))
     repeated = np.diff(cuts)
     prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
     inside = np.clip(prefix - (n - repeated), 0, None)
-    prefixes, sets, cells = [None] * len(n), [None] * len(n), [None] * len(n)
+    prefixes, often, sets, cells = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n)
     for k in np.flatnonzero(inside > 0):
         mine = token[cuts[k] : cuts[k + 1]]
         prefixes[k] = mine[: inside[k]].view(np.int64)
+        often[k] = df[cuts[k] : cuts[k] + inside[k]].astype(np.int64)
         sets[k] = np.sort(mine).tobytes()
-        cells[k] = np.minimum(np.bincount((textscan.mix(mine, 64) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 32767).astype("<i2").tobytes()
+        cells[k] = np.minimum(np.bincount((textscan.mix(mine, 64) >> np.uint64(58)).astype(np.int64), minlength=CELLS), full).astype("<u2").tobytes()
     return pa.table({
         "doc_id": table.column("id"), "n": table.column("n"), "d0": table.column("d0"), "d1": table.column("d1"),
-        "skip": pa.array(n - repeated, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "tokens": pa.array(sets, pa.binary()),
+        "skip": pa.array(n - repeated, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "often": pa.array(often, pa.list_(pa.int64())), "tokens": pa.array(sets, pa.binary()),
         "cells": pa.array(cells, pa.binary()),
     })
 
@@ -232,14 +237,14 @@ def _needed(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def _cross(rows: pa.Table, percent: int) -> pa.Table:
+def _cross(rows: pa.Table, percent: int, full: int = FULL_CELL) -> pa.Table:
     """Pairs of members of one list in different components that could still link, from pairs of blocks of lists."""
     get = lambda c: rows.column(c).to_numpy()
     block, other = get("block"), get("other")
     keys = (np.maximum(block, other), np.minimum(block, other), get("token"))
     order = np.lexsort(keys)
     col = {c: get(c)[order] for c in ("doc_id", "n", "rep", "pos", "label", "low", "high")}
-    cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<i2").reshape(-1, CELLS)[order]
+    cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)[order]
     mine, apart = block[order], (block != other)[order]
     new = np.ones(len(order), bool)
     if len(order):
@@ -260,7 +265,10 @@ def _cross(rows: pa.Table, percent: int) -> pa.Table:
         keep = (100 * a >= percent * b) & (100 * b >= percent * a) & (np.minimum(col["rep"][i], col["rep"][j]) >= need)
         keep &= (col["low"][i] - col["high"][j] <= most) & (col["low"][j] - col["high"][i] <= most)
         i, j, need = i[keep], j[keep], need[keep]
-        keep = np.concatenate([np.minimum(cells[i[k : k + 65536]], cells[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, max(1, len(i)), 65536)]) >= need if len(i) else keep[:0]
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), 65536):
+            both = np.minimum(cells[i[k : k + 65536]], cells[j[k : k + 65536]])
+            keep[k : k + 65536] = (both.sum(axis=1, dtype=np.int64) >= need[k : k + 65536]) | (both >= full).any(axis=1)
         i, j = i[keep], j[keep]
         swap = col["doc_id"][i] > col["doc_id"][j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -314,18 +322,27 @@ def _distance_bounds():
     return low, F.when(F.col("shared") >= 0, low).otherwise(F.lit(1.0))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, d0, d1, skip, prefix, tokens, cells) of each row; the last three only where a prefix may meet another."""
-    buckets = max(256, 2 * common.shuffle_width(docs.sparkSession))
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, full: int = FULL_CELL) -> DataFrame:
+    """(doc_id, n, d0, d1, skip, prefix, often, tokens, cells) of each row; the last four only where a prefix may meet another.
+
+    ``often`` has how many documents have each shingle of the prefix.
+    """
+    common.need_integers(docs, id_col)
+    buckets = common.buckets_for(common.text_bytes(docs, text_col))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(lambda it: _send(it, width, buckets), "block bigint, kind int, bucket int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "block bigint, kind int, blob binary")
-    schema = "doc_id bigint, n bigint, d0 bigint, d1 bigint, skip bigint, prefix array<bigint>, tokens binary, cells binary"
-    return answers.groupBy("block").applyInArrow(lambda k, t: _collect(k, t, buckets, percent), schema)
+    schema = "doc_id bigint, n bigint, d0 bigint, d1 bigint, skip bigint, prefix array<bigint>, often array<bigint>, tokens binary, cells binary"
+    return answers.groupBy("block").applyInArrow(lambda k, t: _collect(k, t, buckets, percent, full), schema)
+
+
+def _parted(lists: DataFrame) -> DataFrame:
+    """A row for each part of a shingle's list (``parts`` of them), to meet the list's rows on (token, part)."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def similarity_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, full: int = FULL_CELL
 ) -> DataFrame:
     """One row per document: ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -340,29 +357,33 @@ def similarity_components(
     4. Pairs of one list that lie in different components are checked as well, each pair once. Two members whose
        distances to the list's first member differ by more than the allowed distance cannot link (triangle
        inequality), nor can pairs whose repeated parts, counted in cells of hash space, are smaller than what they
-       would have to share (suffix filter), or that fail the length and positional filters. So every link between components is found, and no group is written out
-       pair by pair.
+       would have to share (suffix filter), or that fail the length and positional filters. So every link between
+       components is found, and no group is written out pair by pair.
 
-    Set members are compared by 48 bits of their hashes, whole sets by 128. A null text, or one without
+    A shingle that very many documents have joins with its list's head in parts of about LIST_PART rows.
+
+    Set members are compared by 48 bits of their hashes or more, whole sets by 128. A null text, or one without
     words, has an empty set and links with nothing. A row without an id links with nothing and has a null
-    component. Rows that share an id are one node: each gives a row, with its own set size.
+    component. Rows that share an id are one node: each gives a row, with its own set size. Ids must be integers.
+    A text of any length is one set. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sets, sets_path = common.materialize(shingle_sets(docs, id_col, text_col, width, percent), "sets")
+    sets, sets_path = common.materialize(shingle_sets(docs, id_col, text_col, width, percent, full), "sets")
     nodes = sets.filter("prefix IS NOT NULL AND doc_id IS NOT NULL")
     classes = nodes.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep"))
     member = nodes.select("doc_id", "d0", "d1", "n").join(classes, ["d0", "d1", "n"]).select("doc_id", "rep")
     member, member_path = common.materialize(member, "members")
-    first = nodes.groupBy("d0", "d1", "n").agg(F.min_by(F.struct("doc_id", "skip", "prefix", "tokens", "cells"), "doc_id").alias("x"))
+    first = nodes.groupBy("d0", "d1", "n").agg(F.min_by(F.struct("doc_id", "skip", "prefix", "often", "tokens", "cells"), "doc_id").alias("x"))
     reps, reps_path = common.materialize(first.select("x.*", "n"), "classes")
     tokens = reps.select("doc_id", "n", "tokens")
 
-    index = reps.select("doc_id", "n", "skip", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "doc_id", "n", (F.col("n") - F.col("skip")).alias("rep"), (F.col("skip") + F.col("pos")).alias("pos"))
+    index = reps.select("doc_id", "n", "skip", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "x"))
+    index = index.select(F.col("x.prefix").alias("token"), "doc_id", "n", (F.col("n") - F.col("skip")).alias("rep"), (F.col("skip") + F.col("pos")).alias("pos"), F.expr(f"1 + (x.often - 1) div {LIST_PART}").alias("parts"))
+    index = index.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     # The first member is the one with the largest repeated part: of a text and its edited copies, the text.
     heads = index.withColumn("alone", 1 - F.col("rep") / F.col("n"))
-    heads = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("alone", "doc_id", "n", "rep", "pos")).alias("head")).filter("df > 1")
-    lists, lists_path = common.materialize(index.join(heads, "token").select(index["*"], "head"), "lists")
+    heads = heads.groupBy("token", "parts").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("alone", "doc_id", "n", "rep", "pos")).alias("head")).filter("df > 1")
+    lists, lists_path = common.materialize(index.join(_parted(heads), ["token", "part"]).select(index["*"], "head"), "lists")
 
     star = lists.filter("doc_id <> head.doc_id").groupBy(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"))
     star = star.agg(F.min("head.n").alias("a_n"), F.min("n").alias("b_n"))
@@ -377,17 +398,17 @@ def similarity_components(
     near = stars.select("a", "b", low.alias("low"), high.alias("high"))
     with_label = lists.join(labels, lists["doc_id"] == labels["id"], "left")
     with_label = with_label.select(lists["*"], F.coalesce("label", "doc_id").alias("label"))
-    open_ = with_label.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y AND m > 2").select("token")
-    rest = with_label.filter("doc_id <> head.doc_id").join(open_, "token", "left_semi")
+    open_ = with_label.groupBy("token", "parts").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y AND m > 2")
+    open_ = open_.select("token", "parts", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rest = with_label.filter("doc_id <> head.doc_id").join(_parted(open_), ["token", "part"])
     rest = rest.join(near, (rest["head.doc_id"] == near["a"]) & (rest["doc_id"] == near["b"]), "left")
-    rest = rest.select("token", "doc_id", "n", "rep", "pos", "label", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    size = with_label.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(reps.select("doc_id", "cells"), "doc_id").join(size, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = rest.select("token", "doc_id", "n", "rep", "pos", "label", "blocks", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    rest = rest.join(reps.select("doc_id", "cells"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rest, rest_path = common.materialize(rest, "open-lists")
     groups = int(max(2 * common.shuffle_width(spark), rest.count() // 8192))
     met = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("group", F.pmod(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")), F.lit(groups)))
-    pairs = met.drop("blocks").groupBy("group").applyInArrow(lambda t: _cross(t, percent), "a bigint, b bigint, a_n bigint, b_n bigint, a_pos bigint, b_pos bigint")
+    pairs = met.drop("blocks").groupBy("group").applyInArrow(lambda t: _cross(t, percent, full), "a bigint, b bigint, a_n bigint, b_n bigint, a_pos bigint, b_pos bigint")
     pairs = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("a_n", "b_n", "a_pos", "b_pos")])
     across, across_path = common.materialize(_checked(pairs, tokens, percent).filter(_linked(percent)).select("a", "b"), "links")
     if not across.isEmpty():
@@ -420,12 +441,18 @@ def _compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that have the smallest id of their component, with all their columns (and rows without an id)."""
-    gone = similarity_components(docs, id_col=id_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__id"), "left_anti")
+    """The documents that have the smallest id of their component, with all their columns (and rows without an id).
+
+    Rows that repeat a kept id all stay. Columns keep their names and types, whatever they are; an empty table gives
+    none. Nulls, long texts and ties are as similarity_components() has them.
+    """
+    name = common.free_name(docs, "gone")
+    gone = similarity_components(docs, id_col=id_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """All documents with their components of linked texts: see similarity_components."""
     return similarity_components(common.table(spark, sf_dir, "documents"))
 
 
