@@ -26,7 +26,9 @@ def exact_groups(
 
     Result: the id, ``keep_id`` (smallest id of the group), ``group_size``, ``kept``, ``text_sha256`` (hex of the
     normalised text). A row without an id is a group of its own (keep_id null, kept). Rows that repeat an id and
-    its text are members like any other; all rows with the smallest id are kept. Other columns are ignored.
+    its text are members like any other; all rows with the smallest id are kept. A very long text takes about
+    log4(its bytes / 128) rounds if others share its beginning, else one. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), common.SPACE, " ")
@@ -81,6 +83,7 @@ def exact_groups(
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents in groups of equal texts: see exact_groups."""
     return exact_groups(common.table(spark, sf_dir, "documents"))
 
 
