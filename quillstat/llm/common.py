@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of text whose n-grams or windows make one bucket, about, and the fewest buckets.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 LEAST_BUCKETS = 256
 
 

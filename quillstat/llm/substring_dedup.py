@@ -15,7 +15,7 @@ from . import common, textscan
 
 WINDOW = 13
 #: Bytes of text of a block of documents, and bytes that a window's hash takes on its way, besides the bucket's bits.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 KEY_BYTES = 7
 NO_ID = np.iinfo(np.int64).max
 
@@ -56,32 +56,34 @@ def substring_dedup(
     """What is left of each document when repeated windows of ``width`` words go.
 
     Each word covered by a window whose word sequence also starts in a document with a smaller id is removed;
-    overlapping windows merge into maximal intervals. Windows are judged on the input. Blocks of documents (dealt
-    by a hash of the id and the text's length) send each distinct window hash once, with the smallest id that has
-    it in the block, to the bucket of that hash; a bucket finds each hash's smallest id over all blocks and answers
-    a block with one bit for each window it sent: whether an earlier document elsewhere has it. So a window that
-    stands in a third of all documents costs one entry a block. Hashes have 64 bits, all compared.
+    overlapping windows merge into maximal intervals. Windows are judged on the input. Rows are dealt to blocks;
+    blocks send each distinct window hash once, with the smallest id that has it in the block, to the
+    bucket of that hash; a bucket finds each hash's smallest id over all blocks and answers a block with one bit for
+    each window it sent: whether an earlier document elsewhere has it. So a window that stands in a third of all
+    documents costs one entry a block. Texts are shuffled once. Hashes have 64 bits, all compared.
 
     Result: the id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by a space), ``spans`` (removed
-    intervals of word positions, end excluded). A null text has no words. A row without an id counts as later than
-    all others, and such rows don't affect each other; rows repeating an id are documents of their own, and the
-    same id is not a smaller one.
+    intervals of word positions, end excluded). A null text has no words and gives a row with 0 words. A row without
+    an id counts as later than all others, and such rows don't affect each other; rows repeating an id are documents
+    of their own, each with a row, and the same id is not a smaller one. Ids must be integers. A text of any length is
+    one document of one block. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:int,end:int>>"
     return _removed(docs, id_col, text_col, width, block_bytes, schema, _kept_texts)
 
 
 def _removed(docs, id_col, text_col, width, block_bytes, schema, finish) -> DataFrame:
-    spark = docs.sparkSession
-    size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
-    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    blocks = int(max(total // block_bytes, 2 * common.shuffle_width(spark)))
-    buckets = max(256, 2 * common.shuffle_width(spark))
+    common.need_integers(docs, id_col)
+    total = common.text_bytes(docs, text_col)
+    blocks = int(max(total // block_bytes, 2 * common.shuffle_width(docs.sparkSession)))
+    buckets = common.buckets_for(total)
+    # The partition that a row is read in takes part, so that rows of one id (or none) and length don't fill a block.
+    where = F.xxhash64(F.col(id_col).cast("bigint"), F.octet_length(text_col), F.spark_partition_id())
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), size), F.lit(blocks)).cast("int").alias("block"),
-    )
+        F.pmod(where, F.lit(blocks)).cast("int").alias("block"),
+    ).repartition("block")
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         ids, _, distinct, least, _, _ = _block_windows(rows, width, buckets)
@@ -205,6 +207,7 @@ def _kept_digests(rows: pa.Table, parts: list, gone: np.ndarray, width: int) ->
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without their repeated 13-word windows, kept words as a digest: see substring_dedup."""
     docs = common.table(spark, sf_dir, "documents")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     return _removed(docs, "doc_id", "text", WINDOW, BLOCK_BYTES, schema, _kept_digests)
