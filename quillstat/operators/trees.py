@@ -1,7 +1,8 @@
 """Decision trees, forests and boosting on binned features.
 
-Trees grow from histograms: each pass sums (tree, node, feature, bin) statistics in every task, all trees of a level
-at once, and the driver picks the splits. Features with at most ``max_bins`` distinct values are cut between each two
+Trees grow from histograms: each pass sums (node, feature, bin) statistics of all open nodes of all trees, of which
+only those that occur are kept; executors add them up and choose each node's split, the driver gets one row a node.
+Features with at most ``max_bins`` distinct values are cut between each two
 of them, so small tables give exact trees; others are cut at quantiles. Rows stay where they are: their node follows
 from the trees so far, their bootstrap weight from a hash of the id.
 """
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +80,32 @@ class Tree:
         return np.array(self.value)[self.leaf(x)]
 
 
-def _poisson(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """Bootstrap counts (Poisson 1) from a hash of row and tree."""
-    h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((tree * 0xBF58476D1CE4E5B9 + seed * 0x94D049BB133111EB) % (1 << 64)))
+def _draws(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A number from 0 to 1 from a hash of row and tree."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((tree * 0xBF58476D1CE4E5B9 + seed * 0x94D049BB133111EB) % (1 << 64))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    u = (h ^ (h >> np.uint64(32))).astype(np.float64) / 2.0**64
-    return np.searchsorted([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975], u).astype(float)
+    return (h ^ (h >> np.uint64(32))).astype(np.float64) / 2.0**64
+
+
+def _times(ids: np.ndarray, tree: int, seed: int, bootstrap: bool, share: float) -> np.ndarray:
+    """How often a tree sees each row: Poisson with mean ``share``, or (without bootstrap) a hashed share of them once."""
+    u = _draws(ids, tree, seed)
+    if not bootstrap:
+        return (u < share).astype(float)
+    each = np.exp(-share) * np.cumprod(np.concatenate(([1.0], share / np.arange(1, 24))))
+    return np.searchsorted(np.cumsum(each), u).astype(float)
+
+
+class Rows:
+    """A batch of rows as arrays: features ``x``, label ``y``, ``id``, weight ``w``, and scores so far ``z``."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        wide = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+        self.x, self.z = wide("x"), wide("z")
+        self.y, self.id, self.w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "id", "w"))
+
+    def __len__(self) -> int:
+        return len(self.y)
 
 
 @dataclass
@@ -97,6 +119,7 @@ class Growth:
     max_leaves: int | None = None
     max_bins: int = 255
     bootstrap: bool = False
+    share: float = 1.0
     features: float | str | int | None = None
     random_cut: bool = False
     l1: float = 0.0
@@ -142,102 +165,153 @@ def _gain(h: np.ndarray, g: Growth) -> np.ndarray:
     return np.where(ok, gain, -np.inf)
 
 
-def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int, g: Growth, edges: list[np.ndarray], id_col: str, first_tree: int = 0) -> list[Tree]:
-    """Trees on rows with an ``x`` array; ``target(batch, tree)`` gives (weights, statistics per row).
+#: What is known of an open node: its tree, place there, depth, candidate features, and bounds of its value.
+Open = tuple[int, int, int, np.ndarray, tuple[float, float]]
+
+
+def _best(h: np.ndarray, node: Open, g: Growth, edges: list[np.ndarray], seed: list[int]):
+    """(statistics, gain, feature, cut, middle) of a node's best split from its histogram (feature, bin, statistic); gain
+    is None where it stays a leaf."""
+    _, _, depth, columns, (low, high) = node
+    h, width = h[columns], h.shape[1]
+    total = h[0].sum(axis=0)
+    n = total.sum() if g.criterion in ("gini", "entropy") else total[0]
+    leaf = (total, None, None, None, None)
+    if depth >= g.max_depth or n < g.min_split or width < 2:
+        return leaf
+    if g.criterion != "gradient" and _impurity(total, g.criterion) < 1e-12 * max(1.0, n):
+        return leaf
+    gain, middle = _gain(h, g), np.zeros((len(h), width - 1))
+    if g.monotone:  # cuts whose sides would break a feature's direction are no candidates
+        sign = np.array([g.monotone[j] for j in columns])[:, None]
+        a = np.cumsum(h, axis=1)[:, :-1]
+        b = _newton(total - a, g.l1, g.l2, low, high)
+        a = _newton(a, g.l1, g.l2, low, high)
+        gain = np.where(sign * (b - a) < 0, -np.inf, gain)
+        middle = (a + b) / 2
+    if g.random_cut:  # one cut a feature, uniform between the node's ends
+        rng = np.random.default_rng(seed)
+        for r in range(len(h)):
+            e = edges[columns[r]]
+            seen = np.flatnonzero(h[r].sum(axis=1))
+            u = rng.random()
+            if len(seen) > 1 and len(e):
+                u = e[seen[0]] + u * (e[seen[-1] - 1] - e[seen[0]])
+                only = min(int(np.searchsorted(e, u)), len(e) - 1)
+                gain[r, np.arange(gain.shape[1]) != only] = -np.inf
+    gain = np.where(np.arange(width - 1)[None, :] < np.array([len(edges[j]) for j in columns])[:, None], gain, -np.inf)
+    most = gain.max()
+    if not np.isfinite(most) or (most <= 1e-12 and (g.stop_at_zero or g.criterion == "gradient")):
+        return leaf
+    # Sums come in any order: what differs by rounding only is equal, and the first of equals is taken.
+    row, cut = divmod(int((gain >= most - 1e-9 * abs(most)).argmax()), width - 1)
+    return total, float(gain[row, cut]), int(columns[row]), float(edges[columns[row]][cut]), float(middle[row, cut])
+
+
+def _node_splits(df: DataFrame, nodes: list[Open], trees: list[Tree], target, k: int, g: Growth, edges: list[np.ndarray], first_tree: int) -> list:
+    """The best split of each open node: sparse sums by (node, cell) in Spark, then one histogram a node on executors."""
+    d, width = len(edges), max((len(e) for e in edges), default=0) + 1
+    place = {t: {n[1]: i for i, n in enumerate(nodes) if n[0] == t} for t in {n[0] for n in nodes}}
+
+    def cells(batches):
+        for batch in batches:
+            b = Rows(batch)
+            if not len(b):
+                continue
+            bins = np.column_stack([np.searchsorted(edges[j], b.x[:, j], "left") for j in range(d)])
+            for t, mine in place.items():
+                w, s = target(b, first_tree + t)
+                w = w * b.w
+                if g.bootstrap or g.share < 1:
+                    w = w * _times(b.id, first_tree + t, g.seed, g.bootstrap, g.share)
+                of = np.full(len(trees[t].feature), -1)
+                of[list(mine)] = list(mine.values())
+                unit = of[trees[t].leaf(b.x)]
+                use = np.flatnonzero((unit >= 0) & (w > 0))
+                columns = nodes[next(iter(mine.values()))][3]
+                base = ((unit[use, None] * d + columns[None, :]) * width + bins[use][:, columns]) * k
+                key, value = [], []
+                for q in range(k):
+                    v = s[use, q] * w[use]
+                    on = np.flatnonzero(v)
+                    key.append((base[on] + q).ravel())
+                    value.append(np.repeat(v[on], len(columns)))
+                key, at = np.unique(np.concatenate(key), return_inverse=True)
+                sums = np.bincount(at, np.concatenate(value), minlength=len(key))
+                size = d * width * k
+                yield pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int64)), pa.array(sums, pa.float64())], ["unit", "cell", "v"])
+
+    def choose(key: tuple, rows: pa.Table) -> pa.Table:
+        h, unit = np.zeros(d * width * k), key[0].as_py()
+        h[rows.column("cell").to_numpy()] = rows.column("v").to_numpy()
+        total, gain, feature, cut, middle = _best(h.reshape(d, width, k), nodes[unit], g, edges, [g.seed, first_tree + nodes[unit][0], nodes[unit][1]])
+        return pa.table({"unit": pa.array([unit], pa.int32()), "total": pa.array([total.tolist()], pa.list_(pa.float64())), "gain": pa.array([gain], pa.float64()), "feature": pa.array([feature], pa.int32()), "cut": pa.array([cut], pa.float64()), "middle": pa.array([middle], pa.float64())})
+
+    sums = df.mapInArrow(cells, "unit int, cell bigint, v double").groupBy("unit", "cell").agg(F.sum("v").alias("v"))
+    return sums.groupBy("unit").applyInArrow(choose, "unit int, total array<double>, gain double, feature int, cut double, middle double").collect()
+
+
+def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int, g: Growth, edges: list[np.ndarray], first_tree: int = 0) -> list[Tree]:
+    """Trees on rows made by _rows(); ``target(rows, tree)`` gives (weights, statistics per row).
 
     For classes the statistics are one-hot labels; else (1, value, value^2), or (1, gradient, hessian).
     """
-    d, width = len(features), max((len(e) for e in edges), default=0) + 1
     trees, rng = [Tree() for _ in range(n_trees)], np.random.default_rng(g.seed + 977 * first_tree)
-    columns = [_columns(g.features, d, rng) for _ in range(n_trees)]
+    columns = [_columns(g.features, len(features), rng) for _ in range(n_trees)]
     open_: list[set[int]] = [{0} for _ in range(n_trees)]
     waiting: list[list] = [[] for _ in range(n_trees)]  # best-first: (gain, node, feature, cut, middle)
-    need = {"x", "y", "id"}
+    for tree in trees:
+        tree.value[0] = [0.0] * k
     while any(open_):
+        nodes: list[Open] = [(t, n, trees[t].depth[n], columns[t], trees[t].bounds.get(n, (-np.inf, np.inf))) for t in range(n_trees) for n in sorted(open_[t])]
         live = [t for t in range(n_trees) if open_[t]]
-        place = {t: {n: i for i, n in enumerate(sorted(open_[t]))} for t in live}
-
-        def sums(batches):
-            total = {t: np.zeros((len(place[t]), d, width, k)) for t in live}  # noqa: B023
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["x"].to_numpy())
-                bins = np.column_stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(d)])
-                for t in live:  # noqa: B023
-                    w, s = target(b, first_tree + t)
-                    if g.bootstrap:
-                        w = w * _poisson(b["id"].to_numpy(), first_tree + t, g.seed)
-                    at = trees[t].leaf(x)
-                    of = np.array([place[t].get(n, -1) for n in range(len(trees[t].feature))])[at]  # noqa: B023
-                    use = np.flatnonzero((of >= 0) & (w > 0))
-                    m = len(place[t]) * width  # noqa: B023
-                    for j in columns[t]:
-                        key = of[use] * width + bins[use, j]
-                        for q in range(k):
-                            total[t][:, j, :, q] += np.bincount(key, s[use, q] * w[use], minlength=m).reshape(-1, width)
-            for t in live:  # noqa: B023
-                yield pd.DataFrame({"t": [t], "h": [total[t].astype(np.float64).tobytes()]})
-
-        hist: dict = {}
-        for r in df.mapInPandas(sums, "t int, h binary").toLocalIterator():
-            h = np.frombuffer(r["h"]).reshape(len(place[r["t"]]), d, width, k)
-            hist[r["t"]] = hist.get(r["t"], 0) + h
+        open_ = [set() for _ in range(n_trees)]
+        for r in sorted(_node_splits(df, nodes, trees, target, k, g, edges, first_tree), key=lambda r: r["unit"]):
+            t, node = nodes[r["unit"]][:2]
+            trees[t].value[node] = list(r["total"])
+            if r["gain"] is not None:
+                waiting[t].append((r["gain"], node, r["feature"], r["cut"], r["middle"]))
         for t in live:
-            tree, now = trees[t], open_[t]
-            open_[t] = set()
-            for node, i in place[t].items():
-                h = hist[t][i][columns[t]]
-                total = h[0].sum(axis=0)
-                tree.value[node] = total.tolist()
-                n = total.sum() if g.criterion in ("gini", "entropy") else total[0]
-                if tree.depth[node] >= g.max_depth or n < g.min_split:
-                    continue
-                if g.criterion != "gradient" and _impurity(total, g.criterion) < 1e-12 * max(1.0, n):
-                    continue
-                gain = _gain(h, g)
-                if g.monotone:  # cuts whose sides would break a feature's direction are no candidates
-                    sign = np.array([g.monotone[j] for j in columns[t]])[:, None]
-                    low, high = tree.bounds.get(node, (-np.inf, np.inf))
-                    a = np.cumsum(h, axis=1)[:, :-1]
-                    b = _newton(total - a, g.l1, g.l2, low, high)
-                    a = _newton(a, g.l1, g.l2, low, high)
-                    gain = np.where(sign * (b - a) < 0, -np.inf, gain)
-                    middle = (a + b) / 2
-                if g.random_cut:  # one cut a feature, uniform between the node's ends
-                    for r in range(len(h)):
-                        e = edges[columns[t][r]]
-                        seen = np.flatnonzero(h[r].sum(axis=1))
-                        if len(seen) > 1 and len(e):
-                            u = e[seen[0]] + rng.random() * (e[seen[-1] - 1] - e[seen[0]])
-                            only = min(int(np.searchsorted(e, u)), len(e) - 1)
-                            gain[r, np.arange(gain.shape[1]) != only] = -np.inf
-                gain = np.where(np.arange(width - 1)[None, :] < np.array([len(edges[j]) for j in columns[t]])[:, None], gain, -np.inf) if width > 1 else gain
-                if not gain.size or not np.isfinite(gain.max()) or (gain.max() <= 1e-12 and (g.stop_at_zero or g.criterion == "gradient")):
-                    continue
-                best = int(gain.argmax())
-                row, cut = divmod(best, width - 1)
-                waiting[t].append((float(gain.ravel()[best]), node, int(columns[t][row]), float(edges[columns[t][row]][cut]), float(middle[row, cut]) if g.monotone else 0.0))
-            del now
+            tree = trees[t]
             leaves = sum(f < 0 for f in tree.feature)
             room = len(waiting[t]) if g.max_leaves is None else min(1, g.max_leaves - leaves)
             waiting[t].sort(key=lambda w: (-w[0], w[1]))
-            for gain_, node, feature, cut, middle in waiting[t][: max(0, room)]:
-                pair = tree.split(node, feature, cut, gain_)
+            for gain, node, feature, cut, middle in waiting[t][: max(0, room)]:
+                pair = tree.split(node, feature, cut, gain)
                 open_[t] |= set(pair)
                 if g.monotone:  # both sides of a constrained cut stay on their side of its middle, all the way down
                     low, high = tree.bounds.get(node, (-np.inf, np.inf))
                     sides = {1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle))}
                     tree.bounds |= dict(zip(pair, sides.get(g.monotone[feature], ((low, high), (low, high))), strict=True))
             waiting[t] = waiting[t][max(0, room) :] if g.max_leaves is not None else []
-    del need
     return trees
 
 
-def _rows(df: DataFrame, features: list[str], label: str, id_col: str | None) -> DataFrame:
-    require(df, [*features, label])
+def _rows(df: DataFrame, features: list[str], label: str, id_col: str | None, weight: str | None = None) -> DataFrame:
+    require(df, [*features, label, *([weight] if weight else [])])
     ident = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in [*features, label]])
-    return df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y"), ident.alias("id")).filter("y IS NOT NULL")
+    w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
+    rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y"), ident.alias("id"), w.alias("w"), F.array(F.lit(0.0)).alias("z")).filter("y IS NOT NULL")
+    return rows.filter("w > 0 AND NOT isnan(w)") if weight else rows
+
+
+#: Rounds of boosting after which the rows' scores are written down, so that a pass evaluates that many trees at most.
+KEEP_ROUNDS = 8
+
+
+def _rescored(rows: DataFrame, scores) -> DataFrame:
+    """The rows with ``z`` replaced by ``scores(rows)``, held in memory or on disk; the old ones are let go."""
+
+    def apply(batches):
+        for batch in batches:
+            z = scores(Rows(batch))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "id", "w")], flat], ["x", "y", "id", "w", "z"])
+
+    new = rows.mapInArrow(apply, rows.schema).persist()
+    new.count()
+    rows.unpersist()
+    return new
 
 
 @dataclass
@@ -299,32 +373,36 @@ class _TreeEnsemble:
     bootstrap: bool = False
     random_cut: bool = False
     regression: bool = False
+    max_samples: float = 1.0
 
     def _growth(self, criterion: str) -> Growth:
-        return Growth(criterion, self.max_depth, self.min_split, self.min_leaf, None, self.max_bins, self.bootstrap, self.max_features, self.random_cut, seed=self.seed)
+        if not 0 < self.max_samples <= 1:
+            raise InvalidParameter("max_samples must be a share of the rows")
+        return Growth(criterion, self.max_depth, self.min_split, self.min_leaf, None, self.max_bins, self.bootstrap, self.max_samples, self.max_features, self.random_cut, seed=self.seed)
 
-    def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None) -> ForestModel:
-        rows = _rows(df, features, label, id_col).cache()
+    def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, weight: str | None = None) -> ForestModel:
+        """``weight`` names a column of row weights (rows weighing nothing are left out): 2 counts as the row twice."""
+        rows = _rows(df, features, label, id_col, weight).cache()
         try:
             edges = bin_edges(df, features, self.max_bins)
             if self.regression:
-                target = lambda b, t: (np.ones(len(b)), np.column_stack([np.ones(len(b)), b["y"], b["y"] ** 2]))
-                return ForestModel(features, grow_forest(rows, features, target, 3, self.n_trees, self._growth("mse"), edges, "id"))
-            seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+                target = lambda b, t: (np.ones(len(b)), np.column_stack([np.ones(len(b)), b.y, b.y**2]))
+                return ForestModel(features, grow_forest(rows, features, target, 3, self.n_trees, self._growth("mse"), edges))
+            seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("w").alias("n")).limit(1001).collect()}
             labels = sorted(seen)
             if len(labels) > 1000:
                 raise InvalidParameter("more than 1000 classes")
-            weight = np.ones(len(labels))
+            by_class = np.ones(len(labels))
             if self.class_weight == "balanced":
-                weight = np.array([sum(seen.values()) / (len(labels) * seen[y]) for y in labels])
+                by_class = np.array([sum(seen.values()) / (len(labels) * seen[y]) for y in labels])
             elif isinstance(self.class_weight, dict):
-                weight = np.array([self.class_weight.get(y, 1.0) for y in labels])
+                by_class = np.array([self.class_weight.get(y, 1.0) for y in labels])
 
             def target(b, t):
-                k = np.searchsorted(labels, b["y"].to_numpy())
-                return weight[k], np.eye(len(labels))[k]
+                k = np.searchsorted(labels, b.y)
+                return by_class[k], np.eye(len(labels))[k]
 
-            return ForestModel(features, grow_forest(rows, features, target, len(labels), self.n_trees, self._growth(self.criterion), edges, "id"), labels)
+            return ForestModel(features, grow_forest(rows, features, target, len(labels), self.n_trees, self._growth(self.criterion), edges), labels)
         finally:
             rows.unpersist()
 
@@ -372,28 +450,29 @@ class BaggingRegressor(BaggingClassifier):
     regression: bool = True
 
 
-def oob_score(model: ForestModel, df: DataFrame, features: list[str], label: str, id_col: str | None, seed: int = 0) -> float:
+def oob_score(model: ForestModel, df: DataFrame, features: list[str], label: str, id_col: str | None, seed: int = 0, max_samples: float = 1.0) -> float:
     """Accuracy (or R^2) of rows by the trees whose bootstrap left them out."""
     rows = _rows(df, features, label, id_col)
 
     def score(batches):
-        for b in batches:
+        for batch in batches:
+            b = Rows(batch)
             if not len(b):
                 continue
-            x, ids = np.stack(b["x"].to_numpy()), b["id"].to_numpy()
-            out = np.column_stack([_poisson(ids, t, seed) == 0 for t in range(len(model.trees))])
+            out = np.column_stack([_times(b.id, t, seed, True, max_samples) == 0 for t in range(len(model.trees))])
             if model.labels is not None:
                 votes = np.zeros((len(b), len(model.labels)))
                 for t, tree in enumerate(model.trees):
-                    p = tree.predict(x)
+                    p = tree.predict(b.x)
                     votes[np.arange(len(b)), p.argmax(axis=1)] += out[:, t]
                 pred = np.array(model.labels)[votes.argmax(axis=1)]
             else:
-                each = np.column_stack([(v := t.predict(x))[:, 1] / np.maximum(v[:, 0], 1e-300) for t in model.trees])
+                each = np.column_stack([(v := t.predict(b.x))[:, 1] / np.maximum(v[:, 0], 1e-300) for t in model.trees])
                 pred = (each * out).sum(axis=1) / np.maximum(out.sum(axis=1), 1)
-            yield pd.DataFrame({"y": b["y"], "p": pred})[out.any(axis=1)]
+            seen = out.any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(b.y[seen], pa.float64()), pa.array(pred[seen], pa.float64())], ["y", "p"])
 
-    got = rows.mapInPandas(score, "y double, p double")
+    got = rows.mapInArrow(score, "y double, p double")
     if model.labels is not None:
         return got.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0]
     r = got.agg(F.avg((F.col("y") - F.col("p")) ** 2), F.var_pop("y")).first()
@@ -411,13 +490,18 @@ class BoostedModel(ArrayModel):
     labels: list[float] | None = None
     link: str = "identity"
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
+    def raw(self, x: np.ndarray, only: int | None = None) -> np.ndarray:
         out = np.tile(self.init, (len(x), 1)).astype(float)
         for trees in self.rounds:
             for k, t in enumerate(trees):
-                out[:, k] += self.rate * t.predict(x)[:, 0]
+                if only is None or k == only:
+                    out[:, k] += self.rate * t.predict(x)[:, 0]
         return out
 
+    def since(self, rounds: int) -> BoostedModel:
+        """What the rounds from a given one on add to the scores."""
+        return BoostedModel(self.features, [0.0] * len(self.init), self.rate, self.rounds[rounds:], self.labels)
+
     def predict_proba(self, x: np.ndarray) -> np.ndarray:
         z = self.raw(x)
         if len(self.labels) == 2:
@@ -474,37 +558,40 @@ class _Boosting:
     monotone: list[int] | None = None
     goss: tuple[float, float] | None = None
 
-    def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None) -> BoostedModel:
+    def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None, weight: str | None = None) -> BoostedModel:
+        """``weight`` names a column of row weights; rows weighing nothing are left out. ``valid`` is for early stopping."""
         if (self.monotone or self.goss) and self.leaf == "mean":
             raise InvalidParameter("monotone and goss need Newton leaves")
         if self.monotone and (len(self.monotone) != len(features) or set(self.monotone) - {-1, 0, 1}):
             raise InvalidParameter("monotone needs 1, 0 or -1 for each feature")
         if self.goss and not (0 < self.goss[0] < 1 and 0 < self.goss[1] <= 1 - self.goss[0]):
             raise InvalidParameter("goss needs two shares of at most 1 together")
-        rows = _rows(df, features, label, id_col).cache()
+        rows = _rows(df, features, label, id_col, weight).cache()
         try:
             edges = bin_edges(df, features, self.max_bins)
             labels = None if self.regression else sorted(r[0] for r in rows.select("y").distinct().limit(1001).collect())
-            n = rows.count()
+            n = rows.agg(F.sum("w")).first()[0]
             if self.regression:
-                init = [rows.agg(F.avg("y") if self.loss == "l2" else F.percentile("y", 0.5)).first()[0]]
+                init = [rows.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w") if self.loss == "l2" else F.percentile("y", 0.5)).first()[0]]
                 codes = None
             else:
                 if not 2 <= len(labels) <= 1000:
                     raise InvalidParameter("needs 2 to 1000 classes")
-                share = {r["y"]: r["n"] / n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+                share = {r["y"]: r["n"] / n for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
                 codes = labels[1:] if len(labels) == 2 else labels
                 init = [float(np.log(share[y] / (1 - share[y]))) for y in codes]
             model = BoostedModel(features, init, self.rate, [], labels)
             grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None)
-            best, since = np.inf, 0
+            best, since, kept = np.inf, 0, 0
+            rows = _rescored(rows, lambda b: np.tile(init, (len(b), 1)).astype(float))
             for r in range(self.n_rounds):
+                if r - kept == KEEP_ROUNDS:
+                    rows, kept = _rescored(rows, lambda b, recent=model.since(kept): b.z + recent.raw(b.x)), r  # noqa: B023
                 trees = []
                 for k in range(len(init)):
 
-                    def slopes(b, k=k, model=model):
-                        x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
-                        z = model.raw(x)[:, k]
+                    def slopes(b, k=k, recent=model.since(kept)):
+                        y, z = b.y, b.z[:, k] + recent.raw(b.x, k)[:, k]
                         if codes is None:
                             res, hess = y - z, np.ones(len(y))
                             if self.loss == "l1":
@@ -525,17 +612,17 @@ class _Boosting:
                         if self.balanced and codes is not None:
                             w = np.array([1 / (len(labels) * share[v]) for v in y])
                         if self.subsample < 1:
-                            u = ((b["id"].to_numpy().astype(np.uint64) * np.uint64(0xD1342543DE82EF95 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
+                            u = ((b.id.astype(np.uint64) * np.uint64(0xD1342543DE82EF95 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
                             w = w * (u < self.subsample)
                         one = np.ones(len(y))
                         if self.goss and rest < 1:
-                            u = ((b["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
+                            u = ((b.id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * r)) >> np.uint64(40)).astype(float) / 2.0**24  # noqa: B023
                             flat = _steepness(res) < top
                             w = np.where(flat, w * (u < rest) / rest, w)
                             one = np.where(flat, rest, 1.0)  # rows are counted as they are
                         return w, np.column_stack([one, res, res * res] if self.leaf == "mean" else [one, res, hess])
 
-                    tree = grow_forest(rows, features, target, 3, 1, grow, edges, "id", first_tree=r)[0]
+                    tree = grow_forest(rows, features, target, 3, 1, grow, edges, first_tree=r)[0]
                     tree.value = [[(v[1] / v[0] if v[0] else 0.0) if self.leaf == "mean" else float(_newton(np.array(v), self.l1, self.l2, *tree.bounds.get(i, ())))] if len(v) == 3 else [0.0] for i, v in enumerate(tree.value)]
                     tree.bounds = {}
                     trees.append(tree)
@@ -554,12 +641,12 @@ class _Boosting:
         """The steepness from which on rows are always taken, and the share to take of those below it."""
 
         def steps(batches):
-            for b in batches:
-                if len(b):
-                    key, n = np.unique(_steepness(slopes(b)[1]), return_counts=True)
-                    yield pd.DataFrame({"key": key, "n": n})
+            for batch in batches:
+                if batch.num_rows:
+                    key, n = np.unique(_steepness(slopes(Rows(batch))[1]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-        found = rows.mapInPandas(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # 32,768 keys at most
+        found = rows.mapInArrow(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # 32,768 keys at most
         total, above, cut = sum(r["n"] for r in found), 0, 0
         for r in sorted(found, key=lambda r: -r["key"]):
             cut, above = r["key"], above + r["n"]
@@ -636,27 +723,29 @@ class AdaBoostClassifier:
             labels = sorted(r[0] for r in rows.select("y").distinct().limit(1001).collect())
             k, model = len(labels), ForestModel(features, [], labels, [])
 
-            def weights(b):
-                x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
-                z = np.zeros(len(y))
-                for t, a in zip(model.trees, model.tree_weights, strict=True):
-                    z += a * (ForestModel(features, [t], labels).predict_array(x) != y)
-                return np.exp(np.minimum(z, 500))
-
-            def target(b, t):
-                return weights(b), np.eye(k)[np.searchsorted(labels, b["y"].to_numpy())]
+            def logs(b, kept):
+                z = b.z[:, 0].copy()
+                for t, a in zip(model.trees[kept:], model.tree_weights[kept:], strict=True):
+                    z += a * (ForestModel(features, [t], labels).predict_array(b.x) != b.y)
+                return z
 
+            kept = 0
             for r in range(self.n_rounds):
-                tree = grow_forest(rows, features, target, k, 1, Growth(max_depth=self.max_depth, min_split=0, min_leaf=0), edges, "id", r)[0]
-
-                def errors(batches):
-                    for b in batches:
-                        if len(b):
-                            w = weights(b)
-                            bad = ForestModel(features, [tree], labels).predict_array(np.stack(b["x"].to_numpy())) != b["y"].to_numpy()  # noqa: B023
-                            yield pd.DataFrame({"e": [float(w[bad].sum())], "w": [float(w.sum())]})
-
-                e, w = rows.mapInPandas(errors, "e double, w double").agg(F.sum("e"), F.sum("w")).first()
+                if r - kept == KEEP_ROUNDS:
+                    rows, kept = _rescored(rows, lambda b, kept=kept: logs(b, kept)[:, None]), r
+                weights = lambda b, kept=kept: np.exp(np.minimum(logs(b, kept), 500))
+                target = lambda b, t, weights=weights: (weights(b), np.eye(k)[np.searchsorted(labels, b.y)])
+                tree = grow_forest(rows, features, target, k, 1, Growth(max_depth=self.max_depth, min_split=0, min_leaf=0), edges, r)[0]
+
+                def errors(batches, tree=tree, weights=weights):
+                    for batch in batches:
+                        if batch.num_rows:
+                            b = Rows(batch)
+                            w = weights(b) * b.w
+                            bad = ForestModel(features, [tree], labels).predict_array(b.x) != b.y
+                            yield pa.RecordBatch.from_arrays([pa.array([float(w[bad].sum())]), pa.array([float(w.sum())])], ["e", "w"])
+
+                e, w = rows.mapInArrow(errors, "e double, w double").agg(F.sum("e"), F.sum("w")).first()
                 err = e / w
                 if err >= 1 - 1 / k:
                     if not model.trees:
@@ -689,32 +778,33 @@ class AdaBoostRegressor:
                 e = np.abs(ForestModel(features, [t]).predict_array(x) - y) / max(top, 1e-300)
                 return e if self.loss == "linear" else e * e if self.loss == "square" else 1 - np.exp(-e)
 
-            def weights(x, y):
-                z = np.zeros(len(y))
-                for t, a, top in zip(model.trees, model.tree_weights, tops, strict=True):
-                    z += (1 - losses(t, x, y, top)) * -a
-                return np.exp(z)
-
-            def target(b, t):
-                x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
-                return weights(x, y), np.column_stack([np.ones(len(y)), y, y * y])
+            def logs(b, kept):
+                z = b.z[:, 0].copy()
+                for t, a, top in zip(model.trees[kept:], model.tree_weights[kept:], tops[kept:], strict=True):
+                    z -= (1 - losses(t, b.x, b.y, top)) * a
+                return z
 
+            kept = 0
             for r in range(self.n_rounds):
-                tree = grow_forest(rows, features, target, 3, 1, Growth("mse", self.max_depth, 0, 0), edges, "id", r)[0]
-
-                def sums(batches, top=None):
-                    for b in batches:
-                        if len(b):
-                            x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
-                            w, e = weights(x, y), np.abs(ForestModel(features, [tree]).predict_array(x) - y)  # noqa: B023
-                            yield pd.DataFrame({"top": [e.max()], "e": [float((w * (losses(tree, x, y, top) if top else e)).sum())], "w": [float(w.sum())]})  # noqa: B023
-
-                top = rows.mapInPandas(sums, "top double, e double, w double").agg(F.max("top")).first()[0]
+                if r - kept == KEEP_ROUNDS:
+                    rows, kept = _rescored(rows, lambda b, kept=kept: logs(b, kept)[:, None]), r
+                weights = lambda b, kept=kept: np.exp(logs(b, kept))
+                target = lambda b, t, weights=weights: (weights(b), np.column_stack([np.ones(len(b)), b.y, b.y * b.y]))
+                tree = grow_forest(rows, features, target, 3, 1, Growth("mse", self.max_depth, 0, 0), edges, r)[0]
+
+                def sums(batches, top=None, tree=tree, weights=weights):
+                    for batch in batches:
+                        if batch.num_rows:
+                            b = Rows(batch)
+                            w, e = weights(b) * b.w, np.abs(ForestModel(features, [tree]).predict_array(b.x) - b.y)
+                            yield pa.RecordBatch.from_arrays([pa.array([float(e.max())]), pa.array([float((w * (losses(tree, b.x, b.y, top) if top else e)).sum())]), pa.array([float(w.sum())])], ["top", "e", "w"])
+
+                top = rows.mapInArrow(sums, "top double, e double, w double").agg(F.max("top")).first()[0]
                 if top <= 0:
                     model.trees.append(tree)
                     model.tree_weights.append(1.0)
                     break
-                e, w = rows.mapInPandas(lambda it: sums(it, top), "top double, e double, w double").agg(F.sum("e"), F.sum("w")).first()  # noqa: B023
+                e, w = rows.mapInArrow(lambda it, top=top, sums=sums: sums(it, top), "top double, e double, w double").agg(F.sum("e"), F.sum("w")).first()
                 if e / w >= 0.5:
                     if not model.trees:
                         model.trees, model.tree_weights = [tree], [1.0]
@@ -759,14 +849,19 @@ class IsolationForest:
         n = df.count()
         if not n:
             raise EmptyInput("no rows")
-        take = min(n, 4 * self.max_samples + 64 * int(self.max_samples**0.5))
-        pool = df.select(id_col, vector(features).alias("x")).orderBy(F.xxhash64(id_col, F.lit(self.seed)), id_col).limit(take).collect()
-        x, rng = np.array([r["x"] for r in pool], float), np.random.default_rng(self.seed)
         size = min(self.max_samples, n)
-        trees = []
-        for _ in range(self.n_trees):
+        # Each tree's sample is picked by its own hash of the id: a bit more than its share, of which the first go in.
+        most = min(1.0, (size + 6 * size**0.5 + 8) / n)
+        pick = F.array(*[F.xxhash64(id_col, F.lit(self.seed), F.lit(t)) for t in range(self.n_trees)])
+        long = df.select(vector(features).alias("x"), F.posexplode(pick).alias("t", "h")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(most * (1 << 30)))
+        pools: dict[int, list] = {}
+        for r in long.collect():  # about n_trees * max_samples rows
+            pools.setdefault(r["t"], []).append((r["h"], list(r["x"])))
+        rng, trees = np.random.default_rng(self.seed), []
+        for t in range(self.n_trees):
+            x = np.array([v for _, v in sorted(pools.get(t, []))][:size], float).reshape(-1, len(features))
             tree = Tree()
-            todo = [(0, x[rng.permutation(len(x))[:size]])]
+            todo = [(0, x)] if len(x) else []
             while todo:
                 node, part = todo.pop()
                 tree.value[node] = [float(len(part))]

@@ -214,3 +214,29 @@ def test_sums_of_products_on_awkward_rows(spark, line):
     whole, rest = linear.gram(line, ["a", "b"], "y"), linear.gram(line.filter("id % 3 <> 1"), ["a", "b"], "y")
     left = whole - g["1"]
     assert np.allclose(left.means, rest.means) and np.allclose(left.moments, rest.moments) and left.n == rest.n
+
+
+def test_weighted_trees_equal_trees_on_repeated_rows(spark, line):
+    weighted = line.withColumn("w", (F.col("id") % 4).cast("double"))
+    repeated = weighted.withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.col("w").cast("int"), F.lit(1))))).filter("w > 0")
+    for make, y in ((lambda: trees.DecisionTreeClassifier(max_depth=4), "k"), (lambda: trees.DecisionTreeRegressor(max_depth=4, min_leaf=5), "y"), (lambda: trees.HistGradientBoostingRegressor(2, max_depth=3, min_leaf=5), "y")):
+        a, b = make().fit(weighted, X, y, "id", weight="w"), make().fit(repeated, X, y, "id")
+        assert np.allclose(a.predict_array(np.zeros((1, 3))), b.predict_array(np.zeros((1, 3))))
+        x = np.random.default_rng(2).normal(size=(50, 3))
+        assert np.allclose(a.predict_array(x), b.predict_array(x))
+
+
+def test_trees_see_their_share_of_rows(line):
+    many = line.sparkSession.range(20_000).select("id", F.lit(1.0).alias("a"), F.lit(2.0).alias("y"))
+    for make, mean in ((lambda: trees.BaggingRegressor(4, max_depth=1, max_samples=0.3), 6000), (lambda: trees.BaggingRegressor(4, max_depth=1, max_samples=0.3, bootstrap=False), 6000), (lambda: trees.RandomForestRegressor(4, max_depth=1), 20_000)):
+        m = make().fit(many, ["a"], "y", "id")
+        assert all(abs(t.value[0][0] - mean) < 600 for t in m.trees) and len({t.value[0][0] for t in m.trees}) > 1
+    with pytest.raises(core.InvalidParameter):
+        trees.BaggingRegressor(max_samples=1.5).fit(line, X, "y")
+
+
+def test_trees_do_not_depend_on_partitions(line):
+    for make in (lambda: trees.RandomForestRegressor(5, max_depth=4, seed=3), lambda: trees.ExtraTreesRegressor(5, max_depth=4, seed=3), lambda: trees.AdaBoostRegressor(10)):
+        x = np.random.default_rng(4).normal(size=(80, 3))
+        a, b = (make().fit(d, X, "y", "id").predict_array(x) for d in (line.repartition(1), line.repartition(7)))
+        assert np.allclose(a, b)
