@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("metrics", "preprocessing", "selection", "learning", "models")
+_PARTS = ("metrics", "preprocessing", "selection", "learning", "models", "solved")
 
 
 def queries() -> dict:

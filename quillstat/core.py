@@ -13,7 +13,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,22 +113,56 @@ class Model:
             raise SerializationError(str(e)) from e
 
     def save(self, path: str, binary: bool = False) -> None:
-        try:
-            with open(path, "wb") as f:
-                f.write(self.to_bytes() if binary else self.to_json().encode())
-        except OSError as e:
-            raise DataIOError(str(e)) from e
+        """Writes to a local path, or through Spark to any store it knows (a path with a scheme: hdfs://, s3a://, file://)."""
+        write_bytes(path, self.to_bytes() if binary else self.to_json().encode())
 
     @staticmethod
     def load(path: str) -> Model:
-        try:
-            with open(path, "rb") as f:
-                data = f.read()
-        except OSError as e:
-            raise DataIOError(str(e)) from e
+        data = read_bytes(path)
         return Model.from_json(data.decode()) if data[:1] == b"{" else Model.from_bytes(data)
 
 
+def _store(path: str):
+    """(file system, path) of a path with a scheme, by way of the active session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise DataIOError(f"{path} needs a Spark session")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Replaces a small file; in a store it is written beside its place first and then moved."""
+    try:
+        if "://" not in path:
+            with open(path, "wb") as f:
+                f.write(data)
+            return
+        fs, where = _store(path)
+        part = where.suffix(".part")
+        out = fs.create(part, True)
+        out.write(bytearray(data))
+        out.close()
+        fs.delete(where, False)
+        if not fs.rename(part, where):
+            raise DataIOError(f"{path} could not be moved to its place")
+    except (OSError, Py4JJavaError) as e:
+        raise DataIOError(str(e)) from e
+
+
+def read_bytes(path: str) -> bytes:
+    try:
+        if "://" not in path:
+            with open(path, "rb") as f:
+                return f.read()
+        fs, where = _store(path)
+        if not fs.exists(where):
+            raise DataIOError(f"{path} does not exist")
+        return bytes(SparkSession.getActiveSession().read.format("binaryFile").load(path).first()["content"])
+    except (OSError, Py4JJavaError) as e:
+        raise DataIOError(str(e)) from e
+
+
 def _plain(x):
     if isinstance(x, np.ndarray):
         return {"array": x.tolist(), "dtype": str(x.dtype)}

@@ -211,6 +211,8 @@ def halving_grid_search_cv(df: DataFrame, id_col: str, candidates: list[dict], m
 
     Scores of those that dropped out are None; a single candidate is scored once.
     """
+    if factor < 2 or min_rows < 2 or not candidates:
+        raise InvalidParameter("halving needs candidates, a factor of 2 or more and 2 rows or more")
     n, alive, rows = df.count(), list(range(len(candidates))), min_rows
     scores: list[float | None] = [None] * len(candidates)
     while True:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -236,26 +238,34 @@ class QuantileModel(Model):
     output: str
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Linear interpolation between the two quantiles around a value, found by halving."""
+        """Linear interpolation between the two quantiles around a value, found by halving in Arrow batches; a value equal
+        to quantiles takes the middle of their places."""
         new = {}
         for c, q in zip(self.features, self.quantiles, strict=True):
-            x = F.col(f"`{c}`").cast("double")
-            n = len(q)
-            table = F.array(*[F.lit(float(v)) for v in q])
-            lo = F.greatest(F.size(F.filter(table, lambda v: v < x)), F.lit(1))
-            hi = F.size(F.filter(table, lambda v: v <= x))
-            a, b = F.element_at(table, lo), F.element_at(table, F.least(lo + 1, F.lit(n)))
-            inside = (lo - 1 + (x - a) / F.nullif(b - a, F.lit(0.0))) / (n - 1)
-            # A value equal to quantiles takes the middle of their places.
-            same = ((F.size(F.filter(table, lambda v: v < x)) + hi - 1) / 2.0) / (n - 1)
-            exact = F.exists(table, lambda v: v == x)
-            u = F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).when(exact, same).otherwise(inside)
+            u = _places(np.array(q, float))(F.col(f"`{c}`").cast("double"))
             if self.output == "normal":
                 u = numeric.normal_quantile(F.greatest(F.least(u, F.lit(1 - 1e-7)), F.lit(1e-7)))
-            new[c] = F.when(x.isNull(), F.lit(None)).otherwise(u)
+            new[c] = u
         return df.withColumns(new)
 
 
+def _places(q: np.ndarray):
+    """A column function: where a value lies among sorted quantiles, from 0 to 1."""
+
+    @F.pandas_udf("double")
+    def at(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(float)
+        lo, hi = np.searchsorted(q, x, "left"), np.searchsorted(q, x, "right")
+        a = np.clip(lo, 1, len(q) - 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            inside = a - 1 + (x - q[a - 1]) / (q[a] - q[a - 1])
+        u = np.where(hi > lo, (lo + hi - 1) / 2.0, inside) / (len(q) - 1)
+        u = np.where(x <= q[0], 0.0, np.where(x >= q[-1], 1.0, u))
+        return pd.Series(u).where(v.notna().to_numpy(), None)
+
+    return at
+
+
 @dataclass
 class QuantileTransformer:
     n_quantiles: int = 1000
@@ -371,8 +381,9 @@ class OrdinalEncoder:
 
 @dataclass
 class LabelEncoder:
-    """One string column to codes; ``classes`` is known after fit."""
+    """One string column to codes; ``classes``, at most ``most`` of them, is known after fit."""
 
+    most: int = 100_000
     model: OrdinalModel | None = field(default=None, repr=False)
 
     def fit(self, df: DataFrame, column: str) -> OrdinalModel:
@@ -383,4 +394,7 @@ class LabelEncoder:
     def classes(self) -> list[str]:
         if self.model is None:
             raise NotFitted("fit first")
-        return [r["value"] for r in self.model.vocabulary.orderBy("code").limit(100_000).collect()]
+        rows = self.model.vocabulary.select("value", "code").limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise InvalidParameter(f"more than {self.most} classes: read model.vocabulary, a table")
+        return [r["value"] for r in sorted(rows, key=lambda r: r["code"])]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..core import DataIOError, Model, read_bytes, write_bytes
 from ..operators.bayes import GaussianNB, GaussianState
 
 
@@ -13,7 +15,9 @@ from ..operators.bayes import GaussianNB, GaussianState
 class StreamingGaussianNB:
     """Keeps a Gaussian naive Bayes state up to date with a stream; a batch seen twice counts once.
 
-    ``writer(stream)`` gives a writer to start with a checkpoint location; ``state`` is the model so far.
+    ``writer(stream)`` gives a writer to start with a checkpoint location; ``state`` is the model so far. With
+    ``path`` (a file beside the checkpoint, any store that Spark knows) the state is written after each batch, with the
+    batch's number, and read when a new object starts: so a restarted stream goes on with all it has learned.
     """
 
     features: list[str]
@@ -21,6 +25,16 @@ class StreamingGaussianNB:
     nb: GaussianNB = field(default_factory=GaussianNB)
     state: GaussianState | None = None
     last: int = -1
+    path: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.path is None or self.state is not None:
+            return
+        try:
+            saved = json.loads(read_bytes(self.path))
+        except DataIOError:  # nothing learned yet
+            return
+        self.last, self.state = saved["last"], Model.from_json(saved["state"]) if saved["state"] else None
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
@@ -28,6 +42,8 @@ class StreamingGaussianNB:
         if not batch.isEmpty():
             self.state = self.nb.partial_fit(self.state, batch, self.features, self.label)
         self.last = batch_id
+        if self.path is not None:
+            write_bytes(self.path, json.dumps({"last": self.last, "state": self.state.to_json() if self.state else None}).encode())
 
     def writer(self, stream: DataFrame):
         return stream.writeStream.foreachBatch(self.update)

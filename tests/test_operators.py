@@ -240,3 +240,44 @@ def test_trees_do_not_depend_on_partitions(line):
         x = np.random.default_rng(4).normal(size=(80, 3))
         a, b = (make().fit(d, X, "y", "id").predict_array(x) for d in (line.repartition(1), line.repartition(7)))
         assert np.allclose(a, b)
+
+
+def test_a_restarted_stream_goes_on(spark, line, tmp_path):
+    line.select(*X, "k").repartition(2).write.parquet(str(tmp_path / "in"))
+    path = f"file://{tmp_path}/state.json"
+
+    def run():
+        stream = spark.readStream.schema("a double, b double, c double, k double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        nb = incremental.StreamingGaussianNB(X, "k", path=path)
+        nb.writer(stream).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return nb
+
+    assert run().state.count.sum() == 200
+    line.select(*X, "k").limit(50).write.mode("append").parquet(str(tmp_path / "in"))
+    again = run()
+    assert again.state.count.sum() == 250 and again.last >= 2
+
+
+def test_models_in_a_store_and_limits(spark, line, tmp_path):
+    m = linear.OlsRegressor().fit(line, X, "y")
+    m.save(f"file://{tmp_path}/model", binary=True)
+    assert np.allclose(core.Model.load(f"file://{tmp_path}/model").coef, m.coef)
+    with pytest.raises(core.DataIOError):
+        core.Model.load(f"file://{tmp_path}/none")
+    with pytest.raises(core.InvalidParameter):
+        model_selection.halving_grid_search_cv(line, "id", [{}], None, None, factor=1)
+    words = spark.createDataFrame([(w,) for w in "dcba"], "w string")
+    e = preprocessing.LabelEncoder(most=3)
+    e.fit(words, "w")
+    with pytest.raises(core.InvalidParameter):
+        e.classes  # noqa: B018
+    e.most = 4
+    assert e.classes == list("abcd")
+
+
+def test_quantile_places(spark):
+    x = [float(v) for v in (1, 2, 2, 2, 3, 10)]
+    df = spark.createDataFrame([(v,) for v in [*x, 0.0, 99.0, 2.5, None]], "a double")
+    m = preprocessing.QuantileTransformer(6).fit(spark.createDataFrame([(v,) for v in x], "a double"), ["a"])
+    got = [r["a"] for r in m.transform(df.coalesce(1)).collect()]
+    assert got[-1] is None and np.allclose(got[:-1], [0, 0.4, 0.4, 0.4, 0.8, 1, 0, 1, 0.7])
