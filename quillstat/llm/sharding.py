@@ -191,10 +191,10 @@ def grow(small: DataFrame, bundles: list[Bundle], shards: int, share: float) ->
             path = new
         old = todo
         long = here.filter(F.col("node").isin(list(todo))).select("node", "w", F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.col(c).alias("step")) for k, c in enumerate(DIMENSIONS)])).alias("x"))
-        got = long.groupBy("node", "x.d", "x.step").agg(F.sum("w").alias("w")).toArrow().to_pydict()
+        got = long.groupBy("node", "x.d", "x.step").agg(F.sum("w").alias("w")).collect()
         hist = {x: np.zeros((len(DIMENSIONS), STEPS)) for x in todo}
-        for node, d, step, w in zip(got["node"], got["d"], got["step"], got["w"], strict=True):
-            hist[node][d, step] = w
+        for r in got:
+            hist[r["node"]][r["d"], r["step"]] = r["w"]
         owed: dict[int, float] = {}
         for x in todo.values():
             seen = hist[x.first] > 0
@@ -230,10 +230,10 @@ def grow(small: DataFrame, bundles: list[Bundle], shards: int, share: float) ->
                 for name, v in zip(mine, x.cut, strict=False):
                     at = at & (F.col(name) == v)
                 inside, value = inside | at, F.when(F.col("node") == n, F.col(mine[len(x.cut)])).otherwise(value)
-            got = here.filter(inside).withColumn("v", value).groupBy("node", "v").agg(F.sum("w").alias("w")).toArrow().to_pydict()
+            got = here.filter(inside).withColumn("v", value).groupBy("node", "v").agg(F.sum("w").alias("w")).collect()
             tables = {n: np.zeros(STEPS) for n in asked}
-            for node, v, w in zip(got["node"], got["v"], got["w"], strict=True):
-                tables[node][v] = w
+            for r in got:
+                tables[r["node"]][r["v"]] = r["w"]
     return root, here.withColumn("node", _moved(old)) if old else here
 
 
@@ -273,11 +273,11 @@ def shard_by_kd_tree(
     bundles = {r["key"]: Bundle(r["key"], tuple(r[d] for d in DIMENSIONS), float(r["w"])) for r in named}
     cut = [r["key"] for r in named if r["w"] > share and r["n"] > 1]
     if cut:
-        parts = rows.filter(F.col("key").isin(cut)).groupBy("key", _digit("h", 0).alias("at")).agg(F.sum("size").alias("w")).toArrow().to_pydict()
+        parts = rows.filter(F.col("key").isin(cut)).groupBy("key", _digit("h", 0).alias("at")).agg(F.sum("size").alias("w")).collect()
         for k in cut:
             bundles[k].parts = np.zeros(STEPS)
-        for k, at, w in zip(parts["key"], parts["at"], parts["w"], strict=True):
-            bundles[k].parts[at] = w
+        for r in parts:
+            bundles[r["key"]].parts[r["at"]] = r["w"]
     tree, small = grow(every.filter(~large), list(bundles.values()), shards, share)
     placed = [(b.key, b.lo, b.hi, leaf.first) for leaf in tree.leaves() for b in leaf.bundles]
     by_name = F.broadcast(spark.createDataFrame(placed, "key bigint, lo int, hi int, shard int"))
