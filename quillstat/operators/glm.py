@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, summed, vector
 from ..functions import numeric
 from .linear import LinearModel, solve
+from .quantiles import exact_quantiles
 
 
 def reweighted(df: DataFrame, features: list[str], label: str, step, max_iter: int, tol: float, penalty: float = 0.0, start: np.ndarray | None = None) -> np.ndarray:
@@ -158,7 +159,7 @@ class HuberRegressor:
         b, scale = reweighted(df, features, label, lambda x, y, e: (np.ones(len(y)), y), 1, 1.0, self.alpha), 1.0
         for _ in range(self.max_iter):
             r = F.abs(F.col(f"`{label}`") - linear_form(features, b[1:], b[0]))
-            scale = max(float(df.agg(F.percentile(r, 0.5)).first()[0]) / 0.6744897501960817, 1e-12)
+            scale = max(exact_quantiles(df, [r], [0.5])[0][0] / 0.6744897501960817, 1e-12)
 
             def step(x, y, eta, s=scale):
                 u = np.abs(y - eta) / s

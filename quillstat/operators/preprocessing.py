@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..core import EmptyInput, InvalidParameter, Model, NotFitted, num, require, stats
 from ..functions import numeric
+from .quantiles import exact_quantiles
 
 TINY = 1e-15
 
@@ -91,14 +92,21 @@ class MaxAbsScaler:
         return ScalerModel(features, [0.0] * len(features), [m if m > TINY else 1.0 for m in most])
 
 
+def _quantiles(df: DataFrame, features: list[str], shares: list[float]) -> list[list[float]]:
+    """Exact quantiles of columns; a column without values is an error."""
+    found = exact_quantiles(df, [num(c) for c in features], shares)
+    if None in found:
+        raise EmptyInput(f"no values in {features[found.index(None)]}")
+    return found
+
+
 @dataclass
 class RobustScaler:
     """Median and interquartile range, quantiles interpolated linearly."""
 
     def fit(self, df: DataFrame, features: list[str]) -> ScalerModel:
         require(df, features)
-        r = stats(df, *[F.percentile(num(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}") for k, c in enumerate(features)])
-        q = [r[f"q{k}"] for k in range(len(features))]
+        q = _quantiles(df, features, [0.25, 0.5, 0.75])
         return ScalerModel(features, [x[1] for x in q], [x[2] - x[0] if x[2] - x[0] > TINY else 1.0 for x in q])
 
 
@@ -162,8 +170,7 @@ class KBinsDiscretizer:
         require(df, features)
         share = [k / self.n_bins for k in range(self.n_bins + 1)]
         if self.strategy == "quantile":
-            r = stats(df, *[F.percentile(num(c), F.array(*map(F.lit, share))).alias(f"q{k}") for k, c in enumerate(features)])
-            edges = [list(r[f"q{k}"]) for k in range(len(features))]
+            edges = _quantiles(df, features, share)
         else:
             r = stats(df, *[f(num(c)).alias(f"{n}{k}") for k, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max))])
             edges = [[r[f"a{k}"] + (r[f"b{k}"] - r[f"a{k}"]) * s for s in share] for k in range(len(features))]
@@ -276,9 +283,7 @@ class QuantileTransformer:
             raise InvalidParameter(self.output)
         require(df, features)
         n = max(2, min(self.n_quantiles, df.count()))
-        share = F.array(*[F.lit(k / (n - 1)) for k in range(n)])
-        r = stats(df, *[F.percentile(num(c), share).alias(f"q{k}") for k, c in enumerate(features)])
-        return QuantileModel(features, [list(r[f"q{k}"]) for k in range(len(features))], self.output)
+        return QuantileModel(features, _quantiles(df, features, [k / (n - 1) for k in range(n)]), self.output)
 
 
 @dataclass
@@ -301,10 +306,11 @@ class SimpleImputer:
         require(df, features)
         if self.strategy == "constant":
             return ImputerModel(features, [float(self.fill_value)] * len(features))
-        if self.strategy in ("mean", "median"):
-            f = F.avg if self.strategy == "mean" else lambda c: F.percentile(c, 0.5)
-            r = stats(df, *[f(num(c)).alias(f"v{k}") for k, c in enumerate(features)])
+        if self.strategy == "mean":
+            r = stats(df, *[F.avg(num(c)).alias(f"v{k}") for k, c in enumerate(features)])
             values = [r[f"v{k}"] for k in range(len(features))]
+        elif self.strategy == "median":
+            values = [q and q[0] for q in exact_quantiles(df, [num(c) for c in features], [0.5])]
         elif self.strategy == "most_frequent":
             long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), num(c).alias("v")) for k, c in enumerate(features)])).alias("x")).select("x.*").filter("v IS NOT NULL")
             best = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
@@ -313,6 +319,8 @@ class SimpleImputer:
         else:
             raise InvalidParameter(self.strategy)
         if None in values:
+            if df.isEmpty():
+                raise EmptyInput("no rows")
             raise InvalidParameter(f"no values in {features[values.index(None)]}")
         return ImputerModel(features, values)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..core import ArrayModel, EmptyInput, InvalidParameter, num, require, vector
 from ..functions.numeric import average_path
+from .quantiles import exact_quantiles
 
 
 def bin_edges(df: DataFrame, features: list[str], max_bins: int) -> list[np.ndarray]:
@@ -572,7 +573,7 @@ class _Boosting:
             labels = None if self.regression else sorted(r[0] for r in rows.select("y").distinct().limit(1001).collect())
             n = rows.agg(F.sum("w")).first()[0]
             if self.regression:
-                init = [rows.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w") if self.loss == "l2" else F.percentile("y", 0.5)).first()[0]]
+                init = [rows.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w")).first()[0] if self.loss == "l2" else exact_quantiles(rows, [F.col("y")], [0.5])[0][0]]
                 codes = None
             else:
                 if not 2 <= len(labels) <= 1000:
@@ -875,8 +876,9 @@ class IsolationForest:
                 todo += [(a, part[part[:, j] <= cut]), (b, part[part[:, j] > cut])]
             trees.append(tree)
         model = IsolationModel(features, trees, size)
-        s = model.transform_vector(df, "_column", "__s").select(F.col("__s")[0].alias("s"))
-        model.threshold = float(s.agg(F.percentile("s", self.contamination)).first()[0])
+        s = model.transform_vector(df, "_column", "__s").select(F.col("__s")[0].alias("s")).persist()
+        model.threshold = exact_quantiles(s, [F.col("s")], [self.contamination])[0][0]
+        s.unpersist()
         return model
 
 
