@@ -40,6 +40,14 @@ def bin_edges(df: DataFrame, features: list[str], max_bins: int) -> list[np.ndar
     return [(values[c][1:] + values[c][:-1]) / 2 for c in features]
 
 
+def _categories(df: DataFrame, column: str, most: int) -> np.ndarray:
+    """The values of a categorical feature in order."""
+    values = np.array(sorted(r[0] for r in df.select(num(column).alias("v")).filter("v IS NOT NULL").distinct().limit(most + 1).collect()), float)
+    if len(values) > most:
+        raise InvalidParameter(f"{column} has more than {most} categories")
+    return values
+
+
 @dataclass
 class Tree:
     """Flat nodes; a leaf has feature -1. ``value`` holds class weights or one number."""
@@ -52,22 +60,35 @@ class Tree:
     depth: list[int] = field(default_factory=lambda: [0])
     gain: dict[int, float] = field(default_factory=dict)
     bounds: dict[int, tuple] = field(default_factory=dict)
+    missing_left: list[int] = field(default_factory=list)
+    members: dict[int, list[float]] = field(default_factory=dict)
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row: ``<=`` goes left, a missing value right."""
+        """The leaf of each row: ``<=``, or a category among the node's ``members``, goes left; a missing value right but
+        in nodes of ``missing_left``."""
         at, f = np.zeros(len(x), np.int64), np.array(self.feature)
         cut, left, right = np.array(self.cut), np.array(self.left), np.array(self.right)
+        turned = np.isin(np.arange(len(f)), self.missing_left)
         while True:
             go = np.flatnonzero(f[at] >= 0)
             if not len(go):
                 return at
             k = at[go]
-            at[go] = np.where(x[go, f[k]] <= cut[k], left[k], right[k])
-
-    def split(self, node: int, feature: int, cut: float, gain: float) -> tuple[int, int]:
+            v = x[go, f[k]]
+            low = v <= cut[k]
+            for node, values in self.members.items():
+                here = k == node
+                low[here] = np.isin(v[here], values)
+            at[go] = np.where(low | (np.isnan(v) & turned[k]), left[k], right[k])
+
+    def split(self, node: int, feature: int, cut: float, gain: float, missing_left: bool = False, members: list[float] | None = None) -> tuple[int, int]:
         a = len(self.feature)
         self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, float(cut), a, a + 1
         self.gain[feature] = self.gain.get(feature, 0.0) + float(gain)
+        if missing_left:
+            self.missing_left.append(node)
+        if members is not None:
+            self.members[node] = members
         for _ in range(2):
             self.feature.append(-1)
             self.cut.append(0.0)
@@ -128,6 +149,11 @@ class Growth:
     seed: int = 0
     stop_at_zero: bool = False
     monotone: list[int] | None = None
+    #: Missing values have a bin of their own, and each split sends them to the better side.
+    missing: bool = False
+    #: Values of the features that are categories.
+    categories: dict[int, np.ndarray] = field(default_factory=dict)
+    min_hessian: float = 0.0
 
 
 def _newton(z: np.ndarray, l1: float, l2: float, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
@@ -150,10 +176,8 @@ def _impurity(h: np.ndarray, how: str) -> np.ndarray:
     return q - s * s / np.maximum(w, 1e-300)
 
 
-def _gain(h: np.ndarray, g: Growth) -> np.ndarray:
-    """Reduction by each cut of histograms (feature, bin, statistic); -inf where a side is too small."""
-    left = np.cumsum(h, axis=1)[:, :-1]
-    total = h[:1].sum(axis=1, keepdims=True)
+def _gain(left: np.ndarray, total: np.ndarray, g: Growth) -> np.ndarray:
+    """Reduction by each cut, given the sums (..., statistic) on its left; -inf where a side is too small."""
     right = total - left
     if g.criterion == "gradient":
         soft = lambda s: np.sign(s) * np.maximum(np.abs(s) - g.l1, 0)
@@ -163,31 +187,45 @@ def _gain(h: np.ndarray, g: Growth) -> np.ndarray:
         gain = _impurity(total, g.criterion) - _impurity(left, g.criterion) - _impurity(right, g.criterion)
     size = (lambda z: z.sum(axis=-1)) if g.criterion in ("gini", "entropy") else (lambda z: z[..., 0])
     ok = (size(left) >= max(g.min_leaf, 1e-12)) & (size(right) >= max(g.min_leaf, 1e-12))
+    if g.min_hessian:
+        ok &= (left[..., 2] >= g.min_hessian) & (right[..., 2] >= g.min_hessian)
     return np.where(ok, gain, -np.inf)
 
 
+def _by_response(h: np.ndarray, g: Growth) -> np.ndarray:
+    """Categories (bin, statistic) by their mean response, those without rows last: some prefix is the best subset."""
+    below = h[:, 2 if g.criterion == "gradient" else 0]
+    return np.lexsort((h[:, 1] / np.maximum(below, 1e-300), h[:, 0] <= 0))
+
+
 #: What is known of an open node: its tree, place there, depth, candidate features, and bounds of its value.
 Open = tuple[int, int, int, np.ndarray, tuple[float, float]]
 
 
 def _best(h: np.ndarray, node: Open, g: Growth, edges: list[np.ndarray], seed: list[int]):
-    """(statistics, gain, feature, cut, middle) of a node's best split from its histogram (feature, bin, statistic); gain
-    is None where it stays a leaf."""
+    """(statistics, gain, feature, cut, middle, missing left, members) of a node's best split from its histogram (feature,
+    bin, statistic); gain is None where it stays a leaf."""
     _, _, depth, columns, (low, high) = node
     h, width = h[columns], h.shape[1]
     total = h[0].sum(axis=0)
     n = total.sum() if g.criterion in ("gini", "entropy") else total[0]
-    leaf = (total, None, None, None, None)
+    leaf = (total, None, None, None, None, None, None)
     if depth >= g.max_depth or n < g.min_split or width < 2:
         return leaf
     if g.criterion != "gradient" and _impurity(total, g.criterion) < 1e-12 * max(1.0, n):
         return leaf
-    gain, middle = _gain(h, g), np.zeros((len(h), width - 1))
+    miss, h = (h[:, -1], h[:, :-1]) if g.missing else (None, h)
+    order = {r: _by_response(h[r], g) for r, j in enumerate(columns) if j in g.categories}
+    for r, o in order.items():
+        h[r] = h[r][o]
+    left = np.cumsum(h, axis=1)
+    # Missing values right, then left; there the last cut parts them from all others.
+    left = np.stack([left, left + miss[:, None]]) if g.missing else left[None, :, :-1]
+    gain, middle = _gain(left, total, g), np.zeros(left.shape[:-1])
     if g.monotone:  # cuts whose sides would break a feature's direction are no candidates
         sign = np.array([g.monotone[j] for j in columns])[:, None]
-        a = np.cumsum(h, axis=1)[:, :-1]
-        b = _newton(total - a, g.l1, g.l2, low, high)
-        a = _newton(a, g.l1, g.l2, low, high)
+        a = _newton(left, g.l1, g.l2, low, high)
+        b = _newton(total - left, g.l1, g.l2, low, high)
         gain = np.where(sign * (b - a) < 0, -np.inf, gain)
         middle = (a + b) / 2
     if g.random_cut:  # one cut a feature, uniform between the node's ends
@@ -199,19 +237,22 @@ def _best(h: np.ndarray, node: Open, g: Growth, edges: list[np.ndarray], seed: l
             if len(seen) > 1 and len(e):
                 u = e[seen[0]] + u * (e[seen[-1] - 1] - e[seen[0]])
                 only = min(int(np.searchsorted(e, u)), len(e) - 1)
-                gain[r, np.arange(gain.shape[1]) != only] = -np.inf
-    gain = np.where(np.arange(width - 1)[None, :] < np.array([len(edges[j]) for j in columns])[:, None], gain, -np.inf)
+                gain[:, r, np.arange(gain.shape[2]) != only] = -np.inf
+    gain = np.where(np.arange(gain.shape[2])[None, :] < np.array([len(edges[j]) + g.missing for j in columns])[:, None], gain, -np.inf)
     most = gain.max()
     if not np.isfinite(most) or (most <= 1e-12 and (g.stop_at_zero or g.criterion == "gradient")):
         return leaf
     # Sums come in any order: what differs by rounding only is equal, and the first of equals is taken.
-    row, cut = divmod(int((gain >= most - 1e-9 * abs(most)).argmax()), width - 1)
-    return total, float(gain[row, cut]), int(columns[row]), float(edges[columns[row]][cut]), float(middle[row, cut])
+    way, row, cut = (int(i) for i in np.unravel_index((gain >= most - 1e-9 * abs(most)).argmax(), gain.shape))
+    j = int(columns[row])
+    members = np.sort(g.categories[j][order[row][: cut + 1]]).tolist() if row in order else None
+    at = float(edges[j][cut]) if cut < len(edges[j]) and members is None else np.inf
+    return total, float(gain[way, row, cut]), j, at, float(middle[way, row, cut]), bool(way), members
 
 
 def _node_splits(df: DataFrame, nodes: list[Open], trees: list[Tree], target, k: int, g: Growth, edges: list[np.ndarray], first_tree: int) -> list:
     """The best split of each open node: sparse sums by (node, cell) in Spark, then one histogram a node on executors."""
-    d, width = len(edges), max((len(e) for e in edges), default=0) + 1
+    d, width = len(edges), max((len(e) for e in edges), default=0) + 1 + g.missing
     place = {t: {n[1]: i for i, n in enumerate(nodes) if n[0] == t} for t in {n[0] for n in nodes}}
 
     def cells(batches):
@@ -220,6 +261,8 @@ def _node_splits(df: DataFrame, nodes: list[Open], trees: list[Tree], target, k:
             if not len(b):
                 continue
             bins = np.column_stack([np.searchsorted(edges[j], b.x[:, j], "left") for j in range(d)])
+            if g.missing:
+                bins[np.isnan(b.x)] = width - 1
             for t, mine in place.items():
                 w, s = target(b, first_tree + t)
                 w = w * b.w
@@ -245,11 +288,11 @@ def _node_splits(df: DataFrame, nodes: list[Open], trees: list[Tree], target, k:
     def choose(key: tuple, rows: pa.Table) -> pa.Table:
         h, unit = np.zeros(d * width * k), key[0].as_py()
         h[rows.column("cell").to_numpy()] = rows.column("v").to_numpy()
-        total, gain, feature, cut, middle = _best(h.reshape(d, width, k), nodes[unit], g, edges, [g.seed, first_tree + nodes[unit][0], nodes[unit][1]])
-        return pa.table({"unit": pa.array([unit], pa.int32()), "total": pa.array([total.tolist()], pa.list_(pa.float64())), "gain": pa.array([gain], pa.float64()), "feature": pa.array([feature], pa.int32()), "cut": pa.array([cut], pa.float64()), "middle": pa.array([middle], pa.float64())})
+        total, gain, feature, cut, middle, turned, members = _best(h.reshape(d, width, k), nodes[unit], g, edges, [g.seed, first_tree + nodes[unit][0], nodes[unit][1]])
+        return pa.table({"unit": pa.array([unit], pa.int32()), "total": pa.array([total.tolist()], pa.list_(pa.float64())), "gain": pa.array([gain], pa.float64()), "feature": pa.array([feature], pa.int32()), "cut": pa.array([cut], pa.float64()), "middle": pa.array([middle], pa.float64()), "turned": pa.array([turned], pa.bool_()), "members": pa.array([members], pa.list_(pa.float64()))})
 
     sums = df.mapInArrow(cells, "unit int, cell bigint, v double").groupBy("unit", "cell").agg(F.sum("v").alias("v"))
-    return sums.groupBy("unit").applyInArrow(choose, "unit int, total array<double>, gain double, feature int, cut double, middle double").collect()
+    return sums.groupBy("unit").applyInArrow(choose, "unit int, total array<double>, gain double, feature int, cut double, middle double, turned boolean, members array<double>").collect()
 
 
 def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int, g: Growth, edges: list[np.ndarray], first_tree: int = 0) -> list[Tree]:
@@ -260,7 +303,7 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
     trees, rng = [Tree() for _ in range(n_trees)], np.random.default_rng(g.seed + 977 * first_tree)
     columns = [_columns(g.features, len(features), rng) for _ in range(n_trees)]
     open_: list[set[int]] = [{0} for _ in range(n_trees)]
-    waiting: list[list] = [[] for _ in range(n_trees)]  # best-first: (gain, node, feature, cut, middle)
+    waiting: list[list] = [[] for _ in range(n_trees)]  # best-first: (gain, node, feature, cut, middle, missing left, members)
     for tree in trees:
         tree.value[0] = [0.0] * k
     while any(open_):
@@ -271,14 +314,14 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
             t, node = nodes[r["unit"]][:2]
             trees[t].value[node] = list(r["total"])
             if r["gain"] is not None:
-                waiting[t].append((r["gain"], node, r["feature"], r["cut"], r["middle"]))
+                waiting[t].append((r["gain"], node, r["feature"], r["cut"], r["middle"], r["turned"], r["members"]))
         for t in live:
             tree = trees[t]
             leaves = sum(f < 0 for f in tree.feature)
             room = len(waiting[t]) if g.max_leaves is None else min(1, g.max_leaves - leaves)
             waiting[t].sort(key=lambda w: (-w[0], w[1]))
-            for gain, node, feature, cut, middle in waiting[t][: max(0, room)]:
-                pair = tree.split(node, feature, cut, gain)
+            for gain, node, feature, cut, middle, turned, members in waiting[t][: max(0, room)]:
+                pair = tree.split(node, feature, cut, gain, turned, members)
                 open_[t] |= set(pair)
                 if g.monotone:  # both sides of a constrained cut stay on their side of its middle, all the way down
                     low, high = tree.bounds.get(node, (-np.inf, np.inf))
@@ -538,6 +581,10 @@ class _Boosting:
     ``goss`` is (top, other): each tree sees the rows whose gradients are among the largest ``top`` share, and a
     hashed ``other`` share of all rows from the rest, weighted up to stand for it. Gradients are told apart to one
     part in 128. Both need Newton leaves.
+    ``missing``: null and NaN go to the side that each split learns (to the right where it saw none), else always right.
+    ``categorical`` names features of at most ``max_bins`` values each that are split by subsets, found in the order of
+    their mean gradients; a value that is not among a subset (a new one, too) goes right. ``max_features`` is the share
+    (or number) of features that each tree sees, ``min_hessian`` the least sum of hessians on a side.
     """
 
     n_rounds: int = 100
@@ -558,6 +605,10 @@ class _Boosting:
     balanced: bool = False
     monotone: list[int] | None = None
     goss: tuple[float, float] | None = None
+    missing: bool = False
+    categorical: list[str] | None = None
+    max_features: float | str | int | None = None
+    min_hessian: float = 0.0
 
     def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None, weight: str | None = None) -> BoostedModel:
         """``weight`` names a column of row weights; rows weighing nothing are left out. ``valid`` is for early stopping."""
@@ -567,8 +618,11 @@ class _Boosting:
             raise InvalidParameter("monotone needs 1, 0 or -1 for each feature")
         if self.goss and not (0 < self.goss[0] < 1 and 0 < self.goss[1] <= 1 - self.goss[0]):
             raise InvalidParameter("goss needs two shares of at most 1 together")
+        if set(self.categorical or []) - set(features) or any(self.monotone and self.monotone[features.index(c)] for c in self.categorical or []):
+            raise InvalidParameter("categorical names features, none of them monotone")
         rows = _rows(df, features, label, id_col, weight).cache()
         try:
+            categories = {features.index(c): _categories(df, c, self.max_bins) for c in self.categorical or []}
             edges = bin_edges(df, features, self.max_bins)
             labels = None if self.regression else sorted(r[0] for r in rows.select("y").distinct().limit(1001).collect())
             n = rows.agg(F.sum("w")).first()[0]
@@ -582,7 +636,7 @@ class _Boosting:
                 codes = labels[1:] if len(labels) == 2 else labels
                 init = [float(np.log(share[y] / (1 - share[y]))) for y in codes]
             model = BoostedModel(features, init, self.rate, [], labels)
-            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None)
+            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, features=self.max_features, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None, missing=self.missing, categories=categories, min_hessian=self.min_hessian)
             best, since, kept = np.inf, 0, 0
             rows = _rescored(rows, lambda b: np.tile(init, (len(b), 1)).astype(float))
             for r in range(self.n_rounds):
@@ -701,6 +755,7 @@ class LgbmRegressor(_Boosting):
     max_leaves: int | None = 31
     min_leaf: int = 20
     leaf: str = "newton"
+    missing: bool = True
 
 
 @dataclass
