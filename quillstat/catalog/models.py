@@ -70,6 +70,18 @@ _predict("hist_boosting_regressor", lambda: trees.HistGradientBoostingRegressor(
 _predict("hist_boosting_classifier", lambda: trees.HistGradientBoostingClassifier(3, max_depth=4, max_bins=64), label="bin", id_col="id")
 _predict("leafwise_boosting_regressor", lambda: trees.LgbmRegressor(2, max_leaves=7, max_bins=64), id_col="id")
 _predict("leafwise_boosting_classifier", lambda: trees.LgbmClassifier(2, max_leaves=7, max_bins=64), label="bin", id_col="id")
+def _gaps(spark, d):
+    """lineitem with a discount of nothing taken for unknown."""
+    return _data(spark, d).select("id", F.when(F.col("b") > 0, F.col("b")).alias("b"), "y")
+
+
+def _nations(spark, d):
+    """Customers with their nation as a category."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_acctbal") / 1e4).cast("double").alias("y"))
+
+
+_add("leafwise_boosting_missing", lambda x: trees.LgbmRegressor(1, rate=0.5, max_leaves=2).fit(x, ["b"], "y", "id").transform(x).select("id", "prediction"), _gaps)
+_add("leafwise_boosting_categories", lambda x: trees.LgbmRegressor(1, rate=0.5, max_leaves=2, min_leaf=5, categorical=["nation"]).fit(x, ["nation"], "y", "id").transform(x).select("id", "prediction"), _nations)
 _add("isolation_forest", lambda x: trees.IsolationForest(20, 128).fit(x, X, "id").transform(x).select("id", "prediction"))
 _add("cluster_kmeans", lambda x: cluster.KMeans(4, 20).fit(x, X).transform(x).select("id", "prediction"))
 _add("cluster_mini_batch_kmeans", lambda x: cluster.MiniBatchKMeans(4, 256, 20).fit(x, X).transform(x).select("id", "prediction"))

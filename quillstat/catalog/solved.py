@@ -188,3 +188,17 @@ _put("cluster_dbscan", "near AS (SELECT p.id AS i, q.id AS j FROM d p, d q WHERE
      "reach(i, low) AS (SELECT i, i FROM core UNION SELECT j, low FROM reach JOIN near ON near.i = reach.i WHERE j IN (SELECT i FROM core) AND low < j), root AS (SELECT i, min(low) AS low FROM reach GROUP BY i)",
      "num AS (SELECT low, row_number() OVER (ORDER BY low) - 1 AS c FROM (SELECT DISTINCT low FROM root)), lab AS (SELECT j, min(c) AS c FROM near JOIN root ON root.i = near.i JOIN num USING (low) GROUP BY j)",
      base=_S, then="SELECT d.id, CAST(coalesce(c, -1) AS BIGINT) AS cluster FROM d LEFT JOIN lab ON lab.j = d.id")
+
+# One boosted split: missing values on either side of each cut; categories in the order of their means.
+_one = "m AS (SELECT avg(y) AS mean, count(*) AS total FROM d)"
+_best = "best AS (SELECT *, total - nl AS nr, -sl AS sr FROM cut, m WHERE least(nl, total - nl) >= {least} ORDER BY sl * sl / nl + sl * sl / (total - nl) DESC, way, spot LIMIT 1)"
+_side = "SELECT id, round(mean + 0.5 * CASE WHEN {left} THEN sl / nl ELSE sr / nr END, 4) + 0.0 AS prediction FROM d, best"
+_put("leafwise_boosting_missing", _one, "g AS (SELECT b, count(*) AS n, sum(y - mean) AS s FROM d, m GROUP BY b), gap AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(s), 0) AS s FROM g WHERE b IS NULL)",
+     "run AS (SELECT b AS spot, sum(n) OVER (ORDER BY b) AS n, sum(s) OVER (ORDER BY b) AS s FROM g WHERE b IS NOT NULL)",
+     "cut AS (SELECT spot, way, run.n + way * gap.n AS nl, run.s + way * gap.s AS sl FROM run, gap, (VALUES (0), (1)) AS w(way))", _best.format(least=20),
+     base="d AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_discount > 0 THEN l_discount * 10 END AS b, l_extendedprice / 1e5 AS y FROM lineitem)",
+     then=_side.format(left="b <= spot OR (b IS NULL AND way = 1)"))
+_put("leafwise_boosting_categories", _one, "g AS (SELECT nation, count(*) AS n, sum(y - mean) AS s FROM d, m GROUP BY nation)",
+     "run AS (SELECT nation, row_number() OVER o AS spot, sum(n) OVER o AS nl, sum(s) OVER o AS sl FROM g WINDOW o AS (ORDER BY s / n, nation))", "cut AS (SELECT spot, 0 AS way, nl, sl FROM run)", _best.format(least=5),
+     base="d AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS nation, CAST(c_acctbal / 1e4 AS DOUBLE) AS y FROM customer)",
+     then=_side.format(left="(SELECT r.spot FROM run AS r WHERE r.nation = d.nation) <= best.spot"))
