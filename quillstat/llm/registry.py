@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, toxicity, warc
+from . import chat_format, decontamination, exact_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_chat_perspectives": chat_format.op8_chat_perspectives,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op12_token_files": token_files.op12_token_files,
         "pipeline": run,
     }
 
