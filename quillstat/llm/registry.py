@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, language_id, mixing, ngram_join, phrases, sharding, substring_dedup, token_files, toxicity, warc
+from . import chat_format, conversation_repair, decontamination, exact_dedup, language_id, mixing, ngram_join, phrases, sharding, substring_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_chat_perspectives": chat_format.op8_chat_perspectives,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_token_files": token_files.op12_token_files,
         "op13_collocations": phrases.op13_collocations,
         "pipeline": run,
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc_fixity": warc.OP7_SQL,
         "op8_chat_perspectives": chat_format.OP8_SQL,
         "op10_ngram_join": ngram_join.OP10_SQL,
+        "op11_conversation_repair": conversation_repair.OP11_SQL,
         "op13_collocations": phrases.OP13_SQL,
     }
