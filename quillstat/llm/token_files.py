@@ -33,8 +33,10 @@ DICT_BYTES = 64 << 10
 DICT_DOCS = 2048
 DICT_CHARS = 4096
 LEVEL = 3
-#: Units whose ids a task remembers.
-MEMORY = 1 << 19
+#: Units whose ids a task remembers, texts or units handed to the tokenizer together, bytes of text scanned together.
+MEMORY = 1 << 18
+AT_ONCE = 4096
+SCAN_BYTES = 1 << 20
 
 _UNIT_GAP = np.zeros(256, bool)
 _UNIT_GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,9 +82,12 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each)."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum())), sizes
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(texts), AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for one in ids for i in one), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def forget(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -129,7 +134,7 @@ class Encoder:
 
 def _encoded(column, encoder: Encoder, end_id: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its ids with the end id) of each text of an Arrow column."""
-    for i, j, data, offsets in textscan.slices(column):
+    for i, j, data, offsets in textscan.slices(column, SCAN_BYTES):
         ids, bounds = encoder.encode(data, offsets)
         for k in range(j - i):
             one = ids[bounds[k] : bounds[k + 1]]
