@@ -24,9 +24,12 @@ def exact_groups(
     equality. A hot group meets no single task: counts are partial sums, and rows meet them in a join that
     adaptive execution splits.
 
+    A group is named by the least (id, SHA-256) of its rows, so groups of unequal texts that hold the same id stay apart;
+    the name is never compared across digits that differ.
+
     Result: the id, ``keep_id`` (smallest id of the group), ``group_size``, ``kept``, ``text_sha256`` (hex of the
     normalised text). A row without an id is a group of its own (keep_id null, kept). Rows that repeat an id and
-    its text are members like any other; all rows with the smallest id are kept. A very long text takes about
+    its text are members like any other; all rows with the smallest id are kept. An id on several texts is in several groups. A very long text takes about
     log4(its bytes / 128) rounds if others share its beginning, else one. Other columns are ignored, whatever their
     names; an empty table gives no rows.
     """
@@ -41,7 +44,8 @@ def exact_groups(
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    todo = rows.filter("doc_id IS NOT NULL").withColumn("group", F.lit(0).cast(dict(rows.dtypes)["doc_id"]))
+    row = F.struct("doc_id", F.unhex("text_sha256").alias("sha"))
+    todo = rows.filter("doc_id IS NOT NULL").withColumn("group", F.struct(F.lit(0).cast(dict(rows.dtypes)["doc_id"]).alias("doc_id"), F.lit(b"").alias("sha")))
     done, width, last = lost, first_digit, None
     while True:
         todo = todo.select(
@@ -53,7 +57,7 @@ def exact_groups(
             F.expr(f"substring(rest, {width + 1})").alias("rest"),
         )
         keys = ["group", "digit", "ended"]
-        counts = todo.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+        counts = todo.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"))
         open_ = (F.col("n") > 1) & ~F.col("ended")
         step = todo.join(counts, keys).select(
             "doc_id",
@@ -70,9 +74,9 @@ def exact_groups(
         done = done.unionByName(
             table.filter("NOT open").select(
                 "doc_id",
-                F.col("group").alias("keep_id"),
+                F.col("group.doc_id").alias("keep_id"),
                 F.col("n").alias("group_size"),
-                (F.col("doc_id") == F.col("group")).alias("kept"),
+                (F.col("doc_id") == F.col("group.doc_id")).alias("kept"),
                 "text_sha256",
             )
         )
