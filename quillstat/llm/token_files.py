@@ -7,6 +7,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ DICT_DOCS = 2048
 DICT_CHARS = 4096
 LEVEL = 3
 #: Units whose ids a task remembers, texts or units handed to the tokenizer together, bytes of text scanned together.
-MEMORY = 1 << 18
+MEMORY = 1 << 20
 AT_ONCE = 4096
 SCAN_BYTES = 1 << 20
 
@@ -65,6 +66,22 @@ class Units:
         self.first = np.searchsorted(self.starts, offsets)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for base in (0xBF58476D1CE4E5B9, pow(0xBF58476D1CE4E5B9, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, by_unit: bool) -> Encoder:
+    """An encoder that the tasks of one worker process share, with the units it remembers."""
+    return Encoder(path, by_unit)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer of the ``tokenizers`` library, without special tokens added.
 
@@ -78,6 +95,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_unit, self.special = Tokenizer.from_file(path), by_unit, special
+        self.powers = _powers(SCAN_BYTES + 2)
         self.forget()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +120,13 @@ class Encoder:
         order = np.argsort(self.keys)
         self.keys, self.at = self.keys[order], self.at[order]
 
+    def _hashes(self, data: np.ndarray, units: Units) -> np.ndarray:
+        """A 64-bit hash of each unit: a polynomial in its bytes, mixed."""
+        up, down = self.powers if len(data) < len(self.powers[0]) else _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(textscan._BYTE[data] * up[: len(data)], out=total[1:])
+        return textscan.mix((total[units.ends] - total[units.starts]) * down[units.starts])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of the slice in a row, offsets between texts)."""
         if not self.by_unit:
@@ -114,9 +139,7 @@ class Encoder:
         units = Units(data, offsets, plain)
         if not len(units.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        words = textscan.Words.__new__(textscan.Words)
-        words.data, words.offsets, words.starts, words.ends = data, offsets, units.starts, units.ends
-        distinct, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        distinct, where, back = np.unique(self._hashes(data, units), return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > MEMORY:
             self.forget()
         place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
@@ -151,9 +174,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int = 4, text_col:
     sample = short.orderBy("h", "text").limit(DICT_DOCS)
 
     def serialize(batches):
-        encoder = Encoder(tokenizer, by_unit)
+        own = encoder(tokenizer, by_unit)
         for b in batches:
-            out = [ids.astype(f"<u{width}").tobytes() for _, ids in _encoded(b.column(0), encoder, end_id)]
+            out = [ids.astype(f"<u{width}").tobytes() for _, ids in _encoded(b.column(0), own, end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     samples = sorted({bytes(r[0]) for r in sample.select("text").mapInArrow(serialize, "ids binary").collect()})
@@ -230,7 +253,7 @@ class Reader:
         known = self.index["doc_id"][lost:]
         return list(range(lost + int(np.searchsorted(known, doc_id)), lost + int(np.searchsorted(known, doc_id, "right"))))
 
-    def all(self, piece: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def all(self, piece: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
         """(place, ids) of all documents in order, read about ``piece`` bytes at a time."""
         k, n = 0, len(self.index)
         while k < n:
@@ -329,16 +352,16 @@ def write_token_files(
     shared = spark.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
 
     def compress(batches):
-        encoder, packer = Encoder(tokenizer, by_unit), _compressor(shared.value)
+        own, packer = encoder(tokenizer, by_unit), _compressor(shared.value)
         for b in batches:
             sizes, frames, held, begin = [], [], 0, 0
-            for k, ids in _encoded(b.column("text"), encoder, end_id):
+            for k, ids in _encoded(b.column("text"), own, end_id):
                 if width == 2 and len(ids) and ids.max() >= 1 << 16:
                     raise ValueError(f"id {ids.max()} is beyond the stated vocabulary")
                 sizes.append(len(ids))
                 frames.append(packer.compress(ids.astype(f"<u{width}").tobytes()))
                 held += len(frames[-1])
-                if held > 8 << 20 or k + 1 == b.num_rows:
+                if held > 2 << 20 or k + 1 == b.num_rows:
                     part = b.column("doc_id").slice(begin, k + 1 - begin)
                     yield pa.RecordBatch.from_arrays([part, pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
                     sizes, frames, held, begin = [], [], 0, k + 1
