@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bayes, linear, metrics, neighbors, preprocessing
+from ..operators import bayes, linear, metrics, neighbors, preprocessing, spatial
 from .base import lineitem, rounded, table
 
 QUERIES: dict = {}
@@ -68,6 +68,10 @@ _vote = ", v AS (SELECT id, y, {w} AS w FROM n WHERE rn <= 5 GROUP BY id, y) SEL
 _add("knn_classifier_uniform", lambda s, d: neighbors.KnnClassifier(5).fit(x := _cust(s, d), "id", ["a", "b"], "c_mktsegment").transform(x), _KNN.format(m=_e, w="") + _vote.format(w="count(*)"))
 _add("knn_classifier_manhattan", lambda s, d: neighbors.KnnClassifier(5, "manhattan").fit(x := _cust(s, d), "id", ["a", "b"], "c_mktsegment").transform(x), _KNN.format(m=_m, w="") + _vote.format(w="count(*)"))
 _add("knn_classifier_distance", lambda s, d: neighbors.KnnClassifier(5, weights="distance").fit(x := _cust(s, d), "id", ["a", "b"], "c_mktsegment").transform(x), _KNN.format(m=_e, w="") + _vote.format(w="sum(CASE WHEN d < 1e-15 THEN 1e15 ELSE 1 / d END)"))
+_c = "CASE WHEN sqrt(q.a * q.a + q.b * q.b) * sqrt(t.a * t.a + t.b * t.b) = 0 THEN 1.0 ELSE 1 - (q.a * t.a + q.b * t.b) / (sqrt(q.a * q.a + q.b * q.b) * sqrt(t.a * t.a + t.b * t.b)) END"
+_add("knn_cosine_distances", lambda s, d: neighbors.k_nearest(x := _cust(s, d), x, "id", ["a", "b"], 5, "cosine").select(F.col("q_id").alias("id"), "rank", "distance"),
+     _KNN.format(m=_c, w="") + " SELECT id, CAST(rn AS INTEGER) AS rank, round(d, 6) + 0.0 AS distance FROM n WHERE rn <= 5")
+_add("eps_range_join", lambda s, d: spatial.eps_join(x := _cust(s, d), x, "id", ["a", "b"], 0.05), f"WITH x AS (SELECT c_custkey AS id, c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer) SELECT q.id AS a_id, t.id AS b_id, round({_e}, 6) + 0.0 AS distance FROM x q CROSS JOIN x t WHERE {_e} <= 0.05")
 _add("knn_regressor", lambda s, d: neighbors.KnnRegressor(5).fit(x := _cust(s, d), "id", ["b"], "a").transform(x), "WITH x AS (SELECT c_custkey AS id, c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer), n AS (SELECT q.id, t.a, row_number() OVER (PARTITION BY q.id ORDER BY abs(q.b - t.b), t.id) AS rn FROM x q CROSS JOIN x t) SELECT id, round(avg(a), 6) AS prediction FROM n WHERE rn <= 5 GROUP BY id")
 _add("local_outlier_factor", lambda s, d: neighbors.LocalOutlierFactor(10).fit_transform(_cust(s, d), "id", ["a", "b"]), _KNN.format(m=_e, w=" WHERE q.id <> t.id") + """, k AS (SELECT id, t, d FROM n WHERE rn <= 10), kd AS (SELECT id, max(d) AS kd FROM k GROUP BY id),
 l AS (SELECT k.id, avg(greatest(d, kd)) AS m FROM k JOIN kd ON kd.id = k.t GROUP BY k.id), r AS (SELECT id, CASE WHEN m = 0 THEN 1.0 ELSE 1 / m END AS lrd FROM l),

@@ -9,6 +9,8 @@ from __future__ import annotations
 import dataclasses
 import importlib
 import json
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -197,6 +199,22 @@ def _build(x):
     return getattr(importlib.import_module(module), name)(**{k: _build(v) for k, v in x["fields"].items()})
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written once as Parquet and read back: cuts lineage and survives lost executors.
+
+    The table lies in the folder that spark.checkpoint.dir names; only local masters may go without one.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quillstat_work", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise DataIOError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark._quillstat_work = tempfile.mkdtemp(prefix="quillstat-")
+    path = f"{folder.rstrip('/')}/quillstat/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def vector(features: list[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 

@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, summed, vector
+from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, summed, vector, written
 from ..functions.numeric import digamma, lgamma
+from . import spatial
 
 
 def distances(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -250,20 +252,42 @@ class Dbscan:
     min_samples: int = 5
 
     def fit_predict(self, df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
-        x, got = matrix(df, features, id_col)
-        near = distances(x) <= self.eps
-        core, label, c = near.sum(1) >= self.min_samples, np.full(len(x), -1), 0
-        for i in np.flatnonzero(core):
-            if label[i] >= 0:
-                continue
-            label[i], todo = c, [i]
-            while todo:
-                for j in np.flatnonzero(near[todo.pop()] & (label < 0)):
-                    label[j] = c
-                    if core[j]:
-                        todo.append(j)
-            c += 1
-        return _labelled(df, id_col, got[id_col], label)
+        """(id, cluster) of any number of rows: no pair is written out and no row passes through the driver.
+
+        Cores are rows whose min_samples-th nearest row is within eps, by the index; they are grouped inside each cell, cells
+        are linked by rows that reach several groups, and clusters are the components of those links. Rows without an id, or with a
+        missing number, are left out.
+        """
+        if self.eps < 0 or self.min_samples < 1:
+            raise InvalidParameter("eps or min_samples")
+        require(df, [id_col, *features])
+        rows = written(spatial.usable(df.filter(F.col(id_col).isNotNull()), id_col, features), "points")
+        flat = rows.select("q_id", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(len(features))])
+        names = [f"x{k}" for k in range(len(features))]
+        index = spatial.Index(flat, "q_id", names, most_equal=self.min_samples)
+        kth = spatial.search(index, rows, self.min_samples).filter((F.col("rank") == self.min_samples) & (F.col("distance") <= self.eps))
+        cores = written(kth.select("q_id"), "cores")
+        if cores.isEmpty():
+            return rows.select(F.col("q_id").alias(id_col), F.lit(-1).cast("long").alias("cluster"))
+        index = spatial.Index(flat.join(cores, "q_id", "left_semi"), "q_id", names)
+        links = written(spatial.linked(index, rows, self.eps), "links")
+        among = links.join(cores, "q_id", "left_semi").select(F.col("q_id").alias("a"), F.col("t_id").alias("b"))
+        roots = spatial.components(among, cores.select(F.col("q_id").alias("id")))
+        # Clusters go by their first core, so by their root; a row's is the least of those it reaches.
+        first = links.join(roots, F.col("t_id") == F.col("id")).groupBy("q_id").agg(F.min("root").alias("root"))
+        numbers = numbered(roots.select("root").distinct(), "root")
+        out = rows.select("q_id").join(first, "q_id", "left").join(numbers, "root", "left")
+        return out.select(F.col("q_id").alias(id_col), F.coalesce("number", F.lit(-1).cast("long")).alias("cluster"))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """(column, number): the rank from 0 of each distinct value, taken in ranges and added up."""
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = written(df.select(column).repartitionByRange(n, column).sortWithinPartitions(column).withColumn("spot", F.monotonically_increasing_id()), "ranges")
+    place = F.col("spot").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(F.shiftright("spot", 33).alias("piece")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    return ranges.withColumn("piece", F.shiftright("spot", 33)).join(F.broadcast(sizes.withColumn("before", before)), "piece").select(column, (F.col("before") + place).alias("number"))
 
 
 @dataclass

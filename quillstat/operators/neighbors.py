@@ -1,23 +1,17 @@
-"""Nearest neighbours: all queries against a reference table in broadcast pieces of bounded size."""
+"""Nearest neighbours through a space-partitioning index."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import EmptyInput, InvalidParameter, require, vector
+from ..core import InvalidParameter, require, vector, written
 from ..functions import numeric
-
-#: Rows of a reference table that is broadcast in one piece; larger ones are searched piece by piece.
-PIECE_ROWS = 50_000
-#: Distances that a task holds at once (8 MB).
-BLOCK_CELLS = 1 << 20
-
+from . import spatial
+from .quantiles import exact_quantiles
 
 def _side(df: DataFrame, id_col: str, features: list[str], name: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias(f"{name}_id"), *[F.col(f"`{c}`").cast("double").alias(f"{name}_{k}") for k, c in enumerate(features)], *[F.col(c).alias(f"{name}_{c}") for c in more])
@@ -30,76 +24,29 @@ def pairwise_distances(a: DataFrame, b: DataFrame, id_col: str, features: list[s
     return x.crossJoin(F.broadcast(y)).select("a_id", "b_id", gap.alias("distance"))
 
 
-def _gaps(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all queries from all reference rows, summed column by column as numeric.distance() does."""
-    out = np.zeros((len(q), len(t)))
-    if metric == "cosine":
-        size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((t * t).sum(1))[None]
-        return np.where(size == 0, 1.0, 1 - q @ t.T / np.where(size == 0, 1.0, size))
-    for j in range(q.shape[1]):
-        d = q[:, j, None] - t[None, :, j]
-        out += d * d if metric == "euclidean" else np.abs(d)
-    return np.sqrt(out) if metric == "euclidean" else out
-
-
-def _nearest(gap: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, reference place, distance) of the k least of each line, ties by place, in that order."""
-    limit = np.partition(gap, min(k, gap.shape[1]) - 1, axis=1)[:, min(k, gap.shape[1]) - 1]
-    row, col = np.nonzero((gap <= limit[:, None]) & (gap < np.inf))
-    d, at = gap[row, col], np.broadcast_to(place, gap.shape)[row, col]
-    order = np.lexsort((at, d, row))
-    row, at, d = row[order], at[order], d[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[rank < k], at[rank < k], d[rank < k]
-
-
 def k_nearest(queries: DataFrame, train: DataFrame, id_col: str, features: list[str], k: int, metric: str = "euclidean", exclude_self: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, t_id, distance, rank, t_<keep>...): the k nearest reference rows of each query; ties by id.
 
-    The reference is cut by a hash of its id into pieces of about PIECE_ROWS, each broadcast as a matrix; queries meet
-    it in Arrow batches, block by block, and keep their best k of a piece, then of all pieces. So what is broadcast,
-    held in a task and sorted stays bounded, and no pair is written out. A row with a missing number is nobody's
-    neighbour.
+    The reference becomes a space-partitioning index (see spatial.Index), of rows at one point the first k + 1 by id.
+    Queries meet only cells that can hold one of their k nearest; neither side is collected or broadcast. A row with a missing
+    number is nobody's neighbour and has none.
     """
-    if metric not in ("euclidean", "manhattan", "cosine") or k < 1:
+    if metric not in spatial.METRICS or k < 1:
         raise InvalidParameter("k or metric")
-    require(train, [id_col, *features])
-    n, d = train.count(), len(features)
-    if not n:
-        raise EmptyInput("no reference rows")
-    pieces, best = -(-n // PIECE_ROWS), None
-    q = queries.select(F.col(id_col).alias("q_id"), vector(features).alias("x"))
-    kind, types = queries.schema[id_col].dataType.simpleString(), {id_col: train.schema[id_col].dataType, **{c: train.schema[c].dataType for c in keep}}
-    schema = f"q_id {kind}, t_id {types[id_col].simpleString()}, distance double, rank int" + "".join(f", t_{c} {types[c].simpleString()}" for c in keep)
-    for p in range(pieces):
-        part = train.filter(F.pmod(F.xxhash64(id_col), F.lit(pieces)) == p) if pieces > 1 else train
-        got = part.select(F.col(id_col).alias("t_id"), vector(features).alias("x"), *[F.col(c).alias(f"t_{c}") for c in keep]).toArrow().sort_by("t_id")
-        shared = queries.sparkSession.sparkContext.broadcast((got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d), got.drop_columns(["x"])))
-
-        def search(batches, shared=shared):
-            t, about = shared.value
-            place = {v: i for i, v in enumerate(about.column("t_id").to_pylist())} if exclude_self else {}
-            for batch in batches:
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-                ids, step = batch.column("q_id"), max(1, BLOCK_CELLS // max(1, len(t)))
-                for a in range(0, len(x) if len(t) else 0, step):
-                    gap = _gaps(x[a : a + step], t, metric)
-                    gap[np.isnan(gap)] = np.inf
-                    if exclude_self:
-                        own = [(r, place[v]) for r, v in enumerate(ids.slice(a, step).to_pylist()) if v in place]
-                        gap[[r for r, _ in own], [c for _, c in own]] = np.inf
-                    row, at, dist = _nearest(gap, np.arange(len(t)), k)
-                    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-                    rows = about.take(pa.array(at))
-                    cols = [ids.take(pa.array(row + a)), rows.column("t_id"), pa.array(dist), pa.array(rank, pa.int32()), *[rows.column(f"t_{c}") for c in keep]]
-                    yield from pa.table(dict(zip(["q_id", "t_id", "distance", "rank", *[f"t_{c}" for c in keep]], cols, strict=True))).combine_chunks().to_batches()
-
-        near = q.mapInArrow(search, schema)
-        best = near if best is None else best.unionByName(near)
-    if pieces > 1:
-        top = Window.partitionBy("q_id").orderBy("distance", "t_id")
-        best = best.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
-    return best
+    require(queries, [id_col, *features])
+    index = spatial.Index(train, id_col, features, metric, keep, most_equal=k + 1)
+    rows = spatial.usable(queries, id_col, features)
+    if metric != "cosine":
+        return spatial.search(index, rows, k, exclude_self)
+    # A row of zeros is 1 away from all: the first k rows by id are its nearest.
+    zero = ~F.exists("x", lambda v: v != 0)
+    found = spatial.search(index, rows.filter(~zero), k, exclude_self)
+    first = train.select(F.col(id_col).alias("t_id"), vector(features).alias("t_x"), *[F.col(c).alias(f"t_{c}") for c in keep])
+    first = first.filter(F.col("t_id").isNotNull() & ~F.exists("t_x", lambda v: v.isNull() | F.isnan(v))).orderBy("t_id").limit(k + 1).drop("t_x")
+    near = rows.filter(zero).crossJoin(F.broadcast(first))  # k + 1 rows
+    near = near.filter(~F.col("q_id").eqNullSafe(F.col("t_id"))) if exclude_self else near
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("t_id"))).filter(F.col("rank") <= k)
+    return found.unionByName(near.select("q_id", "t_id", F.lit(1.0).alias("distance"), "rank", *[f"t_{c}" for c in keep]))
 
 
 def _weight(weights: str):
@@ -159,11 +106,12 @@ class LocalOutlierFactor:
 
     def fit_transform(self, df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
         """(id, lof, prediction): -1 for the ``contamination`` share of largest factors, else 1."""
-        near = k_nearest(df, df, id_col, features, self.k, exclude_self=True)
+        near = written(k_nearest(df, df, id_col, features, self.k, exclude_self=True), "neighbours")
         reach = near.groupBy("q_id").agg(F.max("distance").alias("kd"))
         both = near.join(reach.select(F.col("q_id").alias("t_id"), "kd"), "t_id")
         lrd = both.groupBy("q_id").agg(F.avg(F.greatest("distance", "kd")).alias("m")).select("q_id", F.when(F.col("m") == 0, 1.0).otherwise(1 / F.nullif(F.col("m"), F.lit(0.0))).alias("lrd"))
         other = lrd.select(F.col("q_id").alias("t_id"), F.col("lrd").alias("o"))
         lof = near.join(other, "t_id").groupBy("q_id").agg(F.avg("o").alias("o")).join(lrd, "q_id").select("q_id", (F.col("o") / F.col("lrd")).alias("lof"))
-        cut = lof.agg(F.percentile("lof", 1 - self.contamination).alias("cut"))
-        return lof.crossJoin(F.broadcast(cut)).select(F.col("q_id").alias(id_col), "lof", F.when(F.col("lof") > F.col("cut"), -1).otherwise(1).alias("prediction"))
+        lof = written(lof, "factors")
+        cut = exact_quantiles(lof, [F.col("lof")], [1 - self.contamination])[0]
+        return lof.select(F.col("q_id").alias(id_col), "lof", F.when(F.col("lof") > F.lit(cut[0] if cut else None), -1).otherwise(1).alias("prediction"))
