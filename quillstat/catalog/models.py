@@ -52,8 +52,23 @@ _predict("discriminant_quadratic", discriminant.QuadraticDiscriminantAnalysis, l
 _add("decomposition_pca", lambda x: linear.PCA(2).fit(x, X).transform(x).select("id", "pc_0", "pc_1"))
 _add("decomposition_truncated_svd", lambda x: linear.TruncatedSVD(2).fit(x, X).transform(x).select("id", "pc_0", "pc_1"))
 _add("decomposition_cca", lambda x: linear.CCA(1).fit(x, ["a", "b"], ["c", "y"]).transform_x(x).select("id", "cx_0"))
-_add("decomposition_fast_ica", lambda x: x.sparkSession.createDataFrame([(float(v),) for v in iterative.FastICA(2).fit(x, SMALL).weights.ravel()], "w double"), _orders)
-_add("decomposition_nmf", lambda x: x.sparkSession.createDataFrame([(iterative.NMF(1).fit(x.withColumn("a", F.abs("a")), SMALL, "id")[2],)], "error double"), _orders)
+_add("decomposition_fast_ica", lambda x: iterative.FastICA(2).fit(x, SMALL).transform_vector(x, "decision", "z").select("id", F.get("z", F.lit(0)).alias("s_0"), F.get("z", F.lit(1)).alias("s_1")))
+
+
+def _nmf(x):
+    """Rows of W by id, and those of H by component (numbered from -1 down)."""
+    got = iterative.NMF(2).fit(x, X, "id")
+    w = got.w.select("id", F.get("w", F.lit(0)).alias("f_0"), F.get("w", F.lit(1)).alias("f_1"), F.lit(None).cast("double").alias("f_2"))
+    h = x.sparkSession.createDataFrame([(-1 - j, *map(float, row)) for j, row in enumerate(got.h)], "id long, f_0 double, f_1 double, f_2 double")
+    return w.unionByName(h)
+
+
+_add("decomposition_nmf", _nmf)
+_add("ransac_inliers", lambda x: iterative.RansacRegressor(20, 0.3).fit(x, X, "y", "id").inliers(x, "y").select("id", "inlier"))
+_predict("sgd_minibatch_classifier", lambda: iterative.SgdClassifier("log", epochs=5, eta0=0.5), label="k")
+_predict("sgd_minibatch_regressor", lambda: iterative.SgdRegressor(epochs=5, eta0=0.1))
+_predict("svm_linear_svc_passes", iterative.LinearSvc, label="bin")
+_predict("svm_linear_svr_passes", iterative.LinearSvr)
 _predict("tree_classifier", lambda: trees.DecisionTreeClassifier(max_depth=5, max_bins=64), label="k")
 _predict("tree_regressor", lambda: trees.DecisionTreeRegressor(max_depth=5, max_bins=64))
 _predict("forest_classifier", lambda: trees.RandomForestClassifier(n_trees=8, max_depth=4, max_bins=64), label="k", id_col="id")

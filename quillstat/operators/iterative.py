@@ -1,14 +1,19 @@
-"""Methods that walk rows in order, or iterate on a small table: stochastic gradients, networks, factorisations."""
+"""Iterated models: stochastic gradients, linear support vectors, networks, factorisations, robust regression."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..core import ROW_CAP, ArrayModel, InvalidParameter, matrix
+from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, linear_form, matrix, require, vector, written
+from . import passes
 from .linear import LinearModel
+from .quantiles import exact_quantiles
 
 #: Rows that sequential methods walk on the driver.
 WALK = 20 * ROW_CAP
@@ -47,7 +52,12 @@ def _targets(y):
 
 @dataclass
 class _Sgd:
-    """Rows in the order of a column, epoch by epoch; stops when the mean loss falls below ``tol``."""
+    """Stochastic gradients; stops when the mean loss of an epoch falls below ``tol``.
+
+    With ``order`` rows are walked one by one in the order of that column, on the driver (at most WALK rows). Without it
+    any number of rows is walked in mini-batches of ``batch`` rows, in blocks whose weights are averaged after each epoch
+    (see passes.averaged_descent).
+    """
 
     loss: str = "hinge"
     penalty: str = "l2"
@@ -59,6 +69,9 @@ class _Sgd:
     epochs: int = 20
     tol: float = 1e-3
     epsilon: float = 0.1
+    batch: int = 16
+
+    classes = False
 
     def _rate(self, t: int) -> float:
         if self.schedule == "constant":
@@ -83,6 +96,54 @@ class _Sgd:
             return (max(0.0, abs(r) - self.epsilon), np.sign(r) if abs(r) > self.epsilon else 0.0)
         raise InvalidParameter(self.loss)
 
+    def _slopes(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Losses and slopes of many rows: _slope() on arrays."""
+        m, r = y * z, z - y
+        if self.loss == "hinge":
+            return np.maximum(0, 1 - m), np.where(m < 1, -y, 0.0)
+        if self.loss == "perceptron":
+            return np.maximum(0, -m), np.where(m <= 0, -y, 0.0)
+        if self.loss == "log":
+            return np.logaddexp(0, -m), -y / (1 + np.exp(np.minimum(m, 500)))
+        if self.loss == "modified_huber":
+            return np.where(m >= 1, 0.0, np.where(m >= -1, (1 - m) ** 2, -4 * m)), np.where(m >= 1, 0.0, np.where(m >= -1, -2 * y * (1 - m), -4 * y))
+        if self.loss == "squared":
+            return 0.5 * r * r, r
+        big = np.abs(r) > self.epsilon
+        if self.loss == "huber":
+            return np.where(big, self.epsilon * (np.abs(r) - self.epsilon / 2), 0.5 * r * r), np.where(big, self.epsilon * np.sign(r), r)
+        if self.loss == "epsilon_insensitive":
+            return np.maximum(0, np.abs(r) - self.epsilon), np.where(big, np.sign(r), 0.0)
+        raise InvalidParameter(self.loss)
+
+    def _passes(self, df: DataFrame, features, label, labels: list | None, start: np.ndarray | None, first: int = 0) -> tuple[np.ndarray, list | None]:
+        """(weights with the bias last, labels) of all classes by mini-batches inside blocks, averaged after each epoch."""
+        with passes.Table(df, features, label) as table:
+            if labels is None and self.classes:
+                labels = table.labels()
+                if len(labels) < 2:
+                    raise InvalidParameter("fewer than two classes")
+            targets = (lambda y: np.stack([np.where(y == v, 1.0, -1.0) for v in (labels[1:] if len(labels) == 2 else labels)], 1)) if self.classes else (lambda y: y.astype(float)[:, None])
+            models, block = (1 if len(labels) == 2 else len(labels)) if self.classes else 1, min(table.n, passes.BLOCK_ROWS)
+
+            def walk(x, y, w, epoch, seen):
+                t, total = targets(y), 0.0
+                for a in range(0, len(x), self.batch):
+                    v, y1 = x[a : a + self.batch], t[a : a + self.batch]
+                    loss, g = self._slopes(v @ w[:, :-1].T + w[:, -1], y1)
+                    total += float(loss.sum()) / models
+                    eta = self._rate(first + epoch * block + seen + a)
+                    share = 1.0 if self.penalty == "l2" else 1 - self.l1_ratio if self.penalty == "elasticnet" else 0.0
+                    w[:, :-1] *= max(0.0, 1 - eta * self.alpha * share)
+                    w -= eta * np.column_stack([g.T @ v, g.sum(0)]) / len(v)
+                    if self.penalty in ("l1", "elasticnet"):
+                        cut = eta * self.alpha * (1.0 if self.penalty == "l1" else self.l1_ratio)
+                        w[:, :-1] = np.sign(w[:, :-1]) * np.maximum(np.abs(w[:, :-1]) - cut, 0)
+                return w, total
+
+            begin = np.zeros((models, table.d + 1)) if start is None else start
+            return passes.averaged_descent(table, walk, begin, self.epochs, lambda loss: loss < self.tol), labels
+
     def _walk(self, x, y, w, b, t):
         for _ in range(self.epochs):
             total = 0.0
@@ -108,15 +169,24 @@ class _Sgd:
 
 @dataclass
 class SgdClassifier(_Sgd):
-    def fit(self, df: DataFrame, features, label, order) -> ScoreModel:
+    classes = True
+
+    def fit(self, df: DataFrame, features, label, order=None) -> ScoreModel:
+        if order is None:
+            w, labels = self._passes(df, features, label, None, None)
+            return ScoreModel(features, w[:, :-1], w[:, -1], labels)
         x, y = _ordered(df, features, label, order)
         labels, targets = _targets(y)
         got = [self._walk(x, t, np.zeros(x.shape[1]), 0.0, 0) for t in targets]
         return ScoreModel(features, np.array([g[0] for g in got]), np.array([g[1] for g in got]), labels)
 
-    def partial_fit(self, model: ScoreModel | None, df: DataFrame, features, label, order) -> ScoreModel:
+    def partial_fit(self, model: ScoreModel | None, df: DataFrame, features, label, order=None) -> ScoreModel:
+        """Goes on from a model with more rows, at the rate of the 1,000th step; labels stay those of the first fit."""
         if model is None:
             return self.fit(df, features, label, order)
+        if order is None:
+            w, _ = self._passes(df, features, label, model.labels, np.column_stack([model.weights, model.bias]), 1000)
+            return ScoreModel(features, w[:, :-1], w[:, -1], model.labels)
         x, y = _ordered(df, features, label, order)
         targets = [np.where(y == v, 1.0, -1.0) for v in (model.labels[1:] if len(model.labels) == 2 else model.labels)]
         got = [self._walk(x, t, model.weights[k].copy(), float(model.bias[k]), 1000) for k, t in enumerate(targets)]
@@ -127,7 +197,10 @@ class SgdClassifier(_Sgd):
 class SgdRegressor(_Sgd):
     loss: str = "squared"
 
-    def fit(self, df: DataFrame, features, label, order) -> ScoreModel:
+    def fit(self, df: DataFrame, features, label, order=None) -> ScoreModel:
+        if order is None:
+            w, _ = self._passes(df, features, label, None, None)
+            return ScoreModel(features, w[:, :-1], w[:, -1])
         x, y = _ordered(df, features, label, order)
         w, b, _ = self._walk(x, y.astype(float), np.zeros(x.shape[1]), 0.0, 0)
         return ScoreModel(features, w[None], np.array([b]))
@@ -135,11 +208,21 @@ class SgdRegressor(_Sgd):
 
 @dataclass
 class LinearSvr(SgdRegressor):
-    """Primal descent in row order on the epsilon-insensitive loss."""
+    """The epsilon-insensitive loss: with ``order`` primal descent in row order, else the least of the mean loss and
+    alpha * w^2 / 2 by Newton steps, each one pass over any number of rows."""
 
     loss: str = "epsilon_insensitive"
     epochs: int = 100
 
+    def fit(self, df: DataFrame, features, label, order=None) -> ScoreModel:
+        if order is not None:
+            return super().fit(df, features, label, order)
+        with passes.Table(df, features, label) as table:
+            penalty = np.append(np.full(table.d, self.alpha if self.penalty == "l2" else 0.0), 0.0)
+            ramps = lambda y: [[(1.0, -y.astype(float) - self.epsilon), (-1.0, y.astype(float) - self.epsilon)]]
+            w, _ = passes.newton_ramps(table, ramps, 1, 1 / table.n, penalty)
+        return ScoreModel(features, w[:, :-1], w[:, -1])
+
 
 @dataclass
 class PassiveAggressiveClassifier:
@@ -178,31 +261,24 @@ class PassiveAggressiveRegressor(PassiveAggressiveClassifier):
 
 @dataclass
 class LinearSvc:
-    """Hinge loss and squared weights by dual coordinate descent, one class against the rest."""
+    """Hinge loss and squared weights (the bias among them), one class against the rest: the least of w^2 / 2 + C * losses.
+
+    Newton steps on the loss with its kink rounded off by less and less, all classes in the same passes; any number of rows.
+    """
 
     c: float = 1.0
-    max_iter: int = 1000
-    tol: float = 1e-4
+    max_iter: int = 30
+    tol: float = 1e-6
 
     def fit(self, df: DataFrame, features, label) -> ScoreModel:
-        x, got = matrix(df, features, cap=WALK, extra=(label,))
-        labels, targets = _targets(got[label].to_numpy())
-        z, out = np.column_stack([x, np.ones(len(x))]), []
-        q = (z * z).sum(1)
-        for y in targets:
-            w, a = np.zeros(z.shape[1]), np.zeros(len(z))
-            for _ in range(self.max_iter):
-                most = 0.0
-                for i in range(len(z)):
-                    new = min(max(a[i] - (y[i] * (w @ z[i]) - 1) / max(q[i], 1e-12), 0.0), self.c)
-                    if new != a[i]:
-                        w += (new - a[i]) * y[i] * z[i]
-                        most, a[i] = max(most, abs(new - a[i])), new
-                if most < self.tol:
-                    break
-            out.append(w)
-        out = np.array(out)
-        return ScoreModel(features, out[:, :-1], out[:, -1], labels)
+        with passes.Table(df, features, label) as table:
+            labels = table.labels()
+            if len(labels) < 2:
+                raise InvalidParameter("fewer than two classes")
+            heads = labels[1:] if len(labels) == 2 else labels
+            ramps = lambda y: [[(-1.0 * t, 1.0)] for t in (np.where(y == v, 1.0, -1.0) for v in heads)]
+            w, _ = passes.newton_ramps(table, ramps, len(heads), self.c, np.ones(table.d + 1), max_iter=self.max_iter, tol=self.tol)
+        return ScoreModel(features, w[:, :-1], w[:, -1], labels)
 
 
 _ACT = {
@@ -239,58 +315,79 @@ class NetworkModel(ArrayModel):
 
 @dataclass
 class MlpClassifier:
+    """A network fitted by passes over any number of rows: each step takes the gradient of the mean loss of all rows.
+
+    ``solver`` is ``lbfgs`` (quasi-Newton, the default), ``adam`` or ``sgd`` (momentum 0.9); weights stay on the driver. The loss is
+    cross-entropy or half the squared error, plus alpha / (2 rows) times the squared weights. Stops after ``epochs`` steps or when ten steps (lbfgs: one)
+    gain less than ``tol``.
+    """
+
     hidden: list[int] = field(default_factory=lambda: [100])
     activation: str = "relu"
-    solver: str = "adam"
-    rate: float = 1e-3
+    solver: str = "lbfgs"
+    rate: float = 1e-2
     alpha: float = 1e-4
-    batch: int = 200
     epochs: int = 200
-    tol: float = 1e-4
+    tol: float = 1e-5
     seed: int = 0
     regression: bool = False
 
+    def network(self, features, flat: np.ndarray, sizes: list[int], labels) -> NetworkModel:
+        weights, biases, at = [], [], 0
+        for a, b in zip(sizes[:-1], sizes[1:], strict=True):
+            weights.append(flat[at : at + a * b].reshape(a, b))
+            biases.append(flat[at + a * b : at + a * b + b])
+            at += a * b + b
+        return NetworkModel(features, weights, biases, self.activation, labels)
+
+    def gradient(self, net: NetworkModel, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The sum of losses of some rows, then its gradient by weights and biases, layer by layer."""
+        t = y.astype(float)[:, None] if self.regression else np.eye(len(net.labels))[np.searchsorted(net.labels, y)]
+        out = net.forward(x)
+        if self.regression:
+            d = out[-1] - t
+            loss = 0.5 * float((d * d).sum())
+        else:
+            top = out[-1].max(1, keepdims=True)
+            log = out[-1] - top - np.log(np.exp(out[-1] - top).sum(1, keepdims=True))
+            d, loss = np.exp(log) - t, -float((t * log).sum())
+        parts = []
+        for k in range(len(net.weights) - 1, -1, -1):
+            parts[:0] = [(out[k].T @ d).ravel(), d.sum(0)]
+            if k:
+                d = (d @ net.weights[k].T) * _ACT[self.activation][1](out[k])
+        return np.concatenate([[loss], *parts])
+
     def fit(self, df: DataFrame, features, label) -> NetworkModel:
-        x, got = matrix(df, features, cap=WALK, extra=(label,))
-        y, rng = got[label].to_numpy(), np.random.default_rng(self.seed)
-        labels = None if self.regression else sorted(set(y.tolist()))
-        t = y.astype(float)[:, None] if self.regression else np.eye(len(labels))[np.searchsorted(labels, y)]
-        sizes = [x.shape[1], *self.hidden, t.shape[1]]
-        net = NetworkModel(features, [rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)], [np.zeros(b) for b in sizes[1:]], self.activation, labels)
-        params = net.weights + net.biases
-        m, v, step, best, still = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, np.inf, 0
-        for _ in range(self.epochs):
-            total = 0.0
-            for part in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // self.batch))):
-                out = net.forward(x[part])
-                if self.regression:
-                    err = out[-1] - t[part]
-                    total += 0.5 * float((err * err).sum())
+        with passes.Table(df, features, label) as table:
+            labels = None if self.regression else table.labels()
+            sizes = [table.d, *self.hidden, 1 if self.regression else len(labels)]
+            rng = np.random.default_rng(self.seed)
+            x = np.concatenate([np.concatenate([(rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))).ravel(), np.zeros(b)]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)])
+            decay = np.concatenate([np.concatenate([np.ones(a * b), np.zeros(b)]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]) * self.alpha / table.n
+
+            def objective(flat):
+                net = self.network(features, flat, sizes, labels)
+                m = table.sums(lambda x, y: self.gradient(net, x, y)) / table.n
+                return m[0] + 0.5 * float((decay * flat * flat).sum()), m[1:] + decay * flat
+
+            if self.solver == "lbfgs":
+                x, _, _ = passes.lbfgs(objective, x, self.epochs, self.tol)
+                return self.network(features, x, sizes, labels)
+            m, v, best, still = np.zeros_like(x), np.zeros_like(x), np.inf, 0
+            for step in range(1, self.epochs + 1):
+                loss, g = objective(x)
+                if self.solver == "adam":
+                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                    x = x - self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
                 else:
-                    e = np.exp(out[-1] - out[-1].max(1, keepdims=True))
-                    p = e / e.sum(1, keepdims=True)
-                    err = p - t[part]
-                    total -= float((t[part] * np.log(np.maximum(p, 1e-15))).sum())
-                gw, gb, d = [], [], err / len(part)
-                for k in range(len(net.weights) - 1, -1, -1):
-                    gw.insert(0, out[k].T @ d + self.alpha * net.weights[k] / len(part))
-                    gb.insert(0, d.sum(0))
-                    if k:
-                        d = (d @ net.weights[k].T) * _ACT[self.activation][1](out[k])
-                step += 1
-                for i, g in enumerate(gw + gb):
-                    if self.solver == "adam":
-                        m[i] = 0.9 * m[i] + 0.1 * g
-                        v[i] = 0.999 * v[i] + 0.001 * g * g
-                        params[i] -= self.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-                    else:
-                        m[i] = 0.9 * m[i] - self.rate * g
-                        params[i] += m[i]
-            still = 0 if total / len(x) < best - self.tol else still + 1
-            best = min(best, total / len(x))
-            if still >= 10:
-                break
-        return net
+                    m = 0.9 * m - self.rate * g
+                    x = x + m
+                still = 0 if loss < best - self.tol else still + 1
+                best = min(best, loss)
+                if still >= 10:
+                    break
+            return self.network(features, x, sizes, labels)
 
 
 @dataclass
@@ -298,9 +395,24 @@ class MlpRegressor(MlpClassifier):
     regression: bool = True
 
 
+@dataclass
+class Factors:
+    """W as a table (id, w array), H (components by features), the error |X - WH|, and the rounds it took."""
+
+    w: DataFrame
+    h: np.ndarray
+    error: float
+    rounds: int
+
+
 @dataclass
 class NMF:
-    """Multiplicative updates from a non-negative double SVD (or random) start; (W, H, error)."""
+    """Multiplicative updates from a non-negative double SVD (or random) start; any number of rows.
+
+    Rows of W lie beside those of X; a round changes H by the sums of the round before, and its one pass
+    changes each row's w and sums W'X, W'W and the squared error anew. The start's singular vectors come from X'X. The rows' state is written
+    every eighth round.
+    """
 
     n_components: int = 2
     start: str = "nndsvd"
@@ -308,37 +420,96 @@ class NMF:
     tol: float = 1e-4
     seed: int = 0
 
-    def fit(self, df: DataFrame, features, order) -> tuple[np.ndarray, np.ndarray, float]:
-        x, _ = matrix(df, features, order, WALK)
-        if (x < 0).any():
-            raise InvalidParameter("negative values")
-        k, rng = self.n_components, np.random.default_rng(self.seed)
+    def fit(self, df: DataFrame, features, id_col) -> Factors:
+        require(df, [id_col, *features])
+        k, d = self.n_components, len(features)
+        rows = df.select(F.col(f"`{id_col}`").alias("id"), vector(features).alias("x"))
+        first = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.array_min("x")).alias("least"), F.bool_or(F.exists("x", lambda v: v.isNull() | F.isnan(v))).alias("lost")).first()
+        if not first["n"]:
+            raise EmptyInput("no rows")
+        if first["lost"] or first["least"] < 0:
+            raise InvalidParameter("negative or missing values")
+
         if self.start == "nndsvd":
-            u, s, v = np.linalg.svd(x, full_matrices=False)
-            w, h = np.zeros((len(x), k)), np.zeros((k, x.shape[1]))
-            for j in range(k):
-                a, b = u[:, j], v[j]
-                pos, neg = (np.maximum(a, 0), np.maximum(b, 0)), (np.maximum(-a, 0), np.maximum(-b, 0))
-                side = max((pos, neg), key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
-                na, nb = np.linalg.norm(side[0]), np.linalg.norm(side[1])
-                w[:, j], h[j] = np.sqrt(s[j] * na * nb) * side[0] / max(na, 1e-12), np.sqrt(s[j] * na * nb) * side[1] / max(nb, 1e-12)
-            w, h = np.maximum(w, 1e-6), np.maximum(h, 1e-6)
+            gram = self._sums(rows, lambda x, w: (x.T @ x).ravel(), d).reshape(d, d)
+            s2, v = np.linalg.eigh(gram)
+            order = np.argsort(-s2)[:k]
+            s, v = np.sqrt(np.maximum(s2[order], 0)), v[:, order].T
+            norms = self._sums(rows, lambda x, w: np.concatenate([(np.maximum(u, 0) ** 2).sum(0) for u in (x @ v.T, -(x @ v.T))]), d).reshape(2, -1)
+            norms = np.sqrt(norms) / np.maximum(s, 1e-300)
+            scale, h, sign = np.zeros(k), np.full((k, d), 1e-6), np.ones(k)
+            for j in range(len(order)):
+                sides = [(norms[i, j] * np.linalg.norm(np.maximum(g * v[j], 0)), g) for i, g in enumerate((1.0, -1.0))]
+                size, sign[j] = max(sides, key=lambda p: p[0])
+                part = np.maximum(sign[j] * v[j], 0)
+                nb, na = np.linalg.norm(part), norms[0 if sign[j] > 0 else 1, j]
+                scale[j], h[j] = np.sqrt(s[j] * size) / max(na, 1e-12) / max(s[j], 1e-300), np.maximum(np.sqrt(s[j] * size) * part / max(nb, 1e-12), 1e-6)
+            full = np.zeros((k, d))
+            full[: len(order)] = v
+            begin = lambda x, ids: np.maximum(np.maximum(x @ full.T * sign, 0) * scale, 1e-6)
+        else:
+            h = np.random.default_rng(self.seed).random((k, d))
+            begin = None
+        if begin is None:  # a hash of id and component: the same for any partitioning
+            state = rows.withColumn("w", F.array(*[(F.pmod(F.xxhash64("id", F.lit(j), F.lit(self.seed)), F.lit(1 << 30)) + 1) / float(1 << 30) for j in range(k)]))
         else:
-            w, h = rng.random((len(x), k)), rng.random((k, x.shape[1]))
-        old = np.linalg.norm(x - w @ h)
-        for _ in range(self.max_iter):
-            h *= w.T @ x / np.maximum(w.T @ w @ h, 1e-12)
-            w *= x @ h.T / np.maximum(w @ h @ h.T, 1e-12)
-            new = np.linalg.norm(x - w @ h)
-            if old - new < self.tol * max(old, 1e-12):
+            state = self._mapped(rows, begin, d)
+        state = written(state, "nmf")
+        wx, ww, old = self._measure(state, h, k, d)
+        error, rounds = old, 0
+        for rounds in range(1, self.max_iter + 1):
+            h = h * (wx / np.maximum(ww @ h, 1e-12))
+            step = lambda x, w, h=h: w * (x @ h.T / np.maximum(w @ (h @ h.T), 1e-12))
+            new = self._mapped(state, step, d, True)
+            new = written(new, "nmf") if rounds % 8 == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
+            wx, ww, error = self._measure(new, h, k, d)
+            state.unpersist()
+            state = new
+            if old - error < self.tol * max(old, 1e-12):
                 break
-            old = new
-        return w, h, float(new)
+            old = error
+        return Factors(state.select(F.col("id").alias(id_col), "w"), h, error, rounds)
+
+    @staticmethod
+    def _sums(rows: DataFrame, compute, d: int, k: int = 0) -> np.ndarray:
+        def part(batches):
+            total = 0.0
+            for b in batches:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                w = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) if k else None
+                for a in range(0, len(x), passes.STEP):
+                    total = total + compute(x[a : a + passes.STEP], w[a : a + passes.STEP] if k else None)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["m"])
+
+        numbers = (k + 1) * (d + k + 1) * rows.rdd.getNumPartitions() if k else None
+        return passes.total(rows.select("x", *(["w"] if k else [])).mapInArrow(part, "m array<double>"), numbers)
+
+    @classmethod
+    def _measure(cls, state: DataFrame, h: np.ndarray, k: int, d: int):
+        m = cls._sums(state, lambda x, w: np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel(), [((x - w @ h) ** 2).sum()]]), d, k)
+        return m[: k * d].reshape(k, d), m[k * d : -1].reshape(k, k), float(np.sqrt(m[-1]))
+
+    @staticmethod
+    def _mapped(rows: DataFrame, make, d: int, has_w: bool = False) -> DataFrame:
+        kind = rows.schema["id"].dataType.simpleString()
+
+        def part(batches):
+            for b in batches:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                other = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if has_w and len(x) else None
+                w = make(x, other) if len(x) else np.zeros((0, 1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(list(w), pa.list_(pa.float64()))], ["id", "x", "w"])
+
+        return rows.mapInArrow(part, f"id {kind}, x array<double>, w array<double>")
 
 
 @dataclass
 class FastICA:
-    """Whitening, then one unit at a time with the log-cosh contrast."""
+    """Whitening, then one unit at a time with the log-cosh contrast; any number of rows.
+
+    Means and covariances are one pass, each fixed-point step is another: rows are whitened as they are read.
+    """
 
     n_components: int = 2
     max_iter: int = 200
@@ -346,69 +517,117 @@ class FastICA:
     seed: int = 0
 
     def fit(self, df: DataFrame, features) -> ScoreModel:
-        x, _ = matrix(df, features, cap=WALK)
-        mean = x.mean(0)
-        s, u = np.linalg.eigh(np.cov((x - mean).T, bias=True).reshape(x.shape[1], -1))
-        order = np.argsort(-s)[: self.n_components]
-        white = u[:, order] / np.sqrt(np.maximum(s[order], 1e-12))
-        z, rng, rows = (x - mean) @ white, np.random.default_rng(self.seed), []
-        for _ in range(len(order)):
-            w = rng.normal(size=z.shape[1])
-            for _ in range(self.max_iter):
-                g = np.tanh(z @ w)
-                new = (z * g[:, None]).mean(0) - (1 - g * g).mean() * w
-                for r in rows:
-                    new = new - (new @ r) * r
-                new /= max(np.linalg.norm(new), 1e-12)
-                done = abs(abs(new @ w) - 1) < self.tol
-                w = new
-                if done:
-                    break
-            rows.append(w)
-        unmix = np.array(rows) @ white.T
+        with passes.Table(df, features) as table:
+            n, d = table.n, table.d
+            mean = table.sums(lambda x, y: x.sum(0)) / n
+            cov = table.sums(lambda x, y: ((x - mean).T @ (x - mean)).ravel()).reshape(d, d) / n
+            s, u = np.linalg.eigh(cov)
+            order = np.argsort(-s)[: self.n_components]
+            white = u[:, order] / np.sqrt(np.maximum(s[order], 1e-12))
+            rng, units = np.random.default_rng(self.seed), []
+            for _ in range(len(order)):
+                w = rng.normal(size=len(order))
+                w /= np.linalg.norm(w)
+                for _ in range(self.max_iter):
+
+                    def step(x, y, w=w):
+                        z = (x - mean) @ white
+                        g = np.tanh(z @ w)
+                        return np.append((z * g[:, None]).sum(0), (1 - g * g).sum())
+
+                    m = table.sums(step) / n
+                    new = m[:-1] - m[-1] * w
+                    for r in units:
+                        new = new - (new @ r) * r
+                    new /= max(np.linalg.norm(new), 1e-12)
+                    done = abs(abs(new @ w) - 1) < self.tol
+                    w = new
+                    if done:
+                        break
+                units.append(w)
+        unmix = np.array(units) @ white.T
         return ScoreModel(features, unmix, -unmix @ mean)
 
 
-def _mad(y: np.ndarray) -> float:
-    """Median absolute deviation with upper medians."""
-    up = lambda v: np.sort(v)[len(v) // 2]
-    return float(up(np.abs(y - up(y))))
+def _upper_median(df: DataFrame, column, n: int) -> float:
+    return exact_quantiles(df, [column], [(n // 2) / (n - 1) if n > 1 else 0.0])[0][0]
 
 
 def _least_squares(x, y):
     return np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
 
 
+def _drawn(table: passes.Table, order: str, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of at most ``rows`` rows, the first by a hash of their id: bounded, and the same for any partitioning."""
+    got = table.rows.select("x", "y", F.xxhash64(F.col(f"`{order}`"), F.lit(seed)).alias("h")).orderBy("h", "y", "x").limit(rows).toArrow().combine_chunks()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, table.d)
+    return x, got.column("y").to_numpy().astype(float)
+
+
+@dataclass
+class RansacModel(LinearModel):
+    """A linear model with the distance up to which a row is an inlier."""
+
+    threshold: float = 0.0
+
+    def inliers(self, df: DataFrame, label: str, output: str = "inlier") -> DataFrame:
+        """Marks rows no farther from the best candidate's prediction than the threshold."""
+        coef, intercept = self.extra["candidate"][1:], self.extra["candidate"][0]
+        return df.withColumn(output, F.abs(F.col(f"`{label}`").cast("double") - linear_form(self.features, coef, intercept)) <= self.threshold)
+
+
 @dataclass
 class RansacRegressor:
+    """Least squares on the inliers of the candidate that has most; any number of rows.
+
+    Candidates go through rows drawn by a hash of their id; one pass counts the inliers of all candidates, and one
+    sums what the last fit needs. The threshold is the median absolute deviation of the label, with upper medians, unless given. Of
+    candidates with as many inliers the first is taken.
+    """
+
     trials: int = 100
     threshold: float | None = None
     seed: int = 0
 
-    def fit(self, df: DataFrame, features, label, order) -> LinearModel:
-        x, y = _ordered(df, features, label, order)
-        rng, best = np.random.default_rng(self.seed), None
-        limit, k = self.threshold or _mad(y), x.shape[1] + 1
-        for _ in range(self.trials):
-            pick = rng.choice(len(x), min(k, len(x)), replace=False)
-            b = _least_squares(x[pick], y[pick])
-            good = np.abs(y - b[0] - x @ b[1:]) <= limit
-            if best is None or good.sum() > best.sum():
-                best = good
-        b = _least_squares(x[best], y[best]) if best.sum() >= k else _least_squares(x, y)
-        return LinearModel(features, b[1:], float(b[0]), {"inliers": int(best.sum())})
+    def fit(self, df: DataFrame, features, label, order) -> RansacModel:
+        with passes.Table(df, features, label, order) as table:
+            k, rng = table.d + 1, np.random.default_rng(self.seed)
+            limit = self.threshold
+            if limit is None:
+                y = F.col("y").cast("double")
+                middle = _upper_median(table.rows, y, table.n)
+                limit = _upper_median(table.rows, F.abs(y - F.lit(middle)), table.n)
+            x, y = _drawn(table, order, self.trials * k, self.seed)
+            models = np.array([_least_squares(x[p], y[p]) for p in (rng.choice(len(x), min(k, len(x)), replace=False) for _ in range(self.trials))])
+            close = lambda x, y, b: np.abs(y.astype(float)[:, None] - b[:, 0] - x @ b[:, 1:].T) <= limit
+            counts = table.sums(lambda x, y: close(x, y, models).sum(0).astype(float))
+            best = models[int(counts.argmax())]
+
+            def gram(x, y):
+                z = np.column_stack([np.ones(len(x)), x, y.astype(float)])
+                z = z[close(x, y, best[None])[:, 0]] if counts.max() >= k else z
+                return (z.T @ z).ravel()
+
+            m = table.sums(gram).reshape(k + 1, k + 1)
+            b = np.linalg.lstsq(m[:k, :k], m[:k, k], rcond=None)[0]
+        return RansacModel(features, b[1:], float(b[0]), {"inliers": int(counts.max()), "candidate": best.tolist()}, float(limit))
 
 
 @dataclass
 class TheilSenRegressor:
-    """The spatial median (Weiszfeld) of least-squares fits to random subsets."""
+    """The spatial median (Weiszfeld) of least-squares fits to random subsets of rows drawn by a hash of their id.
+
+    The subsets, draws * (features + 1) rows at most, are all that reaches the driver, however many rows there are.
+    """
 
     draws: int = 1000
     seed: int = 0
 
     def fit(self, df: DataFrame, features, label, order) -> LinearModel:
-        x, y = _ordered(df, features, label, order)
-        rng, k = np.random.default_rng(self.seed), x.shape[1] + 1
+        with passes.Table(df, features, label, order) as table:
+            k = table.d + 1
+            x, y = _drawn(table, order, self.draws * k, self.seed)
+        rng = np.random.default_rng(self.seed)
         z = np.array([_least_squares(x[p], y[p]) for p in (rng.choice(len(x), min(k, len(x)), replace=False) for _ in range(self.draws))])
         m = np.median(z, axis=0)
         for _ in range(300):
@@ -418,5 +637,3 @@ class TheilSenRegressor:
                 break
             m = new
         return LinearModel(features, m[1:], float(m[0]))
-
-
