@@ -57,7 +57,7 @@ _add("decomposition_fast_ica", lambda x: iterative.FastICA(2).fit(x, SMALL).tran
 
 def _nmf(x):
     """Rows of W by id, and those of H by component (numbered from -1 down)."""
-    got = iterative.NMF(2).fit(x, X, "id")
+    got = iterative.NMF(2, max_iter=20).fit(x, X, "id")
     w = got.w.select("id", F.get("w", F.lit(0)).alias("f_0"), F.get("w", F.lit(1)).alias("f_1"), F.lit(None).cast("double").alias("f_2"))
     h = x.sparkSession.createDataFrame([(-1 - j, *map(float, row)) for j, row in enumerate(got.h)], "id long, f_0 double, f_1 double, f_2 double")
     return w.unionByName(h)

@@ -8,16 +8,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, summed, vector, written
 from ..functions.numeric import digamma, lgamma
-from . import spatial
+from . import passes, spatial
+from .ranks import numbered
 
 
 def distances(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """Distances of all rows of a from all of b, from differences column by column: nothing cancels at large offsets."""
     b = a if b is None else b
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        out += np.multiply(gap, gap, out=gap)
+    return np.sqrt(out, out=out)
 
 
 def spread_start(x: np.ndarray, k: int, rng, w: np.ndarray | None = None) -> np.ndarray:
@@ -32,16 +37,21 @@ def spread_start(x: np.ndarray, k: int, rng, w: np.ndarray | None = None) -> np.
     return np.array(out)
 
 
-def hashed_sample(df: DataFrame, features: list[str], n: int, seed: int) -> np.ndarray:
-    """About n rows picked by a hash of their values: bounded, and the same for any partitioning."""
+def hashed_sample(df: DataFrame, features: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, weights): at most n distinct rows and how many rows each stands for; the same for any partitioning.
+
+    Equal rows are counted first. Where there are more than n distinct ones, n are drawn with chances by their counts, by a hash of
+    their values (Efraimidis-Spirakis: the least of -ln(u) / count), and stand for one each. Rows with a missing number are left out.
+    """
     require(df, features)
-    total = df.count()
-    if not total:
+    rows = df.select(vector(features).alias("x")).filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    distinct = rows.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    u = (F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    got = distinct.select("x", "c", (-F.log(u) / F.col("c")).alias("key")).orderBy("key", "x").limit(n + 1).toArrow().combine_chunks()
+    if not got.num_rows:
         raise EmptyInput("no rows")
-    h = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in features], F.lit(seed)), F.lit(1 << 20))
-    part = df if total <= n else df.filter(h < F.lit(min(1.0, 1.5 * n / total) * (1 << 20)))
-    rows = part.select(*features, F.xxhash64(*[F.col(f"`{c}`") for c in features], F.lit(seed + 1)).alias("__h")).orderBy("__h").limit(n).toPandas()
-    return rows[features].to_numpy(float)
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(got.num_rows, -1)
+    return (x[:n], np.ones(n)) if len(x) > n else (x, got.column("c").to_numpy().astype(float))
 
 
 @dataclass
@@ -72,33 +82,26 @@ class KMeans:
     def fit(self, df: DataFrame, features: list[str], weight: str | None = None) -> CentroidModel:
         if self.k < 1:
             raise InvalidParameter("k")
-        c = spread_start(hashed_sample(df, features, self.start_rows, self.seed), self.k, np.random.default_rng(self.seed))
-        rows = df.select(vector(features).alias("x"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w")).cache()
-        d, inertia, n = len(features), 0.0, 0
-        try:
+        pool, stands = hashed_sample(df, features, self.start_rows, self.seed)
+        c, k = spread_start(pool, self.k, np.random.default_rng(self.seed), stands), self.k
+        inertia, n, d = 0.0, 0, len(features)
+        own = df if weight else df.withColumn("__one", F.lit(1.0))
+        with passes.Table(own, features, weight or "__one") as table:
             for n in range(1, self.max_iter + 1):
 
-                def sums(batches, c=c):
-                    total = np.zeros((self.k, d + 2))
-                    for b in batches:
-                        if len(b):
-                            x, w = np.stack(b["x"].to_numpy()), b["w"].to_numpy()
-                            gap = distances(x, c)
-                            at = gap.argmin(axis=1)
-                            z = np.column_stack([w, x * w[:, None], w * gap[np.arange(len(x)), at] ** 2])
-                            for j in range(d + 2):
-                                total[:, j] += np.bincount(at, z[:, j], minlength=self.k)
-                    yield pd.DataFrame({"m": [total.ravel()]})
-
-                m = summed(rows.mapInPandas(sums, "m array<double>")).reshape(self.k, d + 2)
+                def sums(x, w, c=c):
+                    w, gap = w.astype(float), distances(x, c)
+                    at = gap.argmin(axis=1)
+                    z = np.column_stack([w, x * w[:, None], w * gap[np.arange(len(x)), at] ** 2])
+                    return np.stack([np.bincount(at, z[:, j], minlength=k) for j in range(d + 2)], 1).ravel()
+
+                m = table.sums(sums).reshape(k, d + 2)
                 new = np.where(m[:, :1] > 0, m[:, 1:-1] / np.maximum(m[:, :1], 1e-300), c)
                 inertia, moved = float(m[:, -1].sum()), ((new - c) ** 2).sum(1).max()
                 c = new
                 if moved < self.tol:
                     break
-            return CentroidModel(features, c, inertia, n)
-        finally:
-            rows.unpersist()
+        return CentroidModel(features, c, inertia, n)
 
 
 @dataclass
@@ -111,11 +114,11 @@ class MiniBatchKMeans:
     seed: int = 0
 
     def fit(self, df: DataFrame, features: list[str]) -> CentroidModel:
-        pool = hashed_sample(df, features, min(self.batch * self.max_iter, 50_000), self.seed)
+        pool, stands = hashed_sample(df, features, min(self.batch * self.max_iter, 50_000), self.seed)
         rng = np.random.default_rng(self.seed)
-        c, n = spread_start(pool, self.k, rng), np.zeros(self.k)
+        c, n = spread_start(pool, self.k, rng, stands), np.zeros(self.k)
         for _ in range(self.max_iter):
-            x = pool[rng.integers(len(pool), size=min(self.batch, len(pool)))]
+            x = pool[rng.choice(len(pool), size=self.batch, p=stands / stands.sum())]
             for v, j in zip(x, distances(x, c).argmin(axis=1), strict=True):
                 n[j] += 1
                 c[j] += (v - c[j]) / n[j]
@@ -165,46 +168,38 @@ class GaussianMixture:
     def fit(self, df: DataFrame, features: list[str]) -> MixtureModel:
         if self.covariance not in ("full", "diag"):
             raise InvalidParameter(self.covariance)
-        rows = df.select(vector(features).alias("x")).cache()
-        try:
-            fits = [self._one(rows, df, features, self.seed + i) for i in range(self.n_init)]
-            return max(fits, key=lambda m: m.log_likelihood)
-        finally:
-            rows.unpersist()
-
-    def _one(self, rows, df, features, seed) -> MixtureModel:
+        with passes.Table(df, features) as table:
+            fits = [self._one(table, df, features, self.seed + i) for i in range(self.n_init)]
+        return max(fits, key=lambda m: m.log_likelihood)
+
+    def _one(self, table, df, features, seed) -> MixtureModel:
         d, k = len(features), self.k
-        pool = hashed_sample(df, features, 5000, seed)
-        c0 = np.cov(pool.T).reshape(d, d) + self.reg * np.eye(d) if len(pool) > 1 else np.eye(d)
+        pool, stands = hashed_sample(df, features, 5000, seed)
+        c0 = np.cov(pool.T, aweights=stands).reshape(d, d) + self.reg * np.eye(d) if len(pool) > 1 else np.eye(d)
         if self.covariance == "diag":
             c0 = np.diag(np.diag(c0))
-        start = spread_start(pool, k, np.random.default_rng(seed))
+        start = spread_start(pool, k, np.random.default_rng(seed), stands)
         for _ in range(10):
             at = distances(pool, start).argmin(1)
-            start = np.array([pool[at == j].mean(0) if (at == j).any() else start[j] for j in range(k)])
+            start = np.array([np.average(pool[at == j], 0, stands[at == j]) if (at == j).any() else start[j] for j in range(k)])
         model, old = MixtureModel(features, np.ones(k) / k, start, np.array([c0] * k), -np.inf), -np.inf
-        m0, w0, b0, v0 = pool.mean(0), 1.0 / k, 1.0, float(d)
+        m0, w0, b0, v0 = np.average(pool, 0, stands), 1.0 / k, 1.0, float(d)
         for _ in range(self.max_iter):
 
-            def sums(batches, model=model):
-                s, ll, n = np.zeros((k, 1 + d + d * d)), 0.0, 0
-                for b in batches:
-                    if len(b):
-                        x = np.stack(b["x"].to_numpy())
-                        z = model.joint(x)
-                        top = z.max(axis=1, keepdims=True)
-                        e = np.exp(z - top)
-                        ll += float((top[:, 0] + np.log(e.sum(1))).sum())
-                        n += len(x)
-                        r = e / e.sum(1, keepdims=True)
-                        s += r.T @ np.column_stack([np.ones(len(x)), x, np.einsum("ij,ik->ijk", x, x).reshape(len(x), -1)])
-                yield pd.DataFrame({"m": [np.append(s.ravel(), [ll, n])]})
-
-            *s, ll, n = summed(rows.mapInPandas(sums, "m array<double>"))
+            def sums(x, _, model=model):
+                z = model.joint(x)
+                top = z.max(axis=1, keepdims=True)
+                e = np.exp(z - top)
+                r, y = e / e.sum(1, keepdims=True), x - m0
+                s = r.T @ np.column_stack([np.ones(len(x)), y, np.einsum("ij,ik->ijk", y, y).reshape(len(x), -1)])
+                return np.append(s.ravel(), [(top[:, 0] + np.log(e.sum(1))).sum(), len(x)])
+
+            *s, ll, n = table.sums(sums)
             s = np.array(s).reshape(k, -1)
             nk = np.maximum(s[:, 0], 1e-10)
             mean = s[:, 1 : 1 + d] / nk[:, None]
             cov = s[:, 1 + d :].reshape(k, d, d) / nk[:, None, None] - np.einsum("ij,ik->ijk", mean, mean)
+            mean = mean + m0  # moments are taken around one centre, so large offsets don't cancel
             cov = cov + self.reg * np.eye(d)
             if self.covariance == "diag":
                 cov = cov * np.eye(d)
@@ -280,16 +275,6 @@ class Dbscan:
         return out.select(F.col("q_id").alias(id_col), F.coalesce("number", F.lit(-1).cast("long")).alias("cluster"))
 
 
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """(column, number): the rank from 0 of each distinct value, taken in ranges and added up."""
-    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = written(df.select(column).repartitionByRange(n, column).sortWithinPartitions(column).withColumn("spot", F.monotonically_increasing_id()), "ranges")
-    place = F.col("spot").bitwiseAND((1 << 33) - 1)
-    sizes = ranges.groupBy(F.shiftright("spot", 33).alias("piece")).agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    return ranges.withColumn("piece", F.shiftright("spot", 33)).join(F.broadcast(sizes.withColumn("before", before)), "piece").select(column, (F.col("before") + place).alias("number"))
-
-
 @dataclass
 class Hdbscan:
     """Mutual reachability, minimum spanning tree, then a greedy cut: the first merge (shortest first) whose two sides

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..core import EmptyInput, InvalidParameter
 from .quantiles import exact_quantiles
+from .ranks import before, in_ranges
 
 EPS = 1e-15
 
@@ -86,21 +87,11 @@ def _ladder(df: DataFrame, y: str, s: str) -> DataFrame:
     by = df.groupBy(F.col(s).cast("double").alias("threshold")).agg(
         F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    ends = by.agg(F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
-    cut = by.crossJoin(F.broadcast(ends)).withColumn(
-        "cell", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col("threshold")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(0)
-    )
-    inner = Window.partitionBy("cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("n").alias("cn"))
-    every = Window.partitionBy(F.lit(0))
-    cells = cells.select(
-        "cell", F.coalesce(F.sum("cp").over(outer), F.lit(0)).alias("bp"), F.coalesce(F.sum("cn").over(outer), F.lit(0)).alias("bn"),
-        F.sum("cp").over(every).alias("all_pos"), (F.sum("cn").over(every) - F.sum("cp").over(every)).alias("all_neg"),
-    )
-    out = cut.withColumn("ip", F.sum("pos").over(inner)).withColumn("in_", F.sum("n").over(inner)).join(F.broadcast(cells), "cell")
+    pieces = in_ranges(by.filter("threshold IS NOT NULL"), [F.desc("threshold")])
+    inner = Window.partitionBy("__piece").orderBy("__spot").rowsBetween(Window.unboundedPreceding, 0)
+    out = before(pieces.withColumns({"ip": F.sum("pos").over(inner), "in_": F.sum("n").over(inner)}), bp=F.sum("pos"), bn=F.sum("n"))
     tp = F.col("bp") + F.col("ip")
-    return out.select("threshold", "pos", "n", tp.alias("tp"), (F.col("bn") + F.col("in_") - tp).alias("fp"), "all_pos", "all_neg")
+    return out.select("threshold", "pos", "n", tp.alias("tp"), (F.col("bn") + F.col("in_") - tp).alias("fp"), F.col("bp_all").alias("all_pos"), (F.col("bn_all") - F.col("bp_all")).alias("all_neg"))
 
 
 def roc_auc_score(df: DataFrame, y: str, s: str) -> DataFrame:

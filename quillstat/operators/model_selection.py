@@ -15,13 +15,9 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..core import EmptyInput, InvalidParameter
-
-#: Pieces that a global order is cut into for ranking.
-PIECES = 1024
-
+from .ranks import numbered, positions
 
 def hashed(id_col: str, seed: int = 0) -> Column:
     """60 bits of MD5 of seed and id: a shuffle that any engine can repeat."""
@@ -29,19 +25,20 @@ def hashed(id_col: str, seed: int = 0) -> Column:
 
 
 def _ranked(df: DataFrame, order: Column, id_col: str, by: list[str] | None = None, name: str = "__r") -> DataFrame:
-    """0-based rank (``name``) and number of rows (``name``_n), overall or within groups of few rows each."""
+    """0-based rank (``name``) and number of rows (``name``_n), overall or within groups.
+
+    Ids may be of any type that sorts; rows without an id, or without a group, are kept: nulls come first and are a group of their own.
+    """
     by = by or []
-    df = df.withColumn("__o", order)
-    ends = df.agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi"))
-    df = df.crossJoin(F.broadcast(ends))
-    width = F.greatest((F.col("__hi").cast("double") - F.col("__lo").cast("double")) / PIECES, F.lit(1e-300))
-    df = df.withColumn("__c", F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(F.floor((F.col("__o").cast("double") - F.col("__lo").cast("double")) / width))).drop("__lo", "__hi")
-    totals = df.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__m"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    totals = totals.select(*by, "__c", (F.sum("__m").over(w.orderBy("__c")) - F.col("__m")).alias("__b"), F.sum("__m").over(w).alias(f"{name}_n"))
-    inner = F.row_number().over(Window.partitionBy(*by, "__c").orderBy("__o", id_col)) - 1
-    out = df.withColumn("__i", inner).join(F.broadcast(totals), [*by, "__c"])
-    return out.withColumn(name, F.col("__i") + F.col("__b")).drop("__i", "__b", "__c", "__o")
+    keys = [F.col(f"`{c}`") for c in by]
+    placed = positions(df.withColumn("__o", order), [*keys, F.col("__o"), F.col(f"`{id_col}`")], name).drop("__o")
+    if not by:
+        return placed
+    # Rows lie group by group: a rank is the place less that of the group's first row.
+    groups = placed.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("__first"), F.count(F.lit(1)).alias("__size"))
+    same = [placed[f"`{c}`"].eqNullSafe(groups[f"__g{i}"]) for i, c in enumerate(by)]
+    out = placed.join(groups, same).withColumns({name: F.col(name) - F.col("__first"), f"{name}_n": F.col("__size")})
+    return out.drop("__first", "__size", *[f"__g{i}" for i in range(len(by))])
 
 
 def _order(id_col: str, seed: int | None) -> Column:
@@ -147,10 +144,10 @@ def repeated_stratified_k_fold(df: DataFrame, id_col: str, label: str, k: int =
 
 
 def group_k_fold(df: DataFrame, group: str, k: int = 5, output: str = "fold") -> DataFrame:
-    """Sorted distinct groups dealt in turn."""
-    groups = df.select(group).distinct()
-    places = groups.withColumn("__p", F.row_number().over(Window.orderBy(group)) - 1)
-    return df.join(places, group).withColumn(output, (F.col("__p") % k).cast("int")).select(*df.columns, output)
+    """Sorted distinct groups dealt in turn; rows without a group are a group of their own, the first."""
+    places = numbered(df.select(F.col(f"`{group}`").alias("__g")).distinct(), "__g")
+    joined = df.join(places, df[f"`{group}`"].eqNullSafe(places["__g"]))
+    return joined.withColumn(output, (F.col("number") % k).cast("int")).select(*[df[f"`{c}`"] for c in df.columns], output)
 
 
 # Cross-validation and search. A ``run`` takes (train, test) frames and returns test with a prediction column.
