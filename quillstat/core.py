@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,6 +228,11 @@ def linear_form(features: list[str], weights, intercept: float = 0.0) -> Column:
     return out
 
 
+def _wide(v: pa.Array, width: int) -> np.ndarray:
+    """Rows of numbers as a matrix, without an object for each row; missing ones are NaN."""
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), width)
+
+
 class ArrayModel(Model):
     """A model whose prediction is numpy code on batches of rows (Arrow batches, never single rows)."""
 
@@ -239,9 +245,9 @@ class ArrayModel(Model):
         require(df, self.features)
         model = self
 
-        @F.pandas_udf("double")
-        def predict(v: pd.Series) -> pd.Series:
-            return pd.Series(np.asarray(model.predict_array(np.stack(v.to_numpy())), float) if len(v) else [], dtype=float)
+        @F.arrow_udf("double")
+        def predict(v: pa.Array) -> pa.Array:
+            return pa.array(np.asarray(model.predict_array(_wide(v, len(model.features))), float), pa.float64())
 
         return df.withColumn(output, predict(vector(self.features)))
 
@@ -250,9 +256,10 @@ class ArrayModel(Model):
         require(df, self.features)
         model = self
 
-        @F.pandas_udf("array<double>")
-        def apply(v: pd.Series) -> pd.Series:
-            return pd.Series(list(np.asarray(getattr(model, method)(np.stack(v.to_numpy())), float)) if len(v) else [])
+        @F.arrow_udf("array<double>")
+        def apply(v: pa.Array) -> pa.Array:
+            out = np.asarray(getattr(model, method)(_wide(v, len(model.features))), float).reshape(len(v), -1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
         return df.withColumn(output, apply(vector(self.features)))
 

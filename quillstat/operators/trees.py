@@ -17,27 +17,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ArrayModel, EmptyInput, InvalidParameter, num, require, vector
+from ..core import ArrayModel, EmptyInput, InvalidParameter, num, require, vector, written
 from ..functions.numeric import average_path
 from .quantiles import exact_quantiles
 
 
-def bin_edges(df: DataFrame, features: list[str], max_bins: int) -> list[np.ndarray]:
-    """Thresholds of each feature: midpoints of distinct values, or of quantiles where there are too many."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(num(c)).alias(f"d{k}") for k, c in enumerate(features)]).first()
-    if not row["n"]:
+def bin_edges(df: DataFrame, features: list[str], max_bins: int, min_in_bin: int = 1) -> list[np.ndarray]:
+    """Thresholds of each feature: midpoints of distinct values, or of quantiles where there are too many.
+
+    A task counts the distinct values it meets of each feature and gives a feature up when they are more than
+    ``max_bins``, so what is sent and added up stays small. Neighbouring values share a bin until it has ``min_in_bin`` rows.
+    """
+    d = len(features)
+
+    def counted(batches):
+        found, over = [(np.zeros(0), np.zeros(0, np.int64))] * d, np.zeros(d, bool)
+        for b in batches:
+            for k in np.flatnonzero(~over):
+                v = b.column(int(k)).drop_null().to_numpy(zero_copy_only=False)
+                v, at = np.unique(np.concatenate((found[k][0], v + 0.0)), return_inverse=True)
+                n = np.bincount(at, np.concatenate((found[k][1], np.ones(len(at) - len(found[k][1])))), minlength=len(v))
+                found[k], over[k] = (v, n), len(v) > max_bins
+        for k in range(d):
+            v, n = (found[k][0][:1], [0.0]) if over[k] else found[k]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.float64()), pa.array([bool(over[k])] * len(v))], ["k", "v", "n", "over"])
+
+    parts = df.select(*[num(c).alias(f"f{k}") for k, c in enumerate(features)]).mapInArrow(counted, "k int, v double, n double, over boolean")
+    each = parts.groupBy("k", "v").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
+    pairs = F.slice(F.sort_array(F.collect_list(F.struct("v", "n"))), 1, max_bins + 1).alias("pairs")  # max_bins values a task at most
+    got = {r["k"]: r for r in each.groupBy("k").agg(F.bool_or("over").alias("over"), F.count(F.lit(1)).alias("c"), pairs).collect()}
+    if not got and df.isEmpty():
         raise EmptyInput("no rows")
-    share = F.array(*[F.lit(k / max_bins) for k in range(max_bins + 1)])
-    few = [c for k, c in enumerate(features) if row[f"d{k}"] <= max_bins]
-    many = [c for c in features if c not in few]
-    values = {}
-    if few:
-        got = df.agg(*[F.sort_array(F.collect_set(num(c))).alias(f"v{k}") for k, c in enumerate(few)]).first()
-        values |= {c: np.array(got[k], float) for k, c in enumerate(few)}
+    values, many = {c: (np.zeros(0), np.zeros(0)) for c in features}, []
+    for k, c in enumerate(features):
+        if k in got and (got[k]["over"] or got[k]["c"] > max_bins):
+            many.append(c)
+        elif k in got:
+            values[c] = tuple(np.array([r[q] for r in got[k]["pairs"]], float) for q in ("v", "n"))
     if many:
-        got = df.agg(*[F.percentile_approx(num(c), share, 20 * max_bins) for c in many]).first()
-        values |= {c: np.unique(np.array(got[k], float)) for k, c in enumerate(many)}
-    return [(values[c][1:] + values[c][:-1]) / 2 for c in features]
+        share = F.array(*[F.lit(k / max_bins) for k in range(max_bins + 1)])
+        cuts = df.agg(*[F.percentile_approx(num(c), share, 20 * max_bins) for c in many]).first()
+        values |= {c: (v := np.unique(np.array(cuts[k], float)), np.full(len(v), np.inf)) for k, c in enumerate(many)}
+    edges = []
+    for c in features:
+        v, n = values[c]
+        keep, held = [], 0.0
+        for i in range(len(v) - 1):
+            held += n[i]
+            if held >= min_in_bin and n[i + 1 :].sum() >= min_in_bin:
+                keep.append((v[i] + v[i + 1]) / 2)
+                held = 0.0
+        edges.append(np.array(keep))
+    return edges
 
 
 def _categories(df: DataFrame, column: str, most: int) -> np.ndarray:
@@ -154,6 +185,8 @@ class Growth:
     #: Values of the features that are categories.
     categories: dict[int, np.ndarray] = field(default_factory=dict)
     min_hessian: float = 0.0
+    #: What a split must gain, beyond nothing.
+    min_gain: float = 0.0
 
 
 def _newton(z: np.ndarray, l1: float, l2: float, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
@@ -240,7 +273,7 @@ def _best(h: np.ndarray, node: Open, g: Growth, edges: list[np.ndarray], seed: l
                 gain[:, r, np.arange(gain.shape[2]) != only] = -np.inf
     gain = np.where(np.arange(gain.shape[2])[None, :] < np.array([len(edges[j]) + g.missing for j in columns])[:, None], gain, -np.inf)
     most = gain.max()
-    if not np.isfinite(most) or (most <= 1e-12 and (g.stop_at_zero or g.criterion == "gradient")):
+    if not np.isfinite(most) or (most <= max(1e-12, g.min_gain) and (g.stop_at_zero or g.criterion == "gradient")):
         return leaf
     # Sums come in any order: what differs by rounding only is equal, and the first of equals is taken.
     way, row, cut = (int(i) for i in np.unravel_index((gain >= most - 1e-9 * abs(most)).argmax(), gain.shape))
@@ -331,11 +364,12 @@ def grow_forest(df: DataFrame, features: list[str], target, k: int, n_trees: int
     return trees
 
 
-def _rows(df: DataFrame, features: list[str], label: str, id_col: str | None, weight: str | None = None) -> DataFrame:
-    require(df, [*features, label, *([weight] if weight else [])])
+def _rows(df: DataFrame, features: list[str], label: str, id_col: str | None, weight: str | None = None, init_score: str | None = None) -> DataFrame:
+    require(df, [*features, label, *[c for c in (weight, init_score) if c]])
+    z = F.coalesce(F.col(f"`{init_score}`").cast("double"), F.lit(0.0)) if init_score else F.lit(0.0)
     ident = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in [*features, label]])
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
-    rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y"), ident.alias("id"), w.alias("w"), F.array(F.lit(0.0)).alias("z")).filter("y IS NOT NULL")
+    rows = df.select(vector(features).alias("x"), F.col(f"`{label}`").cast("double").alias("y"), ident.alias("id"), w.alias("w"), F.array(z).alias("z")).filter("y IS NOT NULL")
     return rows.filter("w > 0 AND NOT isnan(w)") if weight else rows
 
 
@@ -344,7 +378,7 @@ KEEP_ROUNDS = 8
 
 
 def _rescored(rows: DataFrame, scores) -> DataFrame:
-    """The rows with ``z`` replaced by ``scores(rows)``, held in memory or on disk; the old ones are let go."""
+    """The rows with ``z`` replaced by ``scores(rows)``, written down, so that a lost executor costs no earlier round; the old ones are let go."""
 
     def apply(batches):
         for batch in batches:
@@ -352,8 +386,7 @@ def _rescored(rows: DataFrame, scores) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("x", "y", "id", "w")], flat], ["x", "y", "id", "w", "z"])
 
-    new = rows.mapInArrow(apply, rows.schema).persist()
-    new.count()
+    new = written(rows.mapInArrow(apply, rows.schema), "scores").persist()
     rows.unpersist()
     return new
 
@@ -547,7 +580,10 @@ class BoostedModel(ArrayModel):
         return BoostedModel(self.features, [0.0] * len(self.init), self.rate, self.rounds[rounds:], self.labels)
 
     def predict_proba(self, x: np.ndarray) -> np.ndarray:
-        z = self.raw(x)
+        return self.proba_of(self.raw(x))
+
+    def proba_of(self, z: np.ndarray) -> np.ndarray:
+        """Chances of the classes by raw scores."""
         if len(self.labels) == 2:
             p = 1 / (1 + np.exp(-np.clip(z[:, 0], -500, 500)))
             return np.column_stack([1 - p, p])
@@ -584,7 +620,8 @@ class _Boosting:
     ``missing``: null and NaN go to the side that each split learns (to the right where it saw none), else always right.
     ``categorical`` names features of at most ``max_bins`` values each that are split by subsets, found in the order of
     their mean gradients; a value that is not among a subset (a new one, too) goes right. ``max_features`` is the share
-    (or number) of features that each tree sees, ``min_hessian`` the least sum of hessians on a side.
+    (or number) of features that each tree sees, ``min_hessian`` the least sum of hessians on a side, ``min_gain`` what a
+    split must gain, ``min_in_bin`` the fewest rows of a bin (of features with at most ``max_bins`` values).
     """
 
     n_rounds: int = 100
@@ -609,9 +646,19 @@ class _Boosting:
     categorical: list[str] | None = None
     max_features: float | str | int | None = None
     min_hessian: float = 0.0
-
-    def fit(self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None, weight: str | None = None) -> BoostedModel:
-        """``weight`` names a column of row weights; rows weighing nothing are left out. ``valid`` is for early stopping."""
+    min_gain: float = 0.0
+    min_in_bin: int = 1
+
+    def fit(
+        self, df: DataFrame, features: list[str], label: str, id_col: str | None = None, valid: DataFrame | None = None, weight: str | None = None,
+        init_score: str | None = None, valid_weight: str | None = None,
+    ) -> BoostedModel:
+        """``weight`` names a column of row weights; rows weighing nothing are left out. ``valid`` is for early stopping, its
+        rows weighted by ``valid_weight``. ``init_score`` names a column of scores to start from (one output only): the model then
+        predicts what is to be added to them.
+        """
+        if init_score and not self.regression and df.select(label).distinct().limit(3).count() > 2:
+            raise InvalidParameter("init_score needs one output")
         if (self.monotone or self.goss) and self.leaf == "mean":
             raise InvalidParameter("monotone and goss need Newton leaves")
         if self.monotone and (len(self.monotone) != len(features) or set(self.monotone) - {-1, 0, 1}):
@@ -620,10 +667,10 @@ class _Boosting:
             raise InvalidParameter("goss needs two shares of at most 1 together")
         if set(self.categorical or []) - set(features) or any(self.monotone and self.monotone[features.index(c)] for c in self.categorical or []):
             raise InvalidParameter("categorical names features, none of them monotone")
-        rows = _rows(df, features, label, id_col, weight).cache()
+        rows = _rows(df, features, label, id_col, weight, init_score).cache()
         try:
             categories = {features.index(c): _categories(df, c, self.max_bins) for c in self.categorical or []}
-            edges = bin_edges(df, features, self.max_bins)
+            edges = bin_edges(df, features, self.max_bins, self.min_in_bin)
             labels = None if self.regression else sorted(r[0] for r in rows.select("y").distinct().limit(1001).collect())
             n = rows.agg(F.sum("w")).first()[0]
             if self.regression:
@@ -635,10 +682,12 @@ class _Boosting:
                 share = {r["y"]: r["n"] / n for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
                 codes = labels[1:] if len(labels) == 2 else labels
                 init = [float(np.log(share[y] / (1 - share[y]))) for y in codes]
+            init = [0.0] * len(init) if init_score else init
             model = BoostedModel(features, init, self.rate, [], labels)
-            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, features=self.max_features, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None, missing=self.missing, categories=categories, min_hessian=self.min_hessian)
+            grow = Growth("mse" if self.leaf == "mean" else "gradient", self.max_depth, 2, self.min_leaf, self.max_leaves, self.max_bins, features=self.max_features, l1=self.l1, l2=self.l2, seed=self.seed, monotone=self.monotone if any(self.monotone or []) else None, missing=self.missing, categories=categories, min_hessian=self.min_hessian, min_gain=self.min_gain)
             best, since, kept = np.inf, 0, 0
-            rows = _rescored(rows, lambda b: np.tile(init, (len(b), 1)).astype(float))
+            rows = _rescored(rows, lambda b: b.z + np.tile(init, (len(b), 1)).astype(float))
+            held_out = _rows(valid, features, label, id_col, valid_weight, init_score) if valid is not None else None
             for r in range(self.n_rounds):
                 if r - kept == KEEP_ROUNDS:
                     rows, kept = _rescored(rows, lambda b, recent=model.since(kept): b.z + recent.raw(b.x)), r  # noqa: B023
@@ -683,7 +732,7 @@ class _Boosting:
                     trees.append(tree)
                 model.rounds.append(trees)
                 if self.early_stopping and valid is not None:
-                    err = self._error(model, _rows(valid, features, label, id_col))
+                    err = self._error(model, held_out)
                     best, since = (err, 0) if err < best - 1e-12 else (best, since + 1)
                     if since >= self.early_stopping:
                         model.rounds = model.rounds[: len(model.rounds) - since]
@@ -712,17 +761,18 @@ class _Boosting:
     @staticmethod
     def _error(model: BoostedModel, rows: DataFrame) -> float:
         def loss(batches):
-            for b in batches:
+            for batch in batches:
+                b = Rows(batch)
                 if len(b):
-                    x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
+                    z = b.z + model.raw(b.x)
                     if model.labels is None:
-                        e = (y - model.raw(x)[:, 0]) ** 2
+                        e = (b.y - z[:, 0]) ** 2
                     else:
-                        e = -np.log(np.maximum(model.predict_proba(x)[np.arange(len(y)), np.searchsorted(model.labels, y)], 1e-15))
-                    yield pd.DataFrame({"s": [e.sum()], "n": [float(len(y))]})
+                        e = -np.log(np.maximum(model.proba_of(z)[np.arange(len(b)), np.searchsorted(model.labels, b.y)], 1e-15))
+                    yield pa.RecordBatch.from_arrays([pa.array([float((e * b.w).sum())]), pa.array([float(b.w.sum())])], ["s", "n"])
 
-        r = rows.mapInPandas(loss, "s double, n double").agg(F.sum("s"), F.sum("n")).first()
-        return (r[0] or 0.0) / max(1.0, r[1] or 0.0)
+        r = rows.mapInArrow(loss, "s double, n double").agg(F.sum("s"), F.sum("n")).first()
+        return (r[0] or 0.0) / max(1e-300, r[1] or 0.0)
 
 
 @dataclass

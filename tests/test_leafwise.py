@@ -4,8 +4,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstat import core
+from quillstat.core import EmptyInput
 from quillstat.operators import trees
 
 
@@ -82,3 +84,39 @@ def test_what_is_refused(spark):
         with pytest.raises(core.InvalidParameter):
             stump(df, ["a"], **bad)
     assert stump(table(spark, np.full(9, np.nan), np.arange(9.0)), ["a"]).predict_array(np.array([[1.0]]))[0] == 4.0
+
+
+def test_options_of_leafwise_boosting(spark):
+    rng = np.random.default_rng(11)
+    x, base = rng.integers(0, 12, 400) / 2.0, rng.normal(0, 1, 400)
+    y = np.where(x > 3, 4.0, 0.0) + base + rng.normal(0, 0.1, 400)
+    df = spark.createDataFrame([(int(i), float(a), float(b), float(t), 1.0 + i % 2) for i, (a, b, t) in enumerate(zip(x, base, y, strict=True))], "id long, x double, base double, y double, w double").repartition(3)
+    make = lambda **k: trees.LgbmRegressor(**{"n_rounds": 1, "rate": 1.0, "max_leaves": 2, "min_leaf": 1} | k)
+    # Scores to start from: the tree fits what is left of them.
+    m = make().fit(df, ["x"], "y", "id", init_score="base")
+    rest, left = y - base, x <= 3
+    assert m.init == [0.0] and np.allclose(m.raw(x[:, None])[:, 0], np.where(left, rest[left].mean(), rest[~left].mean()))
+    # What a split must gain: the best one gains the fall of the squared error.
+    r = y - y.mean()
+    gain = max(r[x <= c].sum() ** 2 / (x <= c).sum() + r[x > c].sum() ** 2 / (x > c).sum() for c in np.unique(x)[:-1])
+    assert len(make(min_gain=gain * 1.01).fit(df, ["x"], "y", "id").rounds[0][0].feature) == 1
+    assert len(make(min_gain=gain * 0.99).fit(df, ["x"], "y", "id").rounds[0][0].feature) == 3
+    # Bins of few rows take their neighbours in.
+    v, n = np.unique(x, return_counts=True)
+    for least in (1, 50, 150):
+        (edges,) = trees.bin_edges(df, ["x"], 255, least)
+        held = np.histogram(x, np.concatenate(([-1], edges, [99])))[0]
+        assert held.min() >= least and (least > 1 or len(edges) == len(v) - 1)
+    # Weights of the held-out rows: the error stops where they say.
+    valid = df.withColumn("y", F.when(F.col("w") > 1, F.col("y")).otherwise(F.lit(1e3)))
+    free = make(n_rounds=6, early_stopping=1).fit(df, ["x"], "y", "id", valid=valid.withColumn("w", F.when(F.col("w") > 1, 1.0).otherwise(0.0)), valid_weight="w")
+    same = make(n_rounds=6, early_stopping=1).fit(df, ["x"], "y", "id", valid=valid.filter("w > 1"))
+    assert len(free.rounds) == len(same.rounds) and np.allclose(free.raw(x[:, None]), same.raw(x[:, None]))
+
+
+def test_bins_of_many_values_and_of_none(spark):
+    df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.lit(None).cast("double").alias("none"), F.lit(-0.0).alias("one"))
+    few, many, none, one = trees.bin_edges(df.repartition(6), ["few", "many", "none", "one"], 32)
+    assert few.tolist() == [k + 0.5 for k in range(6)] and 25 <= len(many) <= 32 and not len(none) and not len(one)
+    with pytest.raises(EmptyInput):
+        trees.bin_edges(df.limit(0), ["few"], 32)
