@@ -167,11 +167,14 @@ def _encoded(column, encoder: Encoder, end_id: int | None) -> Iterator[tuple[int
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int = 4, text_col: str = "text", end_id: int | None = None, by_unit: bool = False) -> bytes:
     """A shared dictionary from the serialized id arrays of a bounded sample: DICT_DOCS texts of DICT_CHARS characters at most.
 
-    Texts go in by the order of their MD5, each distinct one once, so the dictionary doesn't depend on partitions. Where there are too
-    few for training, the dictionary is empty and frames stand alone.
+    Texts go in by the order of their MD5, each distinct one once, so the dictionary doesn't depend on partitions; of large
+    tables only a share by another hash is ordered, 16 * DICT_DOCS rows or so. Where there are too few for training, the
+    dictionary is empty and frames stand alone.
     """
-    short = docs.filter(F.length(text_col).between(1, DICT_CHARS)).select(F.md5(text_col).alias("h"), F.col(text_col).alias("text"))
-    sample = short.orderBy("h", "text").limit(DICT_DOCS)
+    share = min(1.0, 16 * DICT_DOCS / max(1, docs.count()))
+    some = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30))
+    short = docs.filter(F.length(text_col).between(1, DICT_CHARS) & some).select(F.md5(text_col).alias("h"), F.col(text_col).alias("text"))
+    sample = short.distinct().orderBy("h", "text").limit(DICT_DOCS)
 
     def serialize(batches):
         own = encoder(tokenizer, by_unit)
@@ -337,7 +340,7 @@ def write_token_files(
     The folder must be one that Arrow's file systems can write (a mounted path, ``file://``, ``hdfs://``, ``s3://``).
 
     A null text counts as empty (its frame holds the end id alone, if there is one), rows without an id come first,
-    rows that repeat an id follow each other by number of ids, then frame. A text of any length is one frame. Other columns are ignored,
+    rows that repeat an id follow each other by number of ids, then a hash of the frame. A text of any length is one frame. Other columns are ignored,
     whatever their names; an empty table gives no files.
     """
     common.need_integers(docs, id_col)
@@ -388,8 +391,9 @@ def write_token_files(
                 pa.schema([("part", pa.int64()), ("k", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]),
             )
 
-    order = ["doc_id", "n", "frame"]
-    dealt = frames.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(max(2 * common.shuffle_width(spark), 8), *order, "read")
+    # Keys of ranges are sampled to the driver, so frames take part by a hash.
+    order = ["doc_id", "n", F.xxhash64("frame"), "frame"]
+    dealt = frames.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(max(2 * common.shuffle_width(spark), 8), "doc_id", "n", F.xxhash64("frame"), "read")
     dealt = dealt.drop("read").sortWithinPartitions(*order)
     made = dealt.mapInArrow(write, "part long, k long, path string, docs long, ids long, bytes long, first_id long, last_id long")
     made, _ = common.materialize(made, "manifest")
