@@ -40,7 +40,7 @@ def bin_edges(df: DataFrame, features: list[str], max_bins: int, min_in_bin: int
                 found[k], over[k] = (v, n), len(v) > max_bins
         for k in range(d):
             v, n = (found[k][0][:1], [0.0]) if over[k] else found[k]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.float64()), pa.array([bool(over[k])] * len(v))], ["k", "v", "n", "over"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.float64()), pa.array([bool(over[k])] * len(v), pa.bool_())], ["k", "v", "n", "over"])
 
     parts = df.select(*[num(c).alias(f"f{k}") for k, c in enumerate(features)]).mapInArrow(counted, "k int, v double, n double, over boolean")
     each = parts.groupBy("k", "v").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
