@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -462,26 +463,76 @@ class SpectralClustering:
 
 @dataclass
 class MeanShift:
-    """Flat kernel; modes nearer than half the bandwidth merge; clusters by size."""
+    """Flat kernel; modes nearer than half the bandwidth merge, those with most rows first; clusters by size.
+
+    Every distinct row starts a mode. A round joins the modes that still move with the rows within the bandwidth, through the
+    index, and adds the rows up: no pair is written out, and modes that rest leave the loop. Modes equal to one part in 10^5 of the bandwidth
+    count as one; at most ``most_modes`` may be left for the driver to merge. Rows without an id, or with a missing number, are left out.
+    """
 
     bandwidth: float = 1.0
     max_iter: int = 300
+    most_modes: int = 100_000
 
     def fit_predict(self, df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
-        x, got = matrix(df, features, id_col)
-        m = x.copy()
-        for _ in range(self.max_iter):
-            near = (distances(m, x) <= self.bandwidth).astype(float)
-            new = near @ x / np.maximum(near.sum(1, keepdims=True), 1)
-            moved = np.abs(new - m).max()
-            m = new
-            if moved < 1e-6:
+        if self.bandwidth <= 0:
+            raise InvalidParameter("bandwidth")
+        require(df, [id_col, *features])
+        d = len(features)
+        rows = written(spatial.usable(df.filter(F.col(id_col).isNotNull()), id_col, features), "points")
+        names = [f"x{k}" for k in range(d)]
+        index = spatial.Index(rows.select("q_id", *[F.get("x", F.lit(k)).alias(n) for k, n in enumerate(names)]), "q_id", names)
+        moving, still = rows.groupBy("x").agg(F.min("q_id").alias("q_id")).select("q_id", "x"), []
+        for r in range(self.max_iter + 1):
+            near = self._near(index, moving, d)
+            gap = F.array_max(F.transform(F.arrays_zip("x", "new"), lambda p: F.abs(p["x"] - p["new"])))
+            step = written(moving.join(near, "q_id").withColumn("rests", (gap < 1e-6) | F.lit(r == self.max_iter)), "modes")
+            still.append(step.filter("rests").select("q_id", F.col("x").alias("m"), "n"))
+            moving = step.filter("NOT rests").select("q_id", F.col("new").alias("x"))
+            if moving.isEmpty():
                 break
-        modes: list = []
-        for v in m[np.argsort(-(distances(m, x) <= self.bandwidth).sum(1), kind="stable")]:
-            if not modes or np.sqrt(((np.array(modes) - v) ** 2).sum(1)).min() >= self.bandwidth / 2:
-                modes.append(v)
-        return _labelled(df, id_col, got[id_col], distances(x, np.array(modes)).argmin(1))
+        modes = still[0]
+        for more in still[1:]:
+            modes = modes.unionByName(more)
+        cell = F.transform("m", lambda v: F.round(v / (self.bandwidth * 1e-5)))
+        first = F.min_by(F.struct("m", "n", "q_id"), F.struct(-F.col("n"), F.col("q_id"))).alias("f")
+        left = modes.groupBy(cell.alias("cell")).agg(first).select("f.*").orderBy(F.desc("n"), "q_id").limit(self.most_modes + 1).toArrow()
+        if left.num_rows > self.most_modes:
+            raise InvalidParameter(f"more than {self.most_modes} modes: the bandwidth is too small")
+        kept = np.zeros((0, d))
+        for v in left.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d):
+            if not len(kept) or np.sqrt(((kept - v) ** 2).sum(1)).min() >= self.bandwidth / 2:
+                kept = np.vstack([kept, v])
+
+        def nearest_mode(batches):
+            for b in batches:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                step = max(1, spatial.BLOCK_CELLS // len(kept))
+                at = [distances(x[a : a + step], kept).argmin(1) for a in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([b.column("q_id"), pa.array(np.concatenate([np.zeros(0, np.int64), *at]), pa.int64())], [id_col, "cluster"])
+
+        return rows.mapInArrow(nearest_mode, f"`{id_col}` {rows.schema['q_id'].dataType.simpleString()}, cluster long")
+
+    def _near(self, index: spatial.Index, modes: DataFrame, d: int) -> DataFrame:
+        """(q_id, n, new): rows within the bandwidth of each mode, and their mean; modes of a table of one cell go on until they rest."""
+        rounds = self.max_iter if index.only is not None else 1
+
+        def compare(some, t, about):
+            x, step = some.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d), max(1, spatial.BLOCK_CELLS // max(1, len(t)))
+            for a in range(0, len(x), step):
+                m = x[a : a + step]
+                for _ in range(rounds):
+                    hit = (distances(m, t) <= self.bandwidth).astype(float)
+                    m, old = hit @ t / np.maximum(hit.sum(1, keepdims=True), 1), m
+                    if not len(m) or np.abs(m - old).max() < 1e-6:
+                        break
+                columns = [some.column("q_id").slice(a, len(hit)), *(pa.array(v) for v in np.column_stack([hit.sum(1), hit @ t]).T)]
+                yield pa.RecordBatch.from_arrays(columns, ["q_id", "n", *[f"s{k}" for k in range(d)]])
+
+        schema = f"q_id {index.kinds['t_id']}, n double, " + ", ".join(f"s{k} double" for k in range(d))
+        parts = index.meet(index.visits(modes.withColumn("reach", F.lit(float(self.bandwidth))), "near"), compare, schema)
+        sums = parts.groupBy("q_id").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(d)])
+        return sums.filter("n > 0").select("q_id", "n", F.array(*[F.col(f"s{k}") / F.col("n") for k in range(d)]).alias("new"))
 
 
 @dataclass

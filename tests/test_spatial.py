@@ -134,3 +134,27 @@ def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(201), 300, 305, 310, 400, 500]], "id long")
     got = dict(spatial.components(spark.createDataFrame(edges, "a long, b long"), nodes).collect())
     assert got == {**dict.fromkeys(range(201), 0), 300: 300, 305: 300, 310: 300, 400: 400, 500: 500}
+
+
+def brute_mean_shift(x, width):
+    m = x.copy()
+    for _ in range(300):
+        near = (spatial.gaps(m, x, "euclidean") <= width).astype(float)
+        new = near @ x / near.sum(1, keepdims=True)
+        if np.abs(new - m).max() < 1e-9:
+            break
+        m = new
+    modes = []
+    for v in m[np.argsort(-(spatial.gaps(m, x, "euclidean") <= width).sum(1), kind="stable")]:
+        if not modes or np.sqrt(((np.array(modes) - v) ** 2).sum(1)).min() >= width / 2:
+            modes.append(v)
+    return spatial.gaps(x, np.array(modes), "euclidean").argmin(1)
+
+
+@pytest.mark.parametrize("n", [50, 240])
+def test_mean_shift_equals_all_pairs(spark, n):
+    x = points(11, n, 2)
+    x[1] = x[0]
+    df, names = frame(spark, x)
+    got = dict(cluster.MeanShift(1.5).fit_predict(df, "id", names).collect())
+    assert [got[i] for i in range(n)] == brute_mean_shift(x, 1.5).tolist()
