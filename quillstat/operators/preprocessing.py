@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 from ..core import EmptyInput, InvalidParameter, Model, NotFitted, num, require, stats
 from ..functions import numeric
+from .moments import moments
 from .quantiles import exact_quantiles
 
 TINY = 1e-15
+#: Columns up to which two aggregates each stay in generated code; more are summed in Arrow batches.
+WIDE = 16
 
 
 def _replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -46,6 +49,10 @@ class StandardScaler:
 
     def fit(self, df: DataFrame, features: list[str]) -> ScalerModel:
         require(df, features)
+        if len(features) > WIDE:
+            _, mean, var = moments(df, features)
+            dev = np.sqrt(var[:, 0])
+            return ScalerModel(features, mean[:, 0].tolist(), [float(s) if s > TINY else 1.0 for s in dev])
         r = stats(df, *[f(num(c)).alias(f"{n}{k}") for k, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
         dev = [r[f"s{k}"] or 0.0 for k in range(len(features))]
         return ScalerModel(features, [r[f"m{k}"] or 0.0 for k in range(len(features))], [s if s > TINY else 1.0 for s in dev])
@@ -214,6 +221,14 @@ class PowerModel(Model):
         return out.withColumns({c: numeric.inverse_yeo_johnson(F.col(f"`{c}`"), x) for c, x in zip(self.features, self.lambdas, strict=True)})
 
 
+def _yeo_johnson(x: np.ndarray, power: float) -> np.ndarray:
+    """numeric.yeo_johnson() on an array."""
+    up, down = np.log1p(np.maximum(x, 0)), np.log1p(np.maximum(-x, 0))
+    above = up if power == 0 else np.expm1(power * up) / power
+    below = -down if power == 2 else -np.expm1((2 - power) * down) / (2 - power)
+    return np.where(x >= 0, above, below)
+
+
 @dataclass
 class PowerTransformer:
     """Yeo-Johnson with the exponent of a grid from -2 to 2 by 0.1 that has the least negative log-likelihood."""
@@ -224,14 +239,12 @@ class PowerTransformer:
         require(df, features)
         grid = [round(-2 + 0.1 * k, 10) for k in range(41)]
         grid = [0.0 if abs(x) < 1e-9 else x for x in grid]
+        # One pass: for every column 41 variances, and the mean log-Jacobian as the last of its sums.
+        _, mean, var = moments(df, features, lambda x: np.column_stack([*(_yeo_johnson(x, g) for g in grid), np.sign(x) * np.log1p(np.abs(x))]), len(grid) + 1)
         lambdas = []
-        for c in features:  # one pass a column: 41 deviations and the log-Jacobian
-            x = num(c)
-            r = stats(df, F.count(x).alias("n"), F.avg(F.signum(x) * F.log1p(F.abs(x))).alias("j"), *[F.var_pop(numeric.yeo_johnson(x, g)).alias(f"v{k}") for k, g in enumerate(grid)])
-            import math
-
-            cost = [0.5 * math.log(r[f"v{k}"]) - (g - 1) * r["j"] if r[f"v{k}"] and r[f"v{k}"] > 0 else math.inf for k, g in enumerate(grid)]
-            lambdas.append(grid[min(range(len(grid)), key=lambda k: (cost[k], k))] if min(cost) < math.inf else 1.0)
+        for m, v in zip(mean, var, strict=True):
+            cost = [0.5 * np.log(v[k]) - (g - 1) * m[-1] if v[k] > 0 else np.inf for k, g in enumerate(grid)]
+            lambdas.append(grid[int(np.argmin(cost))] if min(cost) < np.inf else 1.0)
         model = PowerModel(features, lambdas, None)
         if self.standardize:
             model.scaler = StandardScaler().fit(model.transform(df), features)
