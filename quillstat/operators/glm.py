@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, summed, vector
 from ..functions import numeric
+from .isotonic import IsotonicRegressor, StepModel, pava  # noqa: F401
 from .linear import LinearModel, solve
 from .quantiles import exact_quantiles
 
@@ -197,53 +198,3 @@ class QuantileRegressor:
         start = reweighted(df, features, label, lambda x, y, e: (np.ones(len(y)), y), 1, 1.0)
         b = reweighted(df, features, label, step, self.max_iter, self.tol, start=start)
         return LinearModel(features, b[1:], float(b[0]))
-
-
-@dataclass
-class StepModel(Model):
-    """Linear interpolation between fitted points, constant outside."""
-
-    feature: str
-    x: list[float]
-    y: list[float]
-    features: list[str] = field(default_factory=list)
-
-    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        xs, ys = np.array(self.x), np.array(self.y)
-
-        @F.pandas_udf("double")
-        def at(v: pd.Series) -> pd.Series:
-            return pd.Series(np.interp(v, xs, ys))
-
-        return df.withColumn(output, at(F.col(f"`{self.feature}`").cast("double")))
-
-
-def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators: the closest non-decreasing sequence."""
-    level, weight, size = [], [], []
-    for v, k in zip(y, w, strict=True):
-        level.append(v)
-        weight.append(k)
-        size.append(1)
-        while len(level) > 1 and level[-2] > level[-1]:
-            a, b = weight[-2], weight[-1]
-            level[-2:] = [(level[-2] * a + level[-1] * b) / (a + b)]
-            weight[-2:] = [a + b]
-            size[-2:] = [size[-2] + size[-1]]
-    return np.repeat(level, size)
-
-
-@dataclass
-class IsotonicRegressor:
-    """Rows are averaged by distinct x in Spark; the means, at most ``cap``, are pooled on the driver."""
-
-    increasing: bool = True
-    cap: int = 1_000_000
-
-    def fit(self, df: DataFrame, feature: str, label: str) -> StepModel:
-        g = df.groupBy(F.col(f"`{feature}`").cast("double").alias("x")).agg(F.avg(F.col(f"`{label}`").cast("double")).alias("y"), F.count(F.lit(1)).alias("w")).filter("x IS NOT NULL")
-        rows = g.limit(self.cap + 1).toPandas().sort_values("x")
-        if not len(rows) or len(rows) > self.cap:
-            raise InvalidParameter("no rows, or too many distinct values")
-        s = 1 if self.increasing else -1
-        return StepModel(feature, rows["x"].tolist(), (s * pava(s * rows["y"].to_numpy(), rows["w"].to_numpy(float))).tolist())
