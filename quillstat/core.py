@@ -213,7 +213,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         folder = spark._quillstat_work = tempfile.mkdtemp(prefix="quillstat-")
     path = f"{folder.rstrip('/')}/quillstat/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillstat_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a frame that written() returned, where nothing reads it any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quillstat_path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def vector(features: list[str]) -> Column:

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, matrix, require, summed, vector, written
+from ..core import ROW_CAP, ArrayModel, EmptyInput, InvalidParameter, forget, matrix, require, summed, vector, written
 from ..functions.numeric import digamma, lgamma
 from . import passes, spatial
+from .quantiles import exact_quantiles
 from .ranks import numbered
 
 
@@ -537,12 +538,24 @@ class MeanShift:
 
 @dataclass
 class AffinityPropagation:
+    """Messages between all pairs of at most 2,000 rows, or with ``n_neighbors`` along the graph of nearest rows, of any size.
+
+    The graph has an edge both ways between a row and each of its nearest, and one from each row to itself. A round of messages is three
+    grouped aggregates of edges with map-side combine, joined back on their keys, so a row that is near to very many is no
+    single task's; the edges are written once a round and those of two rounds before deleted. Rows join the nearest exemplar, ties by id, through the
+    index; clusters are numbered by the ids of their exemplars, and all are -1 if there is none. Rows without an id, or
+    with a missing number, are left out; rows that repeat an id are one.
+    """
+
     damping: float = 0.9
     max_iter: int = 200
     stable: int = 15
     preference: float | None = None
+    n_neighbors: int | None = None
 
     def fit_predict(self, df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
+        if self.n_neighbors is not None:
+            return self._along(df, id_col, features)
         x, got = matrix(df, features, id_col, cap=2000)
         s = -(distances(x) ** 2)
         n = len(x)
@@ -574,3 +587,63 @@ class AffinityPropagation:
         at = s[:, old].argmax(1)
         at[old] = np.arange(len(old))
         return _labelled(df, id_col, got[id_col], at)
+
+    def _along(self, df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
+        if self.n_neighbors < 1 or self.max_iter < 1:
+            raise InvalidParameter("n_neighbors or max_iter")
+        require(df, [id_col, *features])
+        rows = spatial.usable(df.filter(F.col(id_col).isNotNull()), id_col, features).groupBy("q_id").agg(F.min("x").alias("x"))
+        rows = written(rows, "points")
+        names = [f"x{k}" for k in range(len(features))]
+        flat = rows.select("q_id", *[F.get("x", F.lit(k)).alias(n) for k, n in enumerate(names)])
+        edges = self._messages(rows, flat, names)
+        own = (F.col("i") == F.col("k")) & (F.col("a") + F.col("r") > 0)
+        before, old, same = None, None, 0
+        for _ in range(self.max_iter):
+            new = written(self._round(edges), "messages")
+            if before is not None:
+                forget(before)
+            before, edges = edges, new
+            mark = edges.filter(own).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("i"))).first()
+            same = same + 1 if mark == old else 0
+            old = mark
+            if same >= self.stable and mark[0]:
+                break
+        heads = edges.filter(own).select(F.col("i").alias("q_id"))
+        if not old[0]:
+            return rows.select(F.col("q_id").alias(id_col), F.lit(-1).cast("long").alias("cluster"))
+        heads = written(flat.join(heads, "q_id", "left_semi"), "exemplars")
+        # An exemplar is in its own cluster, whichever other lies at the same point.
+        near = spatial.search(spatial.Index(heads, "q_id", names, most_equal=1), rows, 1).select("q_id", "t_id")
+        mine = near.join(heads.select("q_id", F.lit(True).alias("head")), "q_id", "left").select("q_id", F.when(F.col("head"), F.col("q_id")).otherwise(F.col("t_id")).alias("head"))
+        numbers = numbered(heads.select(F.col("q_id").alias("head")), "head")
+        return mine.join(numbers, "head").select(F.col("q_id").alias(id_col), F.col("number").alias("cluster"))
+
+    def _messages(self, rows: DataFrame, flat: DataFrame, names: list[str]) -> DataFrame:
+        """(i, k, s, r, a): the edges of the graph, by ids, with messages of nothing."""
+        k = self.n_neighbors
+        near = spatial.search(spatial.Index(flat, "q_id", names, most_equal=k + 1), rows, k, exclude_self=True)
+        s = (-F.col("distance") * F.col("distance")).alias("s")
+        pairs = near.select(F.col("q_id").alias("i"), F.col("t_id").alias("k"), s)
+        pairs = written(pairs.unionByName(pairs.select(F.col("k").alias("i"), F.col("i").alias("k"), "s")).distinct(), "graph")
+        preference = self.preference
+        if preference is None:
+            n = pairs.count()
+            preference = exact_quantiles(pairs, [F.col("s")], [(n // 2) / (n - 1)])[0][0] if n > 1 else 0.0
+        own = rows.select(F.col("q_id").alias("i"), F.col("q_id").alias("k"), F.lit(float(preference)).alias("s"))
+        return written(pairs.unionByName(own).withColumns({"r": F.lit(0.0), "a": F.lit(0.0)}), "messages")
+
+    def _round(self, edges: DataFrame) -> DataFrame:
+        """Responsibilities from the best and second best of each row, then availabilities from the sums at each candidate."""
+        z, keep = F.col("a") + F.col("s"), F.lit(self.damping)
+        # Of equal best ones the last id stands for all: the second best is then as good, so which one it is changes nothing.
+        best = edges.groupBy("i").agg(F.max(F.struct(z.alias("z"), "k")).alias("best"))
+        edges = edges.join(best, "i")
+        second = edges.filter(F.col("k") != F.col("best.k")).groupBy("i").agg(F.max(z).alias("second"))
+        edges = edges.join(second, "i", "left")
+        other = F.when(F.col("k") == F.col("best.k"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best.z"))
+        edges = edges.select("i", "k", "s", "a", (keep * F.col("r") + (1 - keep) * (F.col("s") - other)).alias("r"))
+        loop, gain = F.col("i") == F.col("k"), F.greatest("r", F.lit(0.0))
+        sums = edges.groupBy("k").agg(F.sum(F.when(loop, 0.0).otherwise(gain)).alias("gains"), F.max(F.when(loop, F.col("r"))).alias("own"))
+        new = F.when(loop, F.col("gains")).otherwise(F.least(F.lit(0.0), F.col("own") + F.col("gains") - gain))
+        return edges.join(sums, "k").select("i", "k", "s", "r", (keep * F.col("a") + (1 - keep) * new).alias("a"))
