@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("metrics", "preprocessing", "selection", "learning", "models", "solved")
+_PARTS = ("metrics", "preprocessing", "selection", "learning", "models", "composed", "solved")
 
 
 def queries() -> dict:
