@@ -236,7 +236,7 @@ def linear_form(features: list[str], weights, intercept: float = 0.0) -> Column:
     return out
 
 
-def _wide(v: pa.Array, width: int) -> np.ndarray:
+def wide(v: pa.Array, width: int) -> np.ndarray:
     """Rows of numbers as a matrix, without an object for each row; missing ones are NaN."""
     return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), width)
 
@@ -255,7 +255,7 @@ class ArrayModel(Model):
 
         @F.arrow_udf("double")
         def predict(v: pa.Array) -> pa.Array:
-            return pa.array(np.asarray(model.predict_array(_wide(v, len(model.features))), float), pa.float64())
+            return pa.array(np.asarray(model.predict_array(wide(v, len(model.features))), float), pa.float64())
 
         return df.withColumn(output, predict(vector(self.features)))
 
@@ -266,7 +266,7 @@ class ArrayModel(Model):
 
         @F.arrow_udf("array<double>")
         def apply(v: pa.Array) -> pa.Array:
-            out = np.asarray(getattr(model, method)(_wide(v, len(model.features))), float).reshape(len(v), -1)
+            out = np.asarray(getattr(model, method)(wide(v, len(model.features))), float).reshape(len(v), -1)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
         return df.withColumn(output, apply(vector(self.features)))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, summed, vector
+from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, summed, vector, wide
 from ..functions import numeric
 from .isotonic import IsotonicRegressor, StepModel, pava  # noqa: F401
 from .linear import LinearModel, solve
@@ -33,15 +33,15 @@ def reweighted(df: DataFrame, features: list[str], label: str, step, max_iter: i
             def sums(batches, b=b):
                 total = np.zeros((d, d + 1))
                 for part in batches:
-                    if not len(part):
+                    if not part.num_rows:
                         continue
-                    x = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy())])
-                    y = part["y"].to_numpy()
+                    x = np.column_stack([np.ones(part.num_rows), wide(part.column("x"), d - 1)])
+                    y = part.column("y").to_numpy()
                     w, z = step(x, y, x @ b)
                     total += (x * w[:, None]).T @ np.column_stack([x, z])
-                yield pd.DataFrame({"m": [total.ravel()]})
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["m"])
 
-            m = summed(rows.mapInPandas(sums, "m array<double>")).reshape(d, d + 1)
+            m = summed(rows.mapInArrow(sums, "m array<double>")).reshape(d, d + 1)
             a = m[:, :d] + penalty * np.diag([0.0] + [1.0] * (d - 1))
             new = solve(a + 1e-12 * np.eye(d), m[:, d])
             if not np.isfinite(new).all():

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, vector
+from ..core import EmptyInput, InvalidParameter, Model, linear_form, require, vector, wide
 
 
 @dataclass
@@ -95,18 +96,23 @@ def grams(df: DataFrame, features: list[str], label: str | None = None, weight:
         rows = [(g, part, bad, m.n, m.means.tolist(), m.moments.ravel().tolist()) for g, (bad, m) in got.items()]
         return pd.DataFrame(rows, columns=["g", "part", "bad", "n", "means", "moments"])
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
         for b in batches:
-            for g, part in b.groupby("g", dropna=False):
-                z = np.column_stack([np.stack(part["x"].to_numpy()).astype(float), part["y"].to_numpy(float)])
-                w = part["w"].to_numpy(float)
-                bad, whole = ~(w >= 0), ~np.isnan(z).any(axis=1)
-                g = None if pd.isna(g) else g
+            if not b.num_rows:
+                continue
+            z = np.column_stack([wide(b.column("x"), d - 1), b.column("y").to_numpy(zero_copy_only=False)]).astype(float)
+            w = b.column("w").to_numpy(zero_copy_only=False).astype(float)
+            bad, whole = ~(w >= 0), ~np.isnan(z).any(axis=1)
+            group = b.column("g").dictionary_encode(null_encoding="encode")
+            code, names = group.indices.to_numpy(), group.dictionary.to_pylist()
+            for k, g in enumerate(names):
+                at = code == k if len(names) > 1 else np.ones(len(code), bool)
+                use = at & whole & ~bad
                 old = total.get(g, (0, Gram(0.0, np.zeros(d), np.zeros((d, d)))))
-                total[g] = (old[0] + int(bad.sum()), old[1] + Gram.of(z[whole & ~bad], w[whole & ~bad]))
+                total[g] = (old[0] + int((at & bad).sum()), old[1] + Gram.of(z[use], w[use]))
         if total:
-            yield frame(total, TaskContext.get().partitionId() % MERGE_PARTS)
+            yield pa.RecordBatch.from_pandas(frame(total, TaskContext.get().partitionId() % MERGE_PARTS), schema=kinds, preserve_index=False)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = Gram(0.0, np.zeros(d), np.zeros((d, d)))
@@ -115,7 +121,9 @@ def grams(df: DataFrame, features: list[str], label: str | None = None, weight:
         return frame({rows["g"].iloc[0]: (int(rows["bad"].sum()), total)}, int(rows["part"].iloc[0]))
 
     schema = "g string, part int, bad bigint, n double, means array<double>, moments array<double>"
-    found = df.select(*cols).mapInPandas(sums, schema).groupBy("g", "part").applyInPandas(merge, schema).collect()
+    numbers = pa.list_(pa.float64())
+    kinds = pa.schema([("g", pa.string()), ("part", pa.int32()), ("bad", pa.int64()), ("n", pa.float64()), ("means", numbers), ("moments", numbers)])
+    found = df.select(*cols).mapInArrow(sums, schema).groupBy("g", "part").applyInPandas(merge, schema).collect()
     got: dict = {}
     for r in sorted(found, key=lambda r: (r["g"] or "", r["part"])):
         if r["bad"]:

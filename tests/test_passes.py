@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstat.core import EmptyInput, InvalidParameter
 from quillstat.operators import iterative, passes
+from quillstat.streaming import incremental
 
 X = ["a", "b"]
 
@@ -185,3 +186,25 @@ def test_few_rows_and_classes(spark):
         with pytest.raises(EmptyInput):
             m.fit(df.limit(0), names, "y")
     assert iterative.RansacRegressor(3, 1.0).fit(df, names, "y", "id").extra["inliers"] == 2
+
+
+def test_a_stream_of_steps(spark, tmp_path):
+    x, y, _ = data(6, 600, 3)
+    df = frame(spark, x, y)[0]
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    path = f"file://{tmp_path}/state.json"
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = incremental.StreamingSgdClassifier(X, "y", iterative.SgdClassifier("log", epochs=4, eta0=0.3), sorted(set(y.tolist())), path=path)
+        got.writer(stream).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return got
+
+    first = run()
+    assert first.last == 2 and (first.state.predict_array(x) == y).mean() > 0.6
+    # Rows of an unknown class change nothing, and a restarted stream goes on from the weights it had.
+    df.limit(40).withColumn("y", F.lit(99.0)).write.mode("append").parquet(str(tmp_path / "in"))
+    again = run()
+    assert again.last > 2 and np.array_equal(again.state.weights, first.state.weights)
+    again.update(df, again.last)
+    assert np.array_equal(again.state.weights, first.state.weights)
