@@ -92,8 +92,8 @@ def identify_language(
     """The id, ``lang_pred`` and ``score`` (posterior probability) of each document, from its whole text.
 
     The model's matrix is broadcast in rounds of ``round_langs`` languages, through which the rows are handed on;
-    texts are scored in batches as sparse n-gram counts. A null text, or one without any letter, gives ``und`` and 0.
-    Every row is scored by itself, so ids may be null or repeated. Equal scores go to the first language. Other
+    texts are scored in batches as sparse n-gram counts. A null text, or one without any letter, gives ``und`` and 0;
+    a learned language of that name has its probability like others. Every row is scored by itself, so ids may be null or repeated. Equal scores go to the first language. Other
     columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("letters"), F.lit("und").alias("best"), F.lit(-np.inf).alias("most"), F.lit(-np.inf).alias("total"))
@@ -111,7 +111,8 @@ def identify_language(
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(letters), pa.array(best, pa.string()), pa.array(np.where(better, most, old)), pa.array(total)], batch.schema.names)
 
         rows = rows.mapInArrow(score, rows.schema)
-    share = F.when(F.col("best") == "und", 0.0).otherwise(F.exp(F.col("most") - F.col("total")))
+    picked = F.col("letters") & (F.col("most") > -np.inf)
+    share = F.when(picked, F.exp(F.col("most") - F.col("total"))).otherwise(0.0)
     return rows.select("doc_id", F.col("best").alias("lang_pred"), F.least(share, F.lit(1.0)).alias("score"))
 
 

@@ -376,3 +376,11 @@ def test_tables_can_be_cleaned_up(spark):
 
 def test_every_operator_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries() if n != "pipeline") == list(range(1, 11))
+
+
+def test_a_language_may_be_called_und(spark):
+    docs = spark.createDataFrame([(1, "aaa aab aaa", "und"), (2, "zzz zzy zzz", "xx"), (3, "aab aaa aab", "und"), (4, "zzy zzz", "xx")], "doc_id long, text string, lang string")
+    model = language_id.train_language_model(docs)
+    asked = spark.createDataFrame([(1, "aaa aab"), (2, "zzz"), (3, None), (4, "123 !")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_language(asked, model).collect()}
+    assert got[1][0] == "und" and got[1][1] > 0.5 and got[2][0] == "xx" and got[3] == got[4] == ("und", 0.0)
