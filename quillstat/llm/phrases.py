@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,17 @@ TOP = 2000
 SIDE_BITS = 6
 CELL_BITS = 2 * SIDE_BITS
 DENSE = 1 << (CELL_BITS - 3)
-#: Entries a task gathers before it combines them, and distinct ones before it sends them on.
-GATHER = 1 << 21
-FLUSH = 1 << 21
-#: Text whose pairs make one bucket, about, and the fewest buckets.
-BUCKET_BYTES = 64 << 20
+#: Bytes of text scanned together, and of an Arrow batch that Spark hands to a task.
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+#: Entries a task gathers before it combines them, distinct ones before it sends them on, and those of a batch sent.
+GATHER = 1 << 19
+FLUSH = 1 << 19
+SENT = 1 << 17
+#: Distinct words before a task sends them on.
+WORDS = 1 << 18
+#: Text whose pairs make one bucket, about (a task holds one bucket's distinct pairs), and the fewest buckets.
+BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 256
 #: Symbols (words or phrases of one length) that get ranks; all others go by their hashes. Bits of the filter that
 #: tells frequent ones among the others.
@@ -40,6 +47,21 @@ _BASE = np.uint64(0xA24BAED4963EE407)
 _FAR = np.uint64((1 << 32) - 1)
 
 
+@contextmanager
+def small_batches(spark, size: int = BATCH_BYTES):
+    """Limits the bytes, not only the rows, of Arrow batches of jobs that start inside; the session's own setting returns after them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Pieces(textscan.Words):
     """Words of a slice as in textscan, with ``linked``[k] telling whether word k + 1 follows word k in the same piece."""
 
@@ -54,7 +76,8 @@ class Pieces(textscan.Words):
         self.starts = np.flatnonzero(word & ~(before & ~edge[:-1]))
         self.ends = np.flatnonzero(word & ~(after & ~edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        cuts = np.concatenate(([0], np.cumsum(cut)))
+        cuts = np.zeros(len(cut) + 1, np.int32 if len(cut) < 1 << 31 else np.int64)
+        np.cumsum(cut, out=cuts[1:])
         self.linked = np.zeros(len(self.starts), bool)
         self.linked[:-1] = cuts[self.starts[1:]] == cuts[self.ends[:-1]]
         last = self.first[1:] - 1
@@ -77,7 +100,7 @@ def _scan(batches, row_cap: int = 0):
         for lang in set(langs) - salts.keys():
             salts[lang] = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
         salt = np.array([salts[x] for x in langs], np.uint64)
-        for i, j, data, offsets in textscan.slices(b.column("text")):
+        for i, j, data, offsets in textscan.slices(b.column("text"), SLICE_BYTES):
             pieces = Pieces(data, offsets)
             if len(pieces.starts):
                 hashes = textscan.mix(pieces.hashes(lower=True) ^ np.repeat(salt[i:j], pieces.counts), 3)
@@ -106,20 +129,18 @@ def words_of(docs: DataFrame) -> DataFrame:
 
         for pieces, hashes, langs in _scan(batches):
             distinct, where, c = np.unique(hashes, return_index=True, return_counts=True)
-            place = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-            old = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
+            place = np.searchsorted(known, distinct)
+            old = known[np.minimum(place, len(known) - 1)] == distinct if len(known) else np.zeros(len(distinct), bool)
             counts[at[place[old]]] += c[old]
             new = ~old
             owner = np.searchsorted(pieces.first, where[new], "right") - 1
             out.append((pa.array([langs[k] for k in owner.tolist()], pa.string()), pieces.texts(where[new]), distinct[new]))
-            at = np.concatenate((at, len(counts) + np.arange(int(new.sum()))))
+            at = np.insert(at, place[new], len(counts) + np.arange(int(new.sum())))
             counts = np.concatenate((counts, c[new].astype(np.int64)))
-            known = np.concatenate((known, distinct[new]))
-            order = np.argsort(known)
-            known, at = known[order], at[order]
+            known = np.insert(known, place[new], distinct[new])
             for lang, n in zip(langs, pieces.counts.tolist(), strict=True):
                 totals[lang] = totals.get(lang, 0) + n
-            if len(known) > FLUSH:
+            if len(known) > WORDS:
                 yield flush()
                 known, at, counts, out = known[:0], at[:0], counts[:0], []
                 totals.clear()
@@ -150,21 +171,27 @@ class Symbols:
                 break
             top, least = top + c, p
         got = table.filter(power >= least).select("lang", "f", "h").toArrow() if top else None  # ``ranked`` rows at most
-        if got is None:
-            self.hashes = np.zeros(0, np.uint64)
-        else:
+        hashes = np.zeros(0, np.uint64)
+        if got is not None:
             langs = got.column("lang").combine_chunks().dictionary_encode()
             langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
             h = got.column("h").to_numpy().view(np.uint64)
-            self.hashes = h[np.lexsort((h, -got.column("f").to_numpy(), langs.indices.to_numpy()))]
+            hashes = h[np.lexsort((h, -got.column("f").to_numpy(), langs.indices.to_numpy()))]
         if top < sum(c for _, c in sizes):
             spot = F.shiftrightunsigned("h", 64 - filter_bits)
             bits = table.select(F.shiftright(spot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - filter_bits}) & 63 as int))").alias("bit"))
             rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^(FILTER_BITS - 6) rows at most
             self.filter = np.zeros(1 << (filter_bits - 6), np.uint64)
             self.filter[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-        order = np.argsort(self.hashes)
-        self.sorted, self.rank = self.hashes[order], order.astype(np.uint64)
+        order = np.argsort(hashes)
+        self.sorted, self.rank = hashes[order], order.astype(np.uint32)
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """The hashes by rank."""
+        out = np.empty_like(self.sorted)
+        out[self.rank] = self.sorted
+        return out
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(may be frequent, rank or _FAR where it has none)."""
@@ -187,28 +214,33 @@ def combine(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, n
     tile = codes >> np.uint64(CELL_BITS)
     row, column = (tile >> np.uint64(26)).astype(np.int64), (tile & np.uint64((1 << 26) - 1)).astype(np.int64)
     wide = int(column.max()) + 1
-    if (int(row.max()) + 1) * wide <= 1 << 22:
+    if (int(row.max()) + 1) * wide <= 1 << 21:
         index, names = row * wide + column, None
     else:
         names, index = np.unique(tile, return_inverse=True)
+    del tile, row, column
     held = np.bincount(index)
     full = np.flatnonzero(held >= DENSE)
-    number = np.full(len(held), -1, np.int64)
+    number = np.full(len(held), -1, np.int32)
     number[full] = np.arange(len(full))
     mine = number[index]
+    del held, number, index
     at = np.flatnonzero(mine >= 0)
     got_codes, got_counts = [], []
-    for a in range(0, len(full), 1024):
-        here = at[(mine[at] >= a) & (mine[at] < a + 1024)] if len(full) > 1024 else at
-        cell = ((mine[here] - a) << CELL_BITS) | (codes[here] & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+    for a in range(0, len(full), 512):
+        here = at[(mine[at] >= a) & (mine[at] < a + 512)] if len(full) > 512 else at
+        cell = ((mine[here].astype(np.int64) - a) << CELL_BITS) | (codes[here] & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
         sums = np.bincount(cell, None if counts is None else counts[here])  # doubles are exact up to 2^53
         filled = np.flatnonzero(sums)
         which = full[a + (filled >> CELL_BITS)]
         name = names[which] if names is not None else ((which // wide).astype(np.uint64) << np.uint64(26)) | (which % wide).astype(np.uint64)
         got_codes.append((name << np.uint64(CELL_BITS)) | (filled & ((1 << CELL_BITS) - 1)).astype(np.uint64))
         got_counts.append(sums[filled].astype(np.int64))
+        del here, cell, sums, filled
     rest = np.flatnonzero(mine < 0)
+    del at, mine
     order = rest[np.argsort(codes[rest], kind="stable")]
+    del rest
     c = codes[order]
     new = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
     got_codes.append(c[new])
@@ -233,19 +265,53 @@ def _bucket(a: np.ndarray, b: np.ndarray | None, buckets: int) -> np.ndarray:
 _MESSAGE = "bucket long, a binary, b binary, n binary"
 
 
-def _messages(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket with its entries packed: tile codes (b null), or pairs of hashes."""
+def _messages(a: np.ndarray, b: np.ndarray | None, counts: np.ndarray, buckets: int):
+    """One row a bucket with its entries packed, in batches of about SENT entries: tile codes (b null), or pairs of hashes."""
     bucket = _bucket(a, b, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     bounds = np.concatenate((first, [len(bucket)]))
+    step = max(1, SENT * len(first) // len(bucket))
+
+    def packed(x, at, width):
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(((at - at[0]) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    for k in range(0, len(first), step):
+        at = bounds[k : k + step + 1]
+        here = order[at[0] : at[-1]]
+        columns = [pa.array(bucket[at[:-1]]), packed(a[here], at, 8), pa.nulls(len(at) - 1, pa.binary()) if b is None else packed(b[here], at, 8), packed(counts[here].astype(np.int64), at, 8)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b", "n"])
+
 
-    def packed(x, width):
-        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+class Gathered:
+    """Entries that a task has counted and not sent yet: tile codes and pairs of hashes, each combined a piece at a time."""
 
-    columns = [pa.array(bucket[first]), packed(a[order], 8), pa.nulls(len(first), pa.binary()) if b is None else packed(b[order], 8), packed(counts[order].astype(np.int64), 8)]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b", "n"])
+    def __init__(self):
+        self.near, self.far, self.size = [], [], 0
+
+    def add(self, near: list, far: list) -> None:
+        if near:
+            self.near.append(combine(np.concatenate(near), None))
+            self.size += len(self.near[-1][0])
+        if far:
+            self.far.append(combine_pairs(*(np.concatenate([x[k] for x in far]) for k in range(2)), None))
+            self.size += len(self.far[-1][0])
+
+    def settle(self) -> None:
+        """Adds up what the pieces have in common."""
+        if len(self.near) > 1:
+            self.near = [combine(*(np.concatenate([x[k] for x in self.near]) for k in range(2)))]
+        if len(self.far) > 1:
+            self.far = [combine_pairs(*(np.concatenate([x[k] for x in self.far]) for k in range(3)))]
+        self.size = sum(len(x[0]) for x in self.near + self.far)
+
+    def sent(self, buckets: int):
+        for codes, counts in self.near:
+            yield from _messages(codes, None, counts, buckets)
+        for a, b, counts in self.far:
+            yield from _messages(a, b, counts, buckets)
+        self.near, self.far, self.size = [], [], 0
 
 
 def count_pairs(docs: DataFrame, levels: list[Symbols], buckets: int, least: int) -> DataFrame:
@@ -260,8 +326,7 @@ def count_pairs(docs: DataFrame, levels: list[Symbols], buckets: int, least: int
     long = len(levels) + 1
 
     def tiles(batches):
-        near, far, n = [], [], 0
-        near_done, far_done = None, None
+        near, far, n, done = [], [], 0, Gathered()
         for pieces, words, _ in _scan(batches):
             alive, word_rank = known[0].value.find(words)
             at, h, rank = np.flatnonzero(alive), words[alive], word_rank[alive]
@@ -282,17 +347,21 @@ def count_pairs(docs: DataFrame, levels: list[Symbols], buckets: int, least: int
             both = (rank != _FAR) & (j != _FAR)
             i, j2 = rank[both], j[both]
             side, low = np.uint64(SIDE_BITS), np.uint64((1 << SIDE_BITS) - 1)
-            near.append(((i >> side) << np.uint64(26 + CELL_BITS)) | ((j2 >> side) << np.uint64(CELL_BITS)) | ((i & low) << side) | (j2 & low))
+            if len(i):
+                near.append(((i >> side) << np.uint64(26 + CELL_BITS)) | ((j2 >> side) << np.uint64(CELL_BITS)) | ((i & low) << side) | (j2 & low))
             if not both.all():
                 far.append((h[~both], words[right[~both]]))
             n += len(at)
             if n >= GATHER:
-                near_done, far_done = _gathered(near, near_done, far, far_done)
+                done.add(near, far)
                 near, far, n = [], [], 0
-                if len(near_done[0]) + len(far_done[0]) > FLUSH:
-                    yield from _sent(near_done, far_done, buckets)
-                    near_done, far_done = None, None
-        yield from _sent(*_gathered(near, near_done, far, far_done), buckets)
+                if done.size > FLUSH:
+                    done.settle()
+                    if done.size > FLUSH // 2:
+                        yield from done.sent(buckets)
+        done.add(near, far)
+        done.settle()
+        yield from done.sent(buckets)
 
     def totals(batches):
         tile, pair = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -326,7 +395,7 @@ def count_pairs(docs: DataFrame, levels: list[Symbols], buckets: int, least: int
             if paired.num_rows:
                 new_pair.append((_flat(paired, "a", np.uint64), _flat(paired, "b", np.uint64), _flat(paired, "n", np.int64)))
             last = batch.column("bucket")[-1].as_py()
-            if held + sum(len(x[0]) for x in new_tile) + sum(len(x[0]) for x in new_pair) > GATHER:
+            if sum(len(x[0]) for x in new_tile) + sum(len(x[0]) for x in new_pair) > max(GATHER, held):
                 yield settle(False)
         yield settle(True)
 
@@ -340,24 +409,6 @@ def _flat(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(kind)
 
 
-def _gathered(near: list, near_done, far: list, far_done):
-    codes, counts = combine(np.concatenate([np.zeros(0, np.uint64), *near]), None)
-    if near_done is not None:
-        codes, counts = combine(np.concatenate((near_done[0], codes)), np.concatenate((near_done[1], counts)))
-    a, b = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in far)]) for k in range(2))
-    pairs = combine_pairs(a, b, None)
-    if far_done is not None and len(far_done[0]):
-        pairs = combine_pairs(*(np.concatenate((far_done[k], pairs[k])) for k in range(3)))
-    return (codes, counts), pairs
-
-
-def _sent(near, far, buckets: int):
-    if len(near[0]):
-        yield _messages(near[0], None, near[1], buckets)
-    if len(far[0]):
-        yield _messages(far[0], far[1], far[2], buckets)
-
-
 def frequent_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST,
     ranked: int = RANKED, filter_bits: int = FILTER_BITS,
@@ -377,7 +428,8 @@ def frequent_phrases(
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = words_of(rows).filter(F.col("word").isNull() | (F.col("f") >= least))
-    vocabulary, _ = common.materialize(counted, "words")
+    with small_batches(spark):
+        vocabulary, _ = common.materialize(counted, "words")
     totals = vocabulary.filter("word IS NULL").select("lang", F.col("f").alias("n"))
     words = vocabulary.filter("word IS NOT NULL").select("lang", F.array("h").alias("words"), F.col("word").alias("phrase"), F.lit(1).alias("m"), "f", "h")
     buckets = max(LEAST_BUCKETS, -(-common.text_bytes(rows, "text") // BUCKET_BYTES))
@@ -390,7 +442,8 @@ def frequent_phrases(
         right = words.select(F.col("phrase").alias("word"), F.col("h").alias("right_h"))
         longer = count_pairs(rows, levels, buckets, least).join(left, "left_h").join(right, "right_h")
         longer = longer.select("lang", F.array_append("words", F.col("right_h")).alias("words"), F.concat_ws(" ", "before", "word").alias("phrase"), F.lit(len(tables) + 1).alias("m"), "f", "h")
-        table, _ = common.materialize(longer, f"phrases-{len(tables) + 1}")
+        with small_batches(spark):
+            table, _ = common.materialize(longer, f"phrases-{len(tables) + 1}")
         tables.append(table)
     every = tables[0]
     for t in tables[1:]:

@@ -37,7 +37,7 @@ _BYTE_LOWER = _BYTE[_LOWER]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 2)
+        size = max(n, min((-(-(n - 2) >> 20) << 20) + 2, SLICE_BYTES + 2))  # in steps of 1 MB: callers' slices differ
         for k, base in enumerate((_BASE, _INVERSE)):
             x = np.full(size, base)
             x[0] = 1

@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +261,75 @@ def test_dense_and_sparse_tiles_add_up():
     for given, expect in ((counts, want), (None, Counter(codes.tolist()))):
         c, n = phrases.combine(codes, given)
         assert dict(zip(c.tolist(), n.tolist(), strict=True)) == expect
+
+
+def _held(run, batches):
+    """What a task's function gives, and the most memory (MB) that its arrays took."""
+    tracemalloc.start()
+    try:
+        out = list(run(iter(batches)))
+        return out, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def _number_texts(high, rows, seed):
+    ids = np.random.default_rng(seed).integers(0, high, (rows, 300))
+    texts = pa.array([" ".join(map(str, x)) for x in ids.tolist()])
+    return ids, [pa.RecordBatch.from_arrays([pa.array(["en"] * rows), texts], ["lang", "text"])]
+
+
+def _word_counter():
+    docs = MagicMock()
+    phrases.words_of(docs)
+    return docs.mapInArrow.call_args.args[0]
+
+
+def test_counting_words_takes_bounded_memory(spark):
+    ids, batches = _number_texts(1 << 19, 8_000, 3)
+    out, most = _held(_word_counter(), batches)
+    assert most < 100, most
+    got = Counter()
+    for b in out:
+        assert b.nbytes < 16 << 20
+        for word, f in zip(b.column("word").to_pylist(), b.column("f").to_pylist(), strict=True):
+            got[word] += f
+    assert got.pop(None) == ids.size
+    assert got == Counter(map(str, ids.ravel().tolist()))
+
+
+@pytest.mark.parametrize("ranked", [1 << 20, 1000])
+def test_counting_pairs_takes_bounded_memory(spark, ranked):
+    ids, batches = _number_texts(3000, 8_000, 4)
+    words = {}
+    for b in _word_counter()(iter(batches)):
+        for lang, word, h, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if word is not None:
+                words[h] = (lang, h, words.get(h, (0, 0, 0))[2] + f)
+    level = phrases.Symbols(spark.createDataFrame(list(words.values()), "lang string, h long, f long"), ranked, 20)
+    docs = MagicMock(sparkSession=spark)
+    phrases.count_pairs(docs, [level], 256, 1)
+    sent, most = _held(docs.mapInArrow.call_args.args[0], batches)
+    assert most < 140, most
+    assert max(b.nbytes for b in sent) < 8 << 20
+    received = pa.Table.from_batches(sent).sort_by("bucket").to_batches(max_chunksize=32)
+    totals = docs.mapInArrow.return_value.repartition.return_value.sortWithinPartitions.return_value.mapInArrow.call_args.args[0]
+    out, most = _held(totals, received)
+    assert most < 140, most
+    _, counts = np.unique(ids[:, :-1] * 3000 + ids[:, 1:], return_counts=True)
+    assert np.array_equal(np.sort(np.concatenate([b.column("f").to_numpy() for b in out])), np.sort(counts))
+
+
+def test_batches_are_limited_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    rows = spark.range(0, 2000, 1, 1).selectExpr("repeat('x y. ', 1000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    with phrases.small_batches(spark):
+        seen = rows.mapInArrow(sizes, "size long").collect()
+    assert max(r["size"] for r in seen) < 2 * phrases.BATCH_BYTES
+    assert spark.conf.get(name, None) == before
